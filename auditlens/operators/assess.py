@@ -90,9 +90,13 @@ def disclosures(claims: DataFrame, rules: DataFrame, sources: DataFrame, today:
 
 
 def arithmetic_problems(wf: DataFrame) -> DataFrame:
+    """At most one per profile. Tested inside an aggregate: as a filter, the whole chain of steps would be
+    substituted into the predicate and pushed down."""
     total = F.col("settlement_paise") + F.col("patient_paise") + F.col("hospital_paise")
-    return wf.where(total != F.col("gross_paise")).select(*KEYS, F.concat(
-        F.lit("Engine error: the shares of profile "), "profile", F.lit(" add up to "), rs(total), F.lit(", the bill is "), rs(F.col("gross_paise"))).alias("problem"))
+    text = F.concat(F.lit("Engine error: the shares of profile "), "profile", F.lit(" add up to "), rs(total),
+                    F.lit(", the bill is "), rs(F.col("gross_paise")))
+    broken = wf.groupBy(*KEYS).agg(F.collect_list(F.when(total != F.col("gross_paise"), text)).alias("found"))
+    return broken.select(*KEYS, F.explode("found").alias("problem"))
 
 
 def uncited_deductions(findings: DataFrame) -> DataFrame:

@@ -132,8 +132,9 @@ def deduction_rows(wf: DataFrame) -> DataFrame:
 
 
 def invariant_breaks(wf: DataFrame) -> DataFrame:
-    """Rows where the three shares do not add up to the bill. Always empty."""
-    return wf.where(F.col("settlement_paise") + F.col("patient_paise") + F.col("hospital_paise") != F.col("gross_paise"))
+    """Rows (tenant, claim_id, profile) where the three shares do not add up to the bill. Always empty."""
+    broken = F.col("settlement_paise") + F.col("patient_paise") + F.col("hospital_paise") != F.col("gross_paise")
+    return wf.groupBy(*KEYS, "profile").agg(F.bool_or(broken).alias("broken")).where("broken")
 
 
 def settlement_range(wf: DataFrame) -> DataFrame:

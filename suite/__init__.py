@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("core",)
+MODULES = ("values", "library", "core", "stored")
 
 
 def load():
