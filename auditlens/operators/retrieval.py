@@ -27,10 +27,14 @@ _BLOCK_ROWS = 4096
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_order, dl, term, tf). Counted within the partition before the shuffle."""
-    tokens = tx.tokenize(F.col("text"))
+    """(doc_id, doc_order, dl, term, tf). Counted within the partition before the shuffle.
+
+    The length is taken before the unfolding: next to explode() it would be worked out per word.
+    """
+    split = docs.select("doc_id", "doc_order", tx.tokenize(F.col("text")).alias("tokens"))
+    measured = split.select("doc_id", "doc_order", F.size("tokens").alias("dl"), "tokens")
     return (
-        docs.select("doc_id", "doc_order", F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
+        measured.select("doc_id", "doc_order", "dl", F.explode("tokens").alias("term"))
         .groupBy("doc_id", "doc_order", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("values", "library", "core", "stored")
+MODULES = ("values", "library", "core", "stored", "ranking", "bills", "flows")
 
 
 def load():

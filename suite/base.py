@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import re
 from collections.abc import Callable
 from functools import cached_property
@@ -77,6 +78,13 @@ class Context:
         return {}
 
 
+_NUMBERS = itertools.count()
+
+
+def next_number() -> int:
+    return next(_NUMBERS)
+
+
 _CONTEXTS: dict[tuple[int, str], Context] = {}
 
 
