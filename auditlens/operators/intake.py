@@ -156,13 +156,18 @@ def model_scorer(lines: DataFrame, candidates: DataFrame, model: Callable[[pd.Da
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            answers: dict[str, list] = {f: [] for f in (*fields, "error")}
             for at in range(0, len(pdf), batch_size):
                 part = pdf.iloc[at:at + batch_size]
                 try:
-                    answer = model(part)[fields].assign(error=None)
+                    reply = model(part)
+                    got = {f: reply[f].tolist() for f in fields} | {"error": [None] * len(part)}
                 except Exception as exc:  # noqa: BLE001 - one failed call must not stop the audit
-                    answer = pd.DataFrame({f: None for f in fields}, index=part.index).assign(error=type(exc).__name__)
-                    answer["confidence"] = answer["confidence"].astype(float)
-                yield pd.concat([part[keys], answer], axis=1)
+                    got = {f: [None] * len(part) for f in fields} | {"error": [type(exc).__name__] * len(part)}
+                for f, values in got.items():
+                    answers[f].extend(values)
+            out = pdf[keys].assign(**answers)
+            out["confidence"] = out["confidence"].astype(float)
+            yield out
 
     return asked.mapInPandas(score, VERDICT_SCHEMA)

@@ -101,9 +101,9 @@ _HEADS_SQL = "[" + ", ".join("'" + h.replace("\n", "' || chr(10) || '").replace(
 CTES["signatures"] = f"SELECT * FROM (VALUES {_SIGS}) AS s(ord, document_type, document_label, words)"
 CTES["page_text"] = f"SELECT page_id AS doc_id, trim(regexp_replace(lower({_HEADS_SQL}[page_id % {len(_HEADINGS)} + 1] || chr(10) || html), '\\s+', ' ', 'g')) AS text FROM pages"
 CTES["detected"] = """
-SELECT p.doc_id, arg_max(s.document_type, hits * 100 - ord) AS best_type, arg_max(s.document_label, hits * 100 - ord) AS best_label, max(hits) AS hits FROM (
- SELECT p.doc_id, s.ord, len(list_filter(s.words, lambda w: contains(p.text, w))) AS hits FROM page_text p, signatures s) h
-JOIN signatures s ON s.ord = h.ord JOIN page_text p ON p.doc_id = h.doc_id GROUP BY p.doc_id"""
+SELECT h.doc_id, arg_max(h.document_type, h.hits * 100 - h.ord) AS best_type, arg_max(h.document_label, h.hits * 100 - h.ord) AS best_label, max(h.hits) AS hits FROM (
+ SELECT p.doc_id, s.ord, s.document_type, s.document_label, len(list_filter(s.words, lambda w: contains(p.text, w))) AS hits FROM page_text p, signatures s) h
+GROUP BY h.doc_id"""
 
 
 @case("D14", "SELECT doc_id, CASE WHEN hits > 0 THEN best_type END AS document_type, CASE WHEN hits > 0 THEN best_label ELSE 'Unrecognised' END AS document_label, CAST(hits AS INTEGER) AS keyword_hits FROM detected")

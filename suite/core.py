@@ -216,6 +216,20 @@ def j6(x):
     return model_findings(x).where("source = 'keyword'").select(*K, "line_no")
 
 
+@case("J7", "SELECT tenant, claim_id, n, CAST(paise AS BIGINT) AS paise FROM unsupported WHERE n = 2")
+def j7(x):
+    bad = assess.unsupported_figures(narratives(x), known(x))
+    second = bad.join(x.audit.facts.select(*K, F.abs(F.col("gross_paise") + 12300).alias("paise")), K).where(
+        (F.col("value") * 100).cast("bigint") == F.col("paise")).select(*K, F.lit(2).alias("n"), "paise")
+    return second.distinct()
+
+
+@case("J12", "SELECT tenant, claim_id, line_no, head, CAST(amount_paise AS BIGINT) AS amount_paise, CAST(deducted_paise AS BIGINT) AS deducted_paise FROM down_findings")
+def j12(x):
+    _, moved = waterfall.downgrade_lines(x.claims, x.audit.findings)
+    return moved.select(*K, "line_no", "head", "amount_paise", "deducted_paise")
+
+
 # --- waterfall -------------------------------------------------------------------
 
 
