@@ -49,6 +49,22 @@ def sized(df: DataFrame) -> DataFrame:
     return kept
 
 
+MARK = "_mark"
+
+
+def evaluated(df: DataFrame) -> DataFrame:
+    """Rows with a mark that keeps a later filter above the expressions of `df`.
+
+    A filter on computed columns is pushed below them with every expression written out again, once per use.
+    Filter on `here()` as well, and the expressions run once per row.
+    """
+    return df.withColumn(MARK, F.monotonically_increasing_id())
+
+
+def here() -> Column:
+    return F.col(MARK) >= 0
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Sequence[str],
                      how: str = "left", salts: int = SALTS) -> DataFrame:
     """Join on `key` where few keys may hold most of the left rows.

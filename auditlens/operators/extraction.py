@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlens.functions import text as tx
 from auditlens.functions.money import parse_amount, rate_per_day
-from auditlens.functions.rows import ordinal
+from auditlens.functions.rows import MARK, evaluated, here, ordinal
 
 # --- fixed values: shape of a row and the accept threshold ---
 MIN_CELLS, MIN_ITEMS = 6, 3
@@ -18,12 +18,14 @@ READ_CONFIDENCE = 0.7
 def rows_to_items(cells: DataFrame) -> DataFrame:
     """Priced rows of ruled tables, numbered per document in reading order. Headers, totals and blanks drop out."""
     cell = lambda i: tx.strip(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
-    amount = parse_amount(cell(5))
-    keep = (F.size("cells") >= MIN_CELLS) & cell(0).rlike(r"^\d+$") & (cell(1) != "") & (amount > 0)
-    items = cells.where(keep).select(
-        "doc_id", "page", "row_no", cell(1).alias("description"), tx.head_from_department(cell(2)).alias("head"),
-        parse_amount(cell(3), "1").alias("quantity"), parse_amount(cell(4)).alias("unit_rate"), amount.alias("amount"),
-        cell(5).alias("amount_text"), F.lit(1.0).alias("extract_confidence"))
+    names = ("serial", "description", "department", "quantity_text", "rate_text", "amount_text")
+    read = evaluated(cells.select("doc_id", "page", "row_no", F.size("cells").alias("n"), *[cell(i).alias(c) for i, c in enumerate(names)]))
+    rows = read.where((F.col("n") >= MIN_CELLS) & F.col("serial").rlike(r"^\d+$") & (F.col("description") != "") & here())
+    priced = evaluated(rows.drop(MARK).withColumn("amount", parse_amount(F.col("amount_text")))).where((F.col("amount") > 0) & here())
+    items = priced.select(
+        "doc_id", "page", "row_no", "description", tx.head_from_department(F.col("department")).alias("head"),
+        parse_amount(F.col("quantity_text"), "1").alias("quantity"), parse_amount(F.col("rate_text")).alias("unit_rate"), "amount",
+        "amount_text", F.lit(1.0).alias("extract_confidence"))
     return ordinal(items, "line_no", ["doc_id"], "page", [F.asc("row_no")])
 
 

@@ -52,6 +52,7 @@ def measures() -> list[Column]:
         _count(big).alias("n_big"), _count(big & (amount % ROUND_FLOOR_PAISE == 0)).alias("n_round"),
         _count(listed & (F.coalesce("cited_chunk_id", F.lit("")) == "")).alias("n_uncited"),
         _count(F.col("source") == "llm").alias("n_llm"),
+        _count(amount < 0).alias("n_credit"),
     ]
 
 

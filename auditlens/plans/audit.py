@@ -91,12 +91,14 @@ _HEADER = (
     "n_payable", "n_list_i_optional", "n_list_ii_room", "n_list_iii_procedure", "n_list_iv_treatment")
 
 
-def unsupported_narratives(folded: DataFrame, lines: DataFrame) -> DataFrame:
+def unsupported_narratives(facts: DataFrame, lines: DataFrame) -> DataFrame:
     """Claims whose standard narrative prints a figure without support, with how many.
 
-    Prose drops the sign, so only a negative figure can fail: its size has to equal another figure of the
-    claim, to the rupee. Figures with support in the row are settled there; the rest look for a line.
+    Prose drops the sign, so only a negative figure can fail, which takes a credit line: its size has to equal
+    another figure of the claim, to the rupee. Figures with support in the row are settled there; the rest
+    look for a line.
     """
+    folded = folded_profiles(facts.where("n_credit > 0"))
     whole = lambda p: F.bround(F.abs(p).cast("decimal(20,0)") / 100, 0).cast("bigint")
     signed = lambda p: F.bround(p.cast("decimal(20,0)") / 100, 0).cast("bigint")
     quoted = folded.select(*KEYS, "computed", F.posexplode(F.array(
@@ -110,7 +112,7 @@ def unsupported_narratives(folded: DataFrame, lines: DataFrame) -> DataFrame:
 def audits_table(facts: DataFrame, lines: DataFrame, version: Column, month_of: str = "discharge") -> DataFrame:
     """One row per claim."""
     folded = folded_profiles(facts)
-    rows = folded.join(unsupported_narratives(folded, lines), KEYS, "left")
+    rows = folded.join(unsupported_narratives(facts, lines), KEYS, "left")
     ok = F.col("balanced") & (F.col("n_uncited") == 0) & F.col("n_unsupported").isNull()
     return rows.select(
         *KEYS, tx.claim_month(F.col("admission_date"), F.col("discharge_date"), month_of).alias("month"),
