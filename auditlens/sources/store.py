@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,14 @@ from auditlens.functions.money import from_paise
 
 KEYS = ["tenant", "claim_id"]
 PARTITIONS = {"claims": ["tenant", "month"], "findings": ["tenant"], "doc_gaps": ["tenant"]}
+SCHEMAS = {
+    "claims": ("tenant string, claim_id string, audited_at timestamp, month string, diagnosis string, procedure string, gross_bill_paise bigint, "
+               "settlement_paise bigint, patient_liability_paise bigint, hospital_writeoff_paise bigint, room_rent_deduction_paise bigint, "
+               "unmapped_count bigint, doc_gap_count bigint, corpus_version string, ai_pipeline boolean"),
+    "findings": ("tenant string, claim_id string, line_no bigint, description string, head string, classification string, bearer string, "
+                 "amount_paise bigint, deducted_paise bigint, cited_chunk_id string"),
+    "doc_gaps": "tenant string, claim_id string, document_id string, name string, severity string",
+}
 MONEY = {
     "gross_bill": "gross_bill_paise", "settlement": "settlement_paise", "patient_liability": "patient_liability_paise",
     "hospital_writeoff": "hospital_writeoff_paise", "room_rent_deduction": "room_rent_deduction_paise",
@@ -52,7 +61,7 @@ def orphans(children: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str) -> Store:
-    return Store(*[spark.read.parquet(f"{path}/{t}") for t in PARTITIONS])
+    return Store(*[spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}") for t in PARTITIONS])
 
 
 def save_store(path: str, new: Store) -> None:
@@ -68,21 +77,21 @@ def save_store(path: str, new: Store) -> None:
     for name, columns in PARTITIONS.items():
         rows, target = getattr(new, name), f"{path}/{name}"
         if _exists(spark, target):
-            old = spark.read.parquet(target)
+            old = spark.read.schema(SCHEMAS[name]).parquet(target)
             tenants = old.join(new.claims.select("tenant").distinct(), "tenant", "left_semi")
             rows = upsert_rows(tenants.select(*rows.columns), rows, new.claims)
             staging = f"{path}/_staging/{name}"
             rows.write.mode("overwrite").partitionBy(*columns).parquet(staging)
-            rows = spark.read.schema(rows.schema).parquet(staging)
+            rows = spark.read.schema(SCHEMAS[name]).parquet(staging).select(*rows.columns)
         (rows.repartition(*columns, F.pmod(F.xxhash64("claim_id"), F.lit(8))).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(target))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
-        spark.read.parquet(path)
-    except Exception as exc:  # noqa: BLE001 - only the missing path is expected
-        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+        spark.read.schema("tenant string").parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
             return False
         raise
     return True
