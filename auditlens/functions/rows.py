@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import threading
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,9 +48,31 @@ def sized(df: DataFrame) -> DataFrame:
     """
     kept = df.persist()
     kept.count()
+    _held().append(kept)
     return kept
 
 
+_LOCAL = threading.local()
+
+
+def _held() -> list[DataFrame]:
+    if not hasattr(_LOCAL, "frames"):
+        _LOCAL.frames = []
+    return _LOCAL.frames
+
+
+@contextmanager
+def releasing() -> Iterator[None]:
+    """Drop what `sized` has kept inside the block. For callers that run again and again, such as a stream."""
+    start = len(_held())
+    try:
+        yield
+    finally:
+        for df in _held()[start:]:
+            df.unpersist()
+        del _held()[start:]
+
+
 MARK = "_mark"
 
 

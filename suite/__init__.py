@@ -9,4 +9,6 @@ def load():
     """Import every module of cases and return the registry."""
     for name in MODULES:
         importlib.import_module(f"suite.{name}")
-    return importlib.import_module("suite.base")
+    base = importlib.import_module("suite.base")
+    base.expand()
+    return base

@@ -24,6 +24,7 @@ TODAY = dt.date(2026, 1, 1)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+_SQL: dict[str, str] = {}
 
 
 class Context:
@@ -101,7 +102,7 @@ def case(key: str, sql: str | None = None) -> Callable:
         assert key not in QUERIES, key
         QUERIES[key] = lambda spark, sf_dir: fn(context(spark, sf_dir))
         if sql is not None:
-            ORACLE[key] = with_ctes(sql)
+            _SQL[key] = sql
         return fn
     return add
 
@@ -126,6 +127,11 @@ def with_ctes(sql: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + sql
 
 
+def expand() -> None:
+    """Complete the oracle queries, once every module has added its expressions."""
+    ORACLE.update({key: with_ctes(sql) for key, sql in _SQL.items() if key not in ORACLE})
+
+
 def q(value: object) -> str:
     return "NULL" if value is None else "'" + str(value).replace("'", "''") + "'"
 
