@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlens.functions.money import div_half_up, rate_per_day, rs
+from auditlens.functions.money import div_half_up, product_div_half_up, rate_per_day, rs
 from auditlens.functions.vocabulary import HEADS
 from auditlens.operators.facts import KEYS, with_facts
 
@@ -53,12 +53,15 @@ def waterfall(facts: DataFrame, profiles: dict[str, tuple[str, ...]] | None = No
         "item_total": F.col("patient_items") + F.col("hospital_items"),
         "balance_0": F.col("gross_paise") - F.col("patient_items") - F.col("hospital_items"),
     })
-    # Rates carry six decimals of a paisa; scaled up, the proportion is one exact integer division.
+    # Rates carry six decimals of a paisa; scaled up, the proportion is one exact integer division. A rate in
+    # whole paise needs no scaling.
     scaled = lambda c: (c.cast("decimal(24,6)") * F.lit(1_000_000)).cast("decimal(30,0)")
+    whole_rate = rate.cast("bigint")
     excess_days = F.round((rate - F.col("cap_paise").cast("decimal(24,6)")) * F.col("room_days"), 0).cast("bigint")
-    share = div_half_up(
-        F.greatest(F.col("associated_paise"), _zero()).cast("decimal(20,0)") * scaled(rate - F.col("cap_paise").cast("decimal(24,6)")),
-        scaled(rate))
+    base = F.greatest(F.col("associated_paise"), _zero())
+    share = F.when(
+        whole_rate == rate, product_div_half_up(base, whole_rate - F.col("cap_paise"), whole_rate, 40_000_000_000, 100_000_000),
+    ).otherwise(div_half_up(base.cast("decimal(20,0)") * scaled(rate - F.col("cap_paise").cast("decimal(24,6)")), scaled(rate)))
     balance = F.col("balance")
     matching = F.filter("sublimits", lambda s: F.contains(F.lower(F.coalesce("procedure", F.lit(""))), F.lower(s["name"]))
                         & (balance > s["limit_paise"]))
@@ -69,7 +72,7 @@ def waterfall(facts: DataFrame, profiles: dict[str, tuple[str, ...]] | None = No
         "procedure_sublimit": balance - F.col("sublimit")["limit_paise"],
         "deductible": F.col("deductible_paise"),
         "copay": F.when((F.col("copay_pct") > 0) & (balance > 0),
-                        div_half_up(balance.cast("decimal(20,0)") * (F.col("copay_pct") * 100).cast("decimal(12,0)"), F.lit(10_000))),
+                        product_div_half_up(balance, (F.col("copay_pct") * 100).cast("bigint"), F.lit(10_000), 40_000_000_000_000, 100_000)),
         "sum_insured_cap": F.when(balance > F.col("balance_paise"), balance - F.col("balance_paise")),
     }
     df = df.withColumn("balance", F.col("balance_0"))

@@ -76,7 +76,9 @@ def folded_profiles(facts: DataFrame) -> DataFrame:
     balanced = F.col("settlement_paise") + F.col("patient_paise") + F.col("hospital_paise") == F.col("gross_paise")
     typical = F.col("profile") == "typical"
     pick = lambda c, name: F.max(F.when(typical, F.col(c))).alias(name)
-    return rows.groupBy(*KEYS).agg(
+    # Texts and dates of the header join the key: they change nothing about the groups, and leave only
+    # fixed-width buffers, which Spark aggregates by hash.
+    return rows.groupBy(*KEYS, *_TEXTS).agg(
         *[F.first(c).alias(c) for c in _HEADER],
         F.min("settlement_paise").alias("low_paise"), F.max("settlement_paise").alias("high_paise"),
         pick("settlement_paise", "settlement_paise"), pick("patient_paise", "patient_paise"),
@@ -85,8 +87,9 @@ def folded_profiles(facts: DataFrame) -> DataFrame:
         F.concat(F.first("claim_figures"), F.flatten(F.collect_list(per_row))).alias("computed"))
 
 
+_TEXTS = ("diagnosis", "procedure", "admission_date", "discharge_date")
 _HEADER = (
-    "diagnosis", "procedure", "admission_date", "discharge_date", "gross_paise", "unmapped_paise", "unsure_paise", "n_unmapped", "n_unsure",
+    "gross_paise", "unmapped_paise", "unsure_paise", "n_unmapped", "n_unsure",
     "n_uncited", "n_llm", "n_gaps", "n_flags", "items_blocker", "items_warning", "items_info", "n_lines",
     "n_payable", "n_list_i_optional", "n_list_ii_room", "n_list_iii_procedure", "n_list_iv_treatment")
 

@@ -1,5 +1,6 @@
 import hashlib
 import hmac
+import random
 from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
 
 from hypothesis import given, settings
@@ -68,3 +69,12 @@ def test_chunks_keep_the_text(spark, parts):
 
 def test_money_mentions(spark):
     assert one(spark, m=text.money_mentions(F.lit("Rs. 1,234.50, 12 days, ₹99999 and 10%"))).m == ["1,234.50", "99999"]
+
+
+def test_products_are_exact_on_both_paths(spark):
+    rng = random.Random(3)
+    cases = [(rng.randrange(10 ** rng.randrange(1, 18)), rng.randrange(10 ** rng.randrange(1, 11)), 1 + rng.randrange(10 ** rng.randrange(1, 11))) for _ in range(300)]
+    cases += [(4 * 10**10, 10**8, 10**8), (4 * 10**10 + 1, 10**8, 1), (5, 1, 2), (0, 7, 3)]
+    rows = spark.createDataFrame(cases, "a bigint, b bigint, d bigint").where("a / d * b < 9e17").select(
+        "a", "b", "d", money.product_div_half_up(F.col("a"), F.col("b"), F.col("d"), 4 * 10**10, 10**8).alias("v")).collect()
+    assert len(rows) > 100 and all(r.v == (2 * r.a * r.b + r.d) // (2 * r.d) for r in rows)
