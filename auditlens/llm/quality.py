@@ -92,7 +92,7 @@ def thresholds(measured: DataFrame, rules: tuple[Rule, ...] = RULES, min_rows: i
     every, by_lang = merged(F.lit(1).alias("_all")), merged("lang")
     own, lang, top = _bounds(groups, rules, "g"), _bounds(by_lang, rules, "l"), _bounds(every, rules, "a").drop("_all")
     bounds = own.join(lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    bounds = bounds.withColumn("_one", F.lit(1)).join(top.withColumn("_one", F.lit(1)), "_one", "left")
+    bounds = bounds.withColumn("_any", F.col("g_n") > 0).join(top.withColumn("_any", F.col("a_n") > 0), "_any", "left")
     chosen = lambda end, r: F.when(F.col("g_n") >= min_rows, F.col(f"g_{end}_{r.measure}")).when(
         F.col("l_n") >= min_rows, F.col(f"l_{end}_{r.measure}")).otherwise(F.col(f"a_{end}_{r.measure}"))
     return bounds.select("lang", "source", *[chosen(end, r).alias(f"{end}_{r.measure}") for r in rules for end in ("low", "high")])
