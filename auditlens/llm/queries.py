@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlens.llm import chat, mixing, quality, secrets
-from auditlens.llm.common import table
+from auditlens.llm import chat, mixing, quality, secrets, warc
+from auditlens.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +86,22 @@ best as (
 select t.doc_id, t.size, t.source_size, t.target, t.copies * t.size as taken, t.copies
 from tried t join best b on t.source is not distinct from b.source and t.shift = b.shift
 """
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_captures(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("response.target_uri").alias("target_uri"))
+
+
+ORACLE["op2_warc"] = f"""
+with sized as (select page_id, url, coalesce(html, '') as html, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes from pages),
+last as (select html, max(page_id) as last from sized where payload_bytes >= {warc.REVISIT_BYTES} group by html)
+select page_id, payload_bytes, sha1(s.html) as payload_digest,
+  case when last is null or page_id = last then 'response' else 'revisit' end as record_type,
+  case when page_id <> last then last end as refers_to,
+  regexp_replace(replace(url, '%', '%25'), '[\\x00-\\x20\\x7f]', '%20', 'g') as target_uri
+from sized s left join last l on s.html = l.html
+"""
