@@ -20,7 +20,7 @@ from auditlens.llm.common import WORD, cut
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
-PIECE = 20_000
+PIECE = 1_000
 OFFSETS = 16
 SEED = "mix"
 
