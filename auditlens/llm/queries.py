@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlens.llm import chat, extraction, mixing, quality, secrets, warc
+from auditlens.llm import chat, extraction, mixing, ngram_join, quality, secrets, warc
 from auditlens.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ from sized s left join last l on s.html = l.html
 @query
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.with_length(extraction.main_text(table(spark, sf_dir, "pages")))
+
+
+@query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
