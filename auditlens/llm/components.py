@@ -2,21 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.llm.common import cut
 
 ROUNDS = 60
+HELD = 500_000
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id of its component) for every id of the edges that is not the smallest itself."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[:len(a)], at[len(a):]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        while True:
+            up = new[new]
+            if np.array_equal(up, new):
+                break
+            new = up
+        if np.array_equal(new, label):
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[moved], ids[label[moved]]
+
+
+def edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars, some hundred thousand at a time."""
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        a, b = np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()])
+        if len(a) > HELD:
+            a, b = stars(a, b)
+            if len(a) > HELD // 2:
+                yield edge_batch(a, b)
+                a, b = a[:0], b[:0]
+    yield edge_batch(*stars(a, b))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (id, component) for every id in edges (a, b), component being the smallest id that is reachable.
 
-    Each round hangs the larger neighbours of every id on the smallest of them, then the smaller ones, until nothing changes; a
+    Edges are first drawn together to stars within each task. Each round then hangs the larger neighbours of every id on the smallest of them, then the smaller ones, until nothing changes; a
     chain halves with every round. Rounds are kept in the shared folder. An edge of an id with itself, or with a NULL, is none.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    drawn = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contract, "a long, b long")
+    now = cut(drawn.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().select("u", "v")
+              .withColumnsRenamed({"u": "a", "v": "b"}).mapInArrow(_contract, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")))
     if now.limit(1).count() == 0:
         return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     state = _state(now)

@@ -23,16 +23,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlens.llm.common import cut, one_per_id
-from auditlens.llm.components import components
-from auditlens.llm.ngram_trie import Links, least_common, spanning_links
+from auditlens.llm.components import components, edge_batch, stars
+from auditlens.llm.ngram_trie import least_common, spanning_links
 from auditlens.llm.vectors import chunks, grams, mix, words
 
 SIZE, PERCENT = 3, 90
-CELL_BITS = 18
-FREQUENT = 8
+CELL_BITS = 19
+FREQUENT = 4
 BUCKET = 8192
 GROUP_GRAMS = 1_500_000
 BLOCK = 1024
+SMALL = 32
+ROWS = 20_000
 #: Stands for a NULL id; NULL is an id of its own.
 NO_ID = (1 << 63) - 1
 CIRCLE = np.minimum(np.arange(256), 256 - np.arange(256)).astype(np.uint8)
@@ -60,13 +62,13 @@ def _frequent_cells(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
                 held += np.bincount((g >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(held))
         parts = held.reshape(-1, block)
         full = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[k].tobytes() for k in full], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[k].astype(np.int32).tobytes() for k in full], pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
-                held[part] = held.get(part, 0) + np.frombuffer(counts, np.int64)
+                held[part] = held.get(part, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
         keys = sorted(held)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([held[k].tobytes() for k in keys], pa.binary())], ["part", "counts"])
 
@@ -85,10 +87,11 @@ def _cells_of(n: int) -> int:
 
 def _profiles(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Rows (id, n, d1, d2, prefix, sketch): size and digest of the set, the first grams in global order, counts per cell."""
-    levels = np.zeros(1 << CELL_BITS, np.uint64)
-    levels[frequent[0]] = frequent[1].astype(np.uint64)
+    level_of = np.zeros(1 << CELL_BITS, np.uint8)
+    level_of[frequent[0]] = frequent[1]
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = level_of.astype(np.uint64)
         for batch in batches:
             for first, texts in chunks(batch, "text"):
                 g, owner = _sets(texts, size)
@@ -124,64 +127,87 @@ def _fold(sketch: np.ndarray, width: int) -> np.ndarray:
     return sketch.reshape(*sketch.shape[:-1], -1, width).sum(axis=-2, dtype=np.uint8)
 
 
-def _bucket_links(ids: np.ndarray, n: np.ndarray, sketches: list[bytes], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Pairs of ids that join what may be linked in a bucket, fewer than its members; with sides, across them only."""
-    order = np.argsort(n, kind="stable")
-    ids, n = ids[order], n[order]
-    side = None if side is None else side[order]
-    wide = np.array([len(sketches[k]) for k in order])
-    tables = {w: np.stack([np.frombuffer(sketches[order[k]], np.uint8) for k in np.flatnonzero(wide == w)]) for w in np.unique(wide)}
-    place = np.zeros(len(ids), np.int64)
-    for w in tables:
-        place[wide == w] = np.arange(int((wide == w).sum()))
-    group, out = np.arange(len(ids)), []
-    for k in range(len(ids)):
-        end = int(np.searchsorted(100 * n[k + 1:], -(-10000 * n[k] // percent), "right")) + k + 1
-        there = np.arange(k + 1, end)
-        there = there[group[there] != group[k]]
+def _near(ids: np.ndarray, n: np.ndarray, sketch: pa.Array, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs of rows (i, j) may be similar by length and sketch."""
+    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    near = 100 * low >= percent * high
+    offsets = np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset:sketch.offset + len(sketch) + 1].astype(np.int64)
+    data, wide = np.frombuffer(sketch.buffers()[2], np.uint8), np.diff(offsets)
+    at = np.flatnonzero(near)
+    for wi, wj in {*zip(wide[i[at]].tolist(), wide[j[at]].tolist())}:
+        own = at[(wide[i[at]] == wi) & (wide[j[at]] == wj)]
+        for part in np.array_split(own, len(own) * max(wi, wj) // (4 << 20) + 1):
+            a, b = data[offsets[i[part]][:, None] + np.arange(wi)], data[offsets[j[part]][:, None] + np.arange(wj)]
+            width = min(wi, wj)
+            total = n[i[part]] + n[j[part]]
+            near[part] = _distances(_fold(a, width), _fold(b, width)) <= total - 2 * least_common(n[i[part]], n[j[part]], percent)
+    return near
+
+
+def _bucket_stars(ids: np.ndarray, n: np.ndarray, sketch: pa.Array, begin: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over what may be linked in buckets whose rows begin at `begin`; with sides, a row meets rows of the other side only.
+
+    Rows of small buckets meet by their distance within the bucket, all buckets at once; in a large one every row meets those
+    that no link has joined it to yet, shorter sets first.
+    """
+    size = np.diff(np.append(begin, len(ids)))
+    place = np.arange(len(ids)) - np.repeat(begin, size)
+    of = np.repeat(size, size)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    small = of <= SMALL
+    for step in range(1, SMALL):
+        i = np.flatnonzero(small & (place + step < of))
+        if not len(i):
+            break
+        j = i + step
         if side is not None:
-            there = there[side[there] != side[k]]
-        for w in np.unique(wide[there]) if len(there) else ():
-            js = there[wide[there] == w]
-            low = min(int(w), int(wide[k]))
-            mine = _fold(tables[wide[k]][place[k]], low)
-            theirs = _fold(tables[w][place[js]], low)
-            total = n[js] + n[k]
-            near = js[_distances(theirs, mine) <= total - 2 * least_common(n[js], n[k], percent)]
-            for j in near:
-                if group[j] != group[k]:
-                    out.append((int(ids[k]), int(ids[j])))
-                    group[group == group[j]] = group[k]
-    return out
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of rows with equal keys, from batches sorted by them."""
+            i, j = i[side[i] != side[j]], j[side[i] != side[j]]
+        near = _near(ids, n, sketch, i, j, percent)
+        found.append((ids[i[near]], ids[j[near]]))
+    for low, count in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        rows = low + np.argsort(n[low:low + count], kind="stable")
+        group, sizes = np.arange(count), n[rows]
+        ends = np.searchsorted(percent * sizes, 100 * sizes, "right")
+        for k in range(count):
+            there = np.arange(k + 1, ends[k])
+            there = there[group[there] != group[k]]
+            if side is not None:
+                there = there[side[rows[there]] != side[rows[k]]]
+            if len(there):
+                near = there[_near(ids, n, sketch, np.full(len(there), rows[k]), rows[there], percent)]
+                if len(near):
+                    group[np.isin(group, group[near])] = group[k]
+                    found.append((np.full(len(near), ids[rows[k]]), ids[rows[near]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return stars(*(np.concatenate(c) for c in zip(*found)))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, where runs of equal keys begin) from batches sorted by the keys; runs are whole, `least` rows or more at a time."""
     held: list[pa.RecordBatch] = []
+    count = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        change[1:] = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
-        if held:
-            change[0] = any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != batch.column(k)[0].as_py() for k in keys)
-        at = np.flatnonzero(change).tolist()
-        begin = 0
-        for end in at:
-            if end > begin:
-                held.append(batch.slice(begin, end - begin))
-            if held:
-                yield pa.Table.from_batches(held)
-            held, begin = [], end
-        held.append(batch.slice(begin))
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+            if count > least:
+                table = pa.Table.from_batches(held).combine_chunks()
+                begin = _begins(table, keys)
+                if len(begin) > 1:
+                    yield table.slice(0, begin[-1]), begin[:-1]
+                    held = table.slice(begin[-1]).to_batches()
+                    count = sum(b.num_rows for b in held)
     if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _begins(table, keys)
 
 
-def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs) if pairs else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _begins(table: pa.Table, keys: list[str]) -> np.ndarray:
+    change = np.ones(table.num_rows, bool)
+    values = [table.column(k).to_numpy() for k in keys]
+    change[1:] = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
+    return np.flatnonzero(change)
 
 
 def _paired(df: DataFrame, blocks) -> DataFrame:
@@ -197,17 +223,15 @@ def _paired(df: DataFrame, blocks) -> DataFrame:
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that may be similar, enough to connect all that are."""
     def meet(batches: Iterator[pa.RecordBatch], blocked: bool) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for run in _runs(batches, ["token", "bi", "bj"] if blocked else ["token"]):
-            ids, n = run.column("id").to_numpy(), run.column("n").to_numpy().astype(np.int64)
+        for table, begin in _runs(batches, ["token", "bi", "bj"] if blocked else ["token"], ROWS):
+            ids, n = table.column("id").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+            sketch = table.column("sketch").combine_chunks()
+            sketch = sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch
             side = None
-            if blocked and run.column("bi")[0].as_py() != run.column("bj")[0].as_py():
-                side = run.column("side").to_numpy()
-            out += _bucket_links(ids, n, run.column("sketch").to_pylist(), side, percent)
-            if len(out) > 50_000:
-                yield _pairs_batch(out)
-                out = []
-        yield _pairs_batch(out)
+            if blocked:  # a pair of one block: all differ
+                same = table.column("bi").to_numpy() == table.column("bj").to_numpy()
+                side = np.where(same, np.arange(2, len(ids) + 2), table.column("side").to_numpy())
+            yield edge_batch(*_bucket_stars(ids, n, sketch, begin, side, percent))
 
     tokens = classes.where("n > 0").select("id", "n", "sketch", F.explode("prefix").alias("token"))
     met = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
@@ -219,7 +243,7 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
         dealt = _paired(tokens.join(hot, "token"), F.ceil(F.col("count") / BUCKET))
         dealt = dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
         found = found.union(dealt.select("token", "bi", "bj", "side", "id", "n", "sketch").mapInArrow(lambda b: meet(b, True), "a long, b long"))
-    return found.distinct()
+    return found
 
 
 def _confirmed(docs: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
@@ -235,23 +259,23 @@ def _confirmed(docs: DataFrame, groups: DataFrame, size: int, percent: int) -> D
                      part.column("members"), part.column("total")], ["grp", "id", "grams", "members", "total"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for run in _runs(batches, ["grp", "bi", "bj"]):
-            ids = run.column("id").to_numpy()
-            sets = [np.frombuffer(s, np.uint64) for s in run.column("grams").to_pylist()]
-            if run.column("bi")[0].as_py() == run.column("bj")[0].as_py():
-                left, right = list(range(len(sets))), None
-                links = spanning_links(sets, None, percent)
-            else:
-                side = run.column("side").to_numpy()
-                left, right = np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1).tolist()
-                links = spanning_links([sets[k] for k in left], [sets[k] for k in right], percent) if left and right else []
-            place = left + (right or [])
-            out += [(int(ids[place[a]]), int(ids[place[b]])) for a, b in links]
-            if len(out) > 50_000:
-                yield _pairs_batch(out)
-                out = []
-        yield _pairs_batch(out)
+        for table, begin in _runs(batches, ["grp", "bi", "bj"]):
+            out: list[tuple[int, int]] = []
+            for low, high in zip(begin.tolist(), [*begin[1:].tolist(), table.num_rows]):
+                run = table.slice(low, high - low)
+                ids = run.column("id").to_numpy()
+                sets = [np.frombuffer(s, np.uint64) for s in run.column("grams").to_pylist()]
+                if run.column("bi")[0].as_py() == run.column("bj")[0].as_py():
+                    left, right = list(range(len(sets))), None
+                    links = spanning_links(sets, None, percent)
+                else:
+                    side = run.column("side").to_numpy()
+                    left, right = np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1).tolist()
+                    links = spanning_links([sets[k] for k in left], [sets[k] for k in right], percent) if left and right else []
+                place = left + (right or [])
+                out += [(int(ids[place[a]]), int(ids[place[b]])) for a, b in links]
+            if out:
+                yield edge_batch(*(np.array(c, np.int64) for c in zip(*out)))
 
     sets = docs.join(groups, "id").select("grp", "id", "text", "members", "total").mapInArrow(
         load, "grp long, id long, grams binary, members long, total long")
