@@ -16,6 +16,7 @@ BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so that it has an inverse
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+NO_TOKEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -72,12 +73,12 @@ def stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((sums[ends] - sums[starts]) * shift[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of every word, text of every word, words of every text)."""
+def words(texts: list[bytes], lower: bool = False, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, text of every word, words of every text); words are runs of bytes that are no `gap`."""
     data = np.frombuffer(b"\n".join(texts), np.uint8)
     if lower:
         data = LOWER[data]
-    inside = np.concatenate([[False], ~IS_SPACE[data], [False]])
+    inside = np.concatenate([[False], ~gap[data], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
