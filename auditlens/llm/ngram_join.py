@@ -81,8 +81,10 @@ def _frequent_cells(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     return cells, np.clip(np.log2(table[cells] / max(1.0, table.mean())).astype(np.int64), 1, 62)
 
 
-def _cells_of(n: int) -> int:
-    return max(32, 1 << int(n // 32 - 1).bit_length()) if n > 32 else 32
+def _cells_of(n: int, percent: int) -> int:
+    """Cells of a sketch, a power of 2: enough that sets without a common gram lie clearly beyond the largest difference allowed."""
+    differ = 2 * (100 - percent) / (100 + percent)
+    return 1 << max(5, int(2.6 * differ * differ * n).bit_length())
 
 
 def _profiles(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -106,7 +108,7 @@ def _profiles(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarr
                 cell = mix(g ^ np.uint64(3)) >> np.uint64(32)
                 sketches = []
                 for k in range(len(texts)):
-                    m = _cells_of(n[k])
+                    m = _cells_of(int(n[k]), percent)
                     part = (cell[cuts[k]:cuts[k + 1]] & np.uint64(m - 1)).astype(np.int64)
                     sketches.append(np.bincount(part, minlength=m).astype(np.uint8).tobytes())
                 offsets = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
@@ -222,28 +224,20 @@ def _paired(df: DataFrame, blocks) -> DataFrame:
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that may be similar, enough to connect all that are."""
-    def meet(batches: Iterator[pa.RecordBatch], blocked: bool) -> Iterator[pa.RecordBatch]:
-        for table, begin in _runs(batches, ["token", "bi", "bj"] if blocked else ["token"], ROWS):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in _runs(batches, ["token", "bi", "bj"], ROWS):
             ids, n = table.column("id").to_numpy(), table.column("n").to_numpy().astype(np.int64)
             sketch = table.column("sketch").combine_chunks()
             sketch = sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch
-            side = None
-            if blocked:  # a pair of one block: all differ
-                same = table.column("bi").to_numpy() == table.column("bj").to_numpy()
-                side = np.where(same, np.arange(2, len(ids) + 2), table.column("side").to_numpy())
+            same = table.column("bi").to_numpy() == table.column("bj").to_numpy()  # a pair of one block: all differ
+            side = np.where(same, np.arange(2, len(ids) + 2), table.column("side").to_numpy())
             yield edge_batch(*_bucket_stars(ids, n, sketch, begin, side, percent))
 
-    tokens = classes.where("n > 0").select("id", "n", "sketch", F.explode("prefix").alias("token"))
+    tokens = classes.where("n > 0").select("id", F.explode("prefix").alias("token"))
     met = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-    small = met.where(F.col("df") <= BUCKET).select("token", "id", "n", "sketch").mapInArrow(lambda b: meet(b, False), "a long, b long")
-    found = small
-    hot = tokens.groupBy("token").count().where(F.col("count") > BUCKET)
-    hot = cut(hot)
-    if hot.limit(1).count():
-        dealt = _paired(tokens.join(hot, "token"), F.ceil(F.col("count") / BUCKET))
-        dealt = dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
-        found = found.union(dealt.select("token", "bi", "bj", "side", "id", "n", "sketch").mapInArrow(lambda b: meet(b, True), "a long, b long"))
-    return found
+    drawn = met.join(classes.select("id", "n", "sketch"), "id")
+    dealt = _paired(drawn, F.ceil(F.col("df") / BUCKET)).repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
+    return dealt.select("token", "bi", "bj", "side", "id", "n", "sketch").mapInArrow(meet, "a long, b long")
 
 
 def _confirmed(docs: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
