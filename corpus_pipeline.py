@@ -6,17 +6,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlens.llm import quality
+from auditlens.llm import decontamination, mixing, ngram_join, quality, secrets
 from auditlens.llm.common import shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
     return quality.quality_filter(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, similarity of 0.8 or more."""
+    return ngram_join.one_per_component(docs, size=5, percent=80)
 
-#: Offsets, sketches and links have no form in SQL; the stages are tested against brute-force versions.
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are struck out of the texts; all documents stay."""
+    return secrets.redact(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.emit(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_join_stage),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", source_mixing),
+]
+
+#: Sketches, links and tiles have no form in SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
