@@ -7,11 +7,11 @@ it streams through sorted partitions with a small state, so a busy key costs tim
 from __future__ import annotations
 
 import datetime as dt
-from collections import deque
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values: windows, limits and histogram edges ---
@@ -39,38 +39,60 @@ class IdempotencyFold:
         return ("replay" if self.accepted[2] == fingerprint else "conflict"), self.accepted[1]
 
 
-class RateFold:
-    """State of one identity: times of its admitted hits within the window."""
+class Admitted:
+    """Admission times of one identity in order. A hit is let in while fewer than `limit` of them lie within the window before it."""
 
-    def __init__(self, limit: int, window_s: float) -> None:
-        self.limit, self.window = limit, round(window_s * 1_000_000)
-        self.hits: deque[int] = deque()
+    TRIM = 4096
 
-    def step(self, us: int) -> tuple[bool, int, int]:
+    def __init__(self, limit: int, window_s: float, times: Iterable[int] = ()) -> None:
+        self.limit, self.window, self.times = limit, round(window_s * 1_000_000), list(times)
+
+    def judge(self, hits: list[int]) -> tuple[list[bool], list[int], list[int]]:
+        """(allowed, remaining, microseconds until the next is let in) for hits in order; no limit at all for one of 0 or less."""
         if self.limit <= 0:
-            return True, -1, 0
-        while self.hits and self.hits[0] <= us - self.window:
-            self.hits.popleft()
-        if len(self.hits) >= self.limit:
-            return False, 0, max(0, self.hits[0] + self.window - us)
-        self.hits.append(us)
-        return True, self.limit - len(self.hits), 0
+            return [True] * len(hits), [-1] * len(hits), [0] * len(hits)
+        allowed, remaining, wait = [], [], []
+        for us in hits:
+            free = self.limit - (len(self.times) - bisect_right(self.times, us - self.window))
+            allowed.append(free > 0)
+            remaining.append(max(free - 1, 0))
+            wait.append(0 if free > 0 else max(0, self.times[-self.limit] + self.window - us))
+            if free > 0:
+                self.times.append(us)
+                if len(self.times) > self.limit + self.TRIM:
+                    del self.times[:-self.limit]
+        return allowed, remaining, wait
+
+    def recent(self) -> list[int]:
+        return self.times[-self.limit:] if self.limit > 0 else []
 
 
 def micros(ts: pd.Series) -> list[int]:
     return ts.astype("datetime64[us]").astype("int64").tolist()
 
 
+def quiet_runs(rows: DataFrame, keys: list[str], gap: dt.timedelta) -> DataFrame:
+    """Rows with `run`, which goes up after every pause longer than `gap`: nothing from before one counts after it.
+
+    Runs of a key are folded in parallel; only a key that never pauses stays one serial run.
+    """
+    order = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    pause = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)) > F.lit(gap // dt.timedelta(microseconds=1))
+    marked = rows.withColumn("_new", F.coalesce(pause, F.lit(False)).cast("int"))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return marked.withColumn("run", F.sum("_new").over(upto)).drop("_new")
+
+
 def idempotent_intake(requests: DataFrame) -> DataFrame:
     """requests: tenant, key, event_id, ts, fingerprint -> accepted, replay or conflict for each."""
-    ready = requests.select("tenant", "key", "event_id", "ts", "fingerprint").repartition("tenant", "key").sortWithinPartitions(
-        "tenant", "key", "ts", "event_id")
+    runs = quiet_runs(requests.select("tenant", "key", "event_id", "ts", "fingerprint"), ["tenant", "key"], IDEMPOTENCY_TTL)
+    ready = runs.repartition("tenant", "key", "run").sortWithinPartitions("tenant", "key", "run", "ts", "event_id")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, IdempotencyFold()
         for pdf in batches:
             out = []
-            for key, us, event, fp in zip(zip(pdf["tenant"], pdf["key"]), micros(pdf["ts"]), pdf["event_id"], pdf["fingerprint"]):
+            for key, us, event, fp in zip(zip(pdf["tenant"], pdf["key"], pdf["run"]), micros(pdf["ts"]), pdf["event_id"], pdf["fingerprint"]):
                 if key != current:
                     current, state = key, IdempotencyFold()
                 out.append(state.step(us, event, fp))
@@ -82,19 +104,20 @@ def idempotent_intake(requests: DataFrame) -> DataFrame:
 
 def rate_admission(hits: DataFrame, limit: int = RATE_LIMIT, window_s: float = RATE_WINDOW_S) -> DataFrame:
     """hits: identity, event_id, ts. Only admitted hits count against the limit."""
-    ready = hits.select("identity", "event_id", "ts").repartition("identity").sortWithinPartitions("identity", "ts", "event_id")
+    runs = quiet_runs(hits.select("identity", "event_id", "ts"), ["identity"], dt.timedelta(seconds=window_s))
+    ready = runs.repartition("identity", "run").sortWithinPartitions("identity", "run", "ts", "event_id")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, RateFold(limit, window_s)
+        current, held = None, Admitted(limit, window_s)
         for pdf in batches:
-            out = []
-            for identity, us in zip(pdf["identity"], micros(pdf["ts"])):
-                if identity != current:
-                    current, state = identity, RateFold(limit, window_s)
-                out.append(state.step(us))
-            yield pdf.assign(
-                allowed=[a for a, _, _ in out], remaining=pd.Series([r for _, r, _ in out], dtype="int32"),
-                retry_after_us=pd.Series([w for _, _, w in out], dtype="int64"))
+            allowed, remaining, wait = [], [], []
+            for key, part in pdf.groupby(["identity", "run"], sort=False, dropna=False):
+                if key != current:
+                    current, held = key, Admitted(limit, window_s)
+                for column, values in zip((allowed, remaining, wait), held.judge(micros(part["ts"]))):
+                    column += values
+            yield pdf[["identity", "event_id", "ts"]].assign(
+                allowed=allowed, remaining=pd.Series(remaining, dtype="int32"), retry_after_us=pd.Series(wait, dtype="int64"))
 
     return ready.mapInPandas(fold, RATE_SCHEMA)
 

@@ -1,14 +1,14 @@
-"""Retention windows and erasure over the store. Tables are rewritten by anti-join, never row by row."""
+"""Retention windows and erasure, over frames of the store and over its files. Tables are rewritten by anti-join, never row by row."""
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlens.operators import ledger
-from auditlens.sources.store import KEYS, Store
+from auditlens.sources.store import KEYS, Store, delete_claims, read_store
 
 # --- fixed values: retention windows ---
 CLAIM_DAYS, TRACE_DAYS = 730, 90
@@ -55,3 +55,23 @@ def erase_claims(store: Store, requests: DataFrame, recorded_at: Column, batch:
     """
     known = requests.select(*KEYS).distinct().join(store.claims, KEYS, "left_semi")
     return without(store, known), ledger.chain_append(ledger.tombstones(known, recorded_at, reason), batch)
+
+
+def purge_store(spark: SparkSession, path: str, today: dt.date, days: int = CLAIM_DAYS, tenant: str | None = None, dry_run: bool = True) -> DataFrame:
+    """The report of a purge; unless it is a dry run, the expired claims are gone from the files afterwards."""
+    store = read_store(spark, path)
+    report = spark.createDataFrame(purge_report(store, today, days, tenant, dry_run=dry_run).collect(), purge_report(store, today, days, tenant).schema)
+    if not dry_run:
+        delete_claims(path, expired_claims(store.claims, today, days, tenant))
+    return report
+
+
+def erase_from_store(spark: SparkSession, path: str, requests: DataFrame, recorded_at: Column, batch: str,
+                     ledger_path: str, reason: str = "erasure request") -> DataFrame:
+    """Erase claims from the files. Their chained tombstones are appended to the ledger's files first, and returned."""
+    known = requests.select(*KEYS).distinct().join(read_store(spark, path).claims, KEYS, "left_semi")
+    target = f"{ledger_path}/batch={batch}"
+    ledger.chain_append(ledger.tombstones(known, recorded_at, reason), batch).write.mode("errorifexists").parquet(target)
+    tombs = spark.read.parquet(target)
+    delete_claims(path, tombs.select(*KEYS))
+    return tombs

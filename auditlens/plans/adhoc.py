@@ -1,53 +1,76 @@
-"""User SQL over the tenant views: one read-only SELECT, known tables, bounded rows and time."""
+"""User SQL over the tenant views: one read-only query, known relations and functions, bounded rows and time.
+
+What a statement may name is decided on the tree that Spark's parser makes of it, where comments, quotes and brackets no longer
+matter, against lists of what is allowed. It then runs in a session of its own that holds the views of one tenant.
+"""
 
 from __future__ import annotations
 
-import re
 import threading
 import uuid
+from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlens.sources.store import Store, register_views
 
-# --- fixed values: limits and word lists ---
+# --- fixed values: limits and the relations of a query ---
 TABLES = {"v_claims", "v_findings", "doc_gaps"}
-FORBIDDEN = (
-    "drop", "delete", "insert", "update", "alter", "create", "attach", "detach", "vacuum", "pragma", "reindex", "replace",
-    "claims", "findings",
-)
 MAX_ROWS, TIMEOUT_S, MAX_QUESTION = 200, 5.0, 500
 # --- end of fixed values ---
 
-_BANNED = re.compile(r"\b(" + "|".join(FORBIDDEN) + r")\b", re.IGNORECASE)
-_NOISE = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", re.DOTALL)
+#: Kinds of tree nodes a query may consist of; commands, file relations and table functions are none of them.
+NODES = set("""Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Distinct Join Union Intersect Except SubqueryAlias Window WithWindowDefinition
+ UnresolvedSubqueryColumnAliases UnresolvedWith UnresolvedHaving UnresolvedInlineTable UnresolvedRelation OneRowRelation Pivot Unpivot Tail""".split())
+FUNCTIONS = set("""count sum avg mean min max min_by max_by median percentile percentile_approx stddev variance corr any_value first last bool_and bool_or count_if
+ approx_count_distinct row_number rank dense_rank lag lead ntile abs ceil ceiling floor round power sqrt mod greatest least sign div coalesce nullif ifnull nvl
+ if lower upper trim ltrim rtrim length substr substring left right concat concat_ws replace split instr locate like ilike rlike regexp_extract regexp_replace
+ to_date date_add date_sub datediff date_format date_trunc year quarter month day dayofweek add_months months_between current_date to_timestamp
+ try_cast int bigint double decimal string date timestamp and or not in isnull isnotnull case when""".split())
 
 
-def _blank(m: re.Match[str]) -> str:
-    return f"'{' ' * (len(m[0]) - 2)}'" if m[0].startswith("'") else " "
+def _walk(node: Any) -> Iterator[Any]:
+    """All nodes of a parsed tree: plans and expressions, those inside subqueries and common table expressions too."""
+    yield node
+    kind = node.getClass().getName()
+    parts = [node.children(), node.innerChildren()] + ([node.expressions()] if ".plans." in kind or kind.endswith("UnresolvedRelation") else [])
+    for part in parts:
+        for k in range(part.size()):
+            yield from _walk(part.apply(k))
+    if kind.rpartition(".")[2] in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+        yield from _walk(node.plan())
 
 
-def check_sql(sql: str) -> str:
-    """The statement with a row limit, or an error saying what is wrong with it.
+def _name(parts: Any) -> str:
+    return ".".join(str(parts.apply(k)) for k in range(parts.size())).lower()
 
-    A first filter only. What keeps tenants apart is that the session holds no other rows.
-    """
+
+def check_sql(spark: SparkSession, sql: str) -> str:
+    """The statement, or an error saying what is wrong with it."""
     text = sql.strip().rstrip(";").strip()
-    bare = _NOISE.sub(_blank, text)
-    if not re.match(r"\s*(select|with)\b", bare, re.IGNORECASE):
-        raise ValueError("only SELECT statements are allowed")
-    if ";" in bare:
-        raise ValueError("only one statement is allowed")
-    if hit := _BANNED.search(bare):
-        raise ValueError(f"{hit[1].lower()!r} is not allowed in a query")
-    if "`" in bare or re.search(r"\b(?:from|join)\s+\w+\s*\.", bare, re.IGNORECASE):
-        raise ValueError("qualified or quoted table names are not allowed")
-    named = {n.lower() for n in re.findall(r"(?:\bwith\b|,)\s*(\w+)\s+as\s*\(", bare, re.IGNORECASE)}
-    used = {t.strip().lower() for group in re.findall(r"\b(?:from|join)\s+([a-z_]\w*(?:\s*,\s*[a-z_]\w*)*)", bare, re.IGNORECASE) for t in group.split(",")}
-    if unknown := used - TABLES - named:
-        raise ValueError("unknown table(s): " + ", ".join(sorted(unknown)))
-    return text if re.search(r"\blimit\s+\d+\s*$", bare, re.IGNORECASE) else f"{text}\nLIMIT {MAX_ROWS}"
+    try:
+        tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except ParseException as exc:
+        raise ValueError("this is not one SQL query") from exc
+    nodes = [(n.getClass().getName(), n) for n in _walk(tree)]
+    known = set(TABLES)
+    for kind, n in nodes:
+        if kind.endswith(".UnresolvedWith"):
+            known |= {str(n.cteRelations().apply(k).productElement(0)).lower() for k in range(n.cteRelations().size())}
+    for kind, n in nodes:
+        short = kind.rpartition(".")[2]
+        if short == "UnresolvedRelation":
+            if (name := _name(n.multipartIdentifier())) not in known:
+                raise ValueError(f"{name!r} is no table of this store")
+        elif short == "UnresolvedFunction":
+            if (name := _name(n.nameParts())) not in FUNCTIONS:
+                raise ValueError(f"the function {name!r} is not allowed")
+        elif (".plans." in kind or ".execution." in kind or short.startswith("UnresolvedT")) and short not in NODES and ".window" not in kind.lower():
+            raise ValueError(f"a query cannot hold {short}")
+    return text
 
 
 def check_question(question: str) -> str:
@@ -56,15 +79,19 @@ def check_question(question: str) -> str:
     return question
 
 
-def guarded_sql(spark: SparkSession, store: Store, sql: str, tenant: str | None = None) -> DataFrame:
-    """At most 200 rows of a checked statement. The views replace the session's own of those names."""
-    statement = check_sql(sql)
-    register_views(spark, store, tenant)
-    return spark.sql(statement).limit(MAX_ROWS)
+def guarded_sql(spark: SparkSession, store: Store, sql: str, tenant: str | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Rows of a checked statement, in a session of its own; one row more than `max_rows` at most, which tells that there are more."""
+    own = spark.newSession()
+    statement = check_sql(own, sql)
+    register_views(own, store, tenant)
+    return own.sql(statement).limit(max_rows + 1)
+
 
+def bounded_run(df: DataFrame, timeout_s: float = TIMEOUT_S, max_rows: int = MAX_ROWS) -> pd.DataFrame:
+    """Rows of a bounded result, or an error once the time is up; its jobs are then cancelled.
 
-def bounded_run(df: DataFrame, timeout_s: float = TIMEOUT_S) -> pd.DataFrame:
-    """Rows of a bounded result, or an error once the time is up; its jobs are then cancelled."""
+    `attrs["truncated"]` of what is returned tells whether rows were left out.
+    """
     spark = df.sparkSession
     tag = f"adhoc-{uuid.uuid4().hex}"
     expired = threading.Event()
@@ -78,7 +105,7 @@ def bounded_run(df: DataFrame, timeout_s: float = TIMEOUT_S) -> pd.DataFrame:
     spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
-        return df.limit(MAX_ROWS).toPandas()
+        rows = df.limit(max_rows + 1).toPandas()
     except Exception as exc:
         if expired.is_set():
             raise TimeoutError(f"the query ran for more than {timeout_s:g} s and was stopped; ask a narrower question") from exc
@@ -87,3 +114,6 @@ def bounded_run(df: DataFrame, timeout_s: float = TIMEOUT_S) -> pd.DataFrame:
         timer.cancel()
         spark.removeTag(tag)
         spark.sparkContext.removeJobTag(tag)
+    out = rows.head(max_rows)
+    out.attrs["truncated"] = len(rows) > max_rows
+    return out

@@ -6,6 +6,7 @@ A session that is handed in is used as it is; only a session opened here gets th
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +35,14 @@ def local_session(cores: int | str = "*", name: str = "auditlens", **extra: str)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what spark.checkpoint.dir names. Only a local session may go without."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("a cluster has to name its shared folder in spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="auditlens-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")

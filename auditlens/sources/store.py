@@ -1,7 +1,13 @@
-"""The audit store: three Parquet tables in paise, keyed (tenant, claim_id), and the views over them."""
+"""The audit store: three Parquet tables in paise, keyed (tenant, claim_id), and the views over them.
+
+A claim's rows lie in the folder of its tenant and of the bucket its id hashes to, whatever else changes about it. A save or a
+delete rewrites exactly the buckets of the claims it touches. A folder cannot be overwritten with nothing, so a bucket that
+becomes empty holds one row without a claim_id, which readers leave out.
+"""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -11,7 +17,9 @@ from pyspark.sql import functions as F
 from auditlens.functions.money import from_paise
 
 KEYS = ["tenant", "claim_id"]
-PARTITIONS = {"claims": ["tenant", "month"], "findings": ["tenant"], "doc_gaps": ["tenant"]}
+TABLES = ("claims", "findings", "doc_gaps")
+PLACE = ["tenant", "bucket"]
+BUCKETS = 64
 SCHEMAS = {
     "claims": ("tenant string, claim_id string, audited_at timestamp, month string, diagnosis string, procedure string, gross_bill_paise bigint, "
                "settlement_paise bigint, patient_liability_paise bigint, hospital_writeoff_paise bigint, room_rent_deduction_paise bigint, "
@@ -60,31 +68,63 @@ def orphans(children: DataFrame, claims: DataFrame) -> DataFrame:
     return children.join(claims.select(*KEYS), KEYS, "left_anti")
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("claim_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _columns(name: str) -> list[str]:
+    return [f.split()[0] for f in SCHEMAS[name].split(", ")]
+
+
+def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(f"{SCHEMAS[name]}, bucket int").parquet(f"{path}/{name}").where("claim_id is not null")
+
+
 def read_store(spark: SparkSession, path: str) -> Store:
-    return Store(*[spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}") for t in PARTITIONS])
+    return Store(*[_read(spark, path, t).select(*_columns(t)) for t in TABLES])
 
 
 def save_store(path: str, new: Store) -> None:
-    """Upsert whole claims into the store: the rows of a claim that is saved again are replaced.
-
-    Only partitions of a tenant that has new rows are rewritten. The new state is written to a staging
-    folder first, because a table cannot be overwritten while it is read.
-    """
-    spark = new.claims.sparkSession
+    """Delete, then insert, whole claims: no row of a claim that is saved again outlives the save."""
     for name, child in (("findings", new.findings), ("doc_gaps", new.doc_gaps)):
         if not orphans(child, new.claims).isEmpty():
             raise ValueError(f"{name} holds rows of claims that are not being saved")
-    for name, columns in PARTITIONS.items():
-        rows, target = getattr(new, name), f"{path}/{name}"
+    _rewrite(path, new.claims.select(*KEYS), new)
+
+
+def delete_claims(path: str, keys: DataFrame) -> None:
+    """Remove claims and their findings and gaps from the files. Keys that are not stored change nothing."""
+    known = keys.select(*KEYS).join(_read(keys.sparkSession, path, "claims").select(*KEYS), KEYS, "left_semi")
+    _rewrite(path, known, None)
+
+
+def _rewrite(path: str, gone: DataFrame, new: Store | None) -> None:
+    """Write the touched buckets of all tables without the rows of `gone` and with those of `new`.
+
+    Every table's new state is written to a staging folder before any folder is overwritten: tables cannot be overwritten
+    while they are read, and `gone` and `new` may themselves be read from them. The claims come last.
+    """
+    spark = gone.sparkSession
+    staging = f"{path}/_staging"
+    gone.distinct().select(*KEYS, _bucket()).write.mode("overwrite").parquet(f"{staging}/gone")
+    gone = spark.read.parquet(f"{staging}/gone")
+    touched = gone.select(*PLACE).distinct()
+    order = TABLES[::-1]
+    for name in order:
+        columns, target = _columns(name), f"{path}/{name}"
+        parts = [touched.select(*[F.col(c) if c in PLACE else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in SCHEMAS[name].split(", "))], "bucket")]
+        if new is not None:
+            parts.append(getattr(new, name).select(*columns, _bucket()))
         if _exists(spark, target):
-            old = spark.read.schema(SCHEMAS[name]).parquet(target)
-            tenants = old.join(new.claims.select("tenant").distinct(), "tenant", "left_semi")
-            rows = upsert_rows(tenants.select(*rows.columns), rows, new.claims)
-            staging = f"{path}/_staging/{name}"
-            rows.write.mode("overwrite").partitionBy(*columns).parquet(staging)
-            rows = spark.read.schema(SCHEMAS[name]).parquet(staging).select(*rows.columns)
-        (rows.repartition(*columns, F.pmod(F.xxhash64("claim_id"), F.lit(8))).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(target))
+            old = _read(spark, path, name).join(touched, PLACE, "left_semi").select(*columns, "bucket")
+            parts.append(old.join(gone.select(*KEYS), KEYS, "left_anti").select(*columns, "bucket"))
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        rows.write.mode("overwrite").parquet(f"{staging}/{name}")
+    for name in order:
+        (spark.read.parquet(f"{staging}/{name}").repartition(*PLACE).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(f"{path}/{name}"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -112,13 +152,16 @@ def scoped(df: DataFrame, tenant: str | None) -> DataFrame:
 
 
 def register_views(spark: SparkSession, store: Store, tenant: str | None = None) -> None:
-    """v_claims, v_findings and doc_gaps of one tenant (all tenants for None) in a session of their own.
+    """v_claims, v_findings and doc_gaps of one tenant (all tenants for None) in the session `spark`.
 
-    Queries name no tenant and cannot reach another one: the rows are not in the view.
+    Queries name no tenant and cannot reach another one: the rows are not in the view. The frames may belong to another session
+    of the application; they pass over under a global name that is gone at once.
     """
-    scoped(rupee_view(store.claims), tenant).createOrReplaceTempView("v_claims")
-    scoped(rupee_view(store.findings), tenant).createOrReplaceTempView("v_findings")
-    scoped(store.doc_gaps, tenant).createOrReplaceTempView("doc_gaps")
+    for name, df in (("v_claims", rupee_view(store.claims)), ("v_findings", rupee_view(store.findings)), ("doc_gaps", store.doc_gaps)):
+        passing = f"pass_{uuid.uuid4().hex}"
+        scoped(df, tenant).createGlobalTempView(passing)
+        spark.table(f"global_temp.{passing}").createOrReplaceTempView(name)
+        spark.catalog.dropGlobalTempView(passing)
 
 
 # --- reads -------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditlens.operators.intake import (
-    IDEMPOTENCY_TTL, INTAKE_SCHEMA, RATE_LIMIT, RATE_SCHEMA, RATE_WINDOW_S, IdempotencyFold, RateFold, micros,
+    IDEMPOTENCY_TTL, INTAKE_SCHEMA, RATE_LIMIT, RATE_SCHEMA, RATE_WINDOW_S, Admitted, IdempotencyFold, micros,
 )
 
 _OUT = ["tenant", "key", "event_id", "ts", "outcome", "accepted_event"]
@@ -47,18 +47,23 @@ def distinct_requests(requests: DataFrame, window: str = "24 hours") -> DataFram
     return requests.withWatermark("ts", window).dropDuplicatesWithinWatermark(["tenant", "key"])
 
 
-def rate_stream(hits: DataFrame, limit: int = RATE_LIMIT, window_s: float = RATE_WINDOW_S) -> DataFrame:
-    """Sliding-window admission; the state of an identity is the times of its admitted hits."""
+def rate_stream(hits: DataFrame, limit: int = RATE_LIMIT, window_s: float = RATE_WINDOW_S, lateness: str = "10 minutes") -> DataFrame:
+    """Sliding-window admission; the state of an identity is the times it was let in at, forgotten a window after the last hit."""
 
     def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        one = RateFold(limit, window_s)
-        if state.exists:
-            one.hits.extend(state.get[0])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = Admitted(limit, window_s, state.get[0] if state.exists else ())
         rows = _ordered(batches)
-        out = [one.step(us) for us in micros(rows["ts"])]
-        state.update((list(one.hits),))
+        times = micros(rows["ts"])
+        allowed, remaining, wait = held.judge(times)
+        state.update((held.recent(),))
+        expiry_ms = max([*held.recent(), *times]) // 1000 + int(window_s * 1000) + 1
+        state.setTimeoutTimestamp(max(expiry_ms, state.getCurrentWatermarkMs() + 1))
         yield rows[["identity", "event_id", "ts"]].assign(
-            allowed=[a for a, _, _ in out], remaining=pd.Series([r for _, r, _ in out], index=rows.index, dtype="int32"),
-            retry_after_us=pd.Series([w for _, _, w in out], index=rows.index, dtype="int64"))
+            allowed=allowed, remaining=pd.Series(remaining, index=rows.index, dtype="int32"),
+            retry_after_us=pd.Series(wait, index=rows.index, dtype="int64"))
 
-    return hits.groupBy("identity").applyInPandasWithState(fold, RATE_SCHEMA, "hits array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return hits.withWatermark("ts", lateness).groupBy("identity").applyInPandasWithState(
+        fold, RATE_SCHEMA, "hits array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -55,9 +55,11 @@ def test_guarded_sql(spark, saved):
     for sql in ("DELETE FROM v_claims", "SELECT 1; SELECT 2", "SELECT * FROM claims", "SELECT 1 /* */ UNION SELECT 2 FROM secrets", "SELECT /*x*/ * FROM v_claims JOIN x.y",
                 "SELECT * FROM parquet.`/etc`", "WITH a AS (SELECT 1) DROP TABLE a"):
         with pytest.raises(ValueError):
-            adhoc.check_sql(sql)
-    assert adhoc.check_sql("select 1 from v_claims limit 5").endswith("limit 5")
-    assert adhoc.check_sql("select 1 from v_claims").endswith("LIMIT 200")
+            adhoc.check_sql(spark, sql)
+    assert adhoc.guarded_sql(spark, store, "select 1 from v_claims limit 1").count() == 1
+    many = adhoc.guarded_sql(spark, store, "select a.claim_id from v_findings a, v_findings b, v_findings c, v_findings d, v_findings e")
+    rows = adhoc.bounded_run(many, 120)
+    assert len(rows) == 200 and rows.attrs["truncated"] and not adhoc.bounded_run(many.limit(3), 120).attrs["truncated"]
     with pytest.raises(ValueError):
         adhoc.check_question("x" * 501)
 
@@ -107,3 +109,51 @@ def test_retention(spark, saved):
     left, tombs = retention.erase_claims(store, spark.createDataFrame([("t", "A"), ("t", "NONE")], "tenant string, claim_id string"), F.lit("2026-01-01"), "e")
     assert [r.claim_id for r in left.claims.collect()] == ["B"] and [(r.claim_id, r.verdict) for r in tombs.collect()] == [("A", "ERASED")]
     assert ledger.verify_entries(tombs).count() == 0
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT * FROM v_claims a, secret b", 'SELECT "-- " AS a, s.* FROM secret s', "SELECT * FROM (v_claims), (secret)",
+    "SELECT reflect('java.lang.System','getProperty','user.home')", "SELECT (SELECT max(x) FROM secret) FROM v_claims", "SELECT * FROM v_claims WHERE claim_id IN (SELECT id FROM secret)",
+    "WITH a AS (SELECT * FROM secret) SELECT * FROM a", "SELECT * FROM range(5)", "SELECT * FROM global_temp.v_claims", "SELECT explode(array(1))", "SET x=1", "SHOW TABLES",
+    "FROM v_claims INSERT INTO t SELECT *", "SELECT * FROM v_claims LATERAL VIEW explode(array(1)) t AS x", "SELECT TRANSFORM(claim_id) USING 'cat' FROM v_claims",
+    "SELECT * FROM csv.`/etc/passwd`", "CREATE VIEW v AS SELECT 1", "SELECT * FROM v_claims WHERE EXISTS (SELECT 1 FROM secret)"])
+def test_the_guard_reads_the_parsed_query(spark, sql):
+    with pytest.raises(ValueError):
+        adhoc.check_sql(spark, sql)
+
+
+def test_tenants_at_once_stay_apart(spark, saved):
+    store = st.read_store(spark, saved)
+    mine = adhoc.guarded_sql(spark, store, "SELECT count(*) AS n, max(gross_bill) FROM v_claims", "t")
+    other = adhoc.guarded_sql(spark, store, "WITH c AS (SELECT * FROM v_claims) SELECT count(*) AS n FROM c", "other")
+    assert (mine.first().n, other.first().n, mine.first().n) == (2, 0, 2)
+    assert not spark.catalog.tableExists("v_claims")
+
+
+def months_of(store):
+    return sorted((r.claim_id, r.month) for r in store.claims.collect())
+
+
+def test_files_after_saves_deletes_and_purges(spark, run, tmp_path):
+    path, later = str(tmp_path / "s"), {"context": {"admission_date": "2026-06-04", "discharge_date": "2026-06-07"}}
+    first, _ = run(packet("A", [ROOM, line(2, "Stent", 500, "IMPLANT")]), packet("B", [ROOM]), packet("C", [ROOM]))
+    st.save_store(path, st.store_rows(first))
+    assert st.read_store(spark, path).doc_gaps.where("claim_id = 'A'").count() > 0
+    again, _ = run(packet("A", [ROOM], **later))
+    st.save_store(path, st.store_rows(again))
+    store = st.read_store(spark, path)
+    assert months_of(store) == [("A", "2026-06"), ("B", "2026-05"), ("C", "2026-05")]
+    assert store.doc_gaps.where("claim_id = 'A'").count() == again.gaps.count()
+    tombs = retention.erase_from_store(spark, path, spark.createDataFrame([("t", "B"), ("t", "NONE"), ("x", "A")], "tenant string, claim_id string"),
+                                       F.lit("2026-07-01"), "e1", str(tmp_path / "ledger"))
+    assert [(r.claim_id, r.verdict) for r in tombs.collect()] == [("B", "ERASED")]
+    raw = spark.read.parquet(f"{path}/claims").where("claim_id is not null")
+    assert sorted(r.claim_id for r in raw.collect()) == ["A", "C"] and st.read_store(spark, path).findings.where("claim_id = 'B'").count() == 0
+    day = dt.date(2028, 5, 8)
+    assert retention.purge_store(spark, path, day).first().claims_deleted == 1 and len(months_of(st.read_store(spark, path))) == 2
+    assert not retention.purge_store(spark, path, day, dry_run=False).first().dry_run
+    assert months_of(st.read_store(spark, path)) == [("A", "2026-06")]
+    st.delete_claims(path, spark.createDataFrame([("t", "A")], "tenant string, claim_id string"))
+    assert months_of(st.read_store(spark, path)) == [] and st.read_store(spark, path).findings.count() == 0
+    st.save_store(path, st.store_rows(first))
+    assert len(months_of(st.read_store(spark, path))) == 3
