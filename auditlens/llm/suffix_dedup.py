@@ -7,10 +7,11 @@ and neighbouring windows share one.
 1. Every text gives its anchors, each with a hash of the bytes there and a hash of the whole segment that its windows cover. Equal
    segments are the same windows: all but the first go at once, in the task itself where possible, else where the anchor's hash
    meets. Anchors that occur once have no repeated window.
-2. What is left are segments that share their anchor's bytes but differ somewhere. Spark range-partitions their suffixes, by
-   leading bytes, then document, with sampled splitters. A bucket sorts its suffixes by multikey quicksort; neighbours' common
-   prefixes, with the bytes to the left, tell which windows are equal. A class of windows at the edge of a bucket may go on in
-   the next, so buckets hand over the first window of these classes, and they are compared across boundaries.
+2. What is left are segments that share their anchor's bytes but differ somewhere. Spark range-partitions their suffixes by
+   leading bytes, with sampled splitters; where more than `HOT` segments share an anchor's bytes, splitters go by the whole
+   suffix and the document as well. A bucket sorts its suffixes by multikey quicksort; neighbours' common prefixes, with the bytes
+   to the left, tell which windows are equal. A class of such a hot anchor at the edge of a bucket may go on in the next, so
+   buckets hand over the first window of these classes, and they are compared across boundaries.
 3. The intervals are joined to the texts, which travel compressed.
 """
 
@@ -33,6 +34,7 @@ WIDTH = 100
 GRAM = 24
 PIECE = 4 << 20
 FLUSH = 600_000
+HOT = 20_000
 NO_ID = (1 << 63) - 1
 LOW = np.uint64((1 << 24) - 1)
 
@@ -122,18 +124,18 @@ def _rows(h: np.ndarray, s: np.ndarray, rid: np.ndarray, at: np.ndarray, done: b
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (suffix, left, id, anchor) of the segments that a text is asked for."""
+    """Rows (suffix, left, id, anchor, hot) of the segments that a text is asked for."""
     for batch in batches:
-        out: list[tuple[bytes, bytes, int, int]] = []
+        out: list[tuple[bytes, bytes, int, int, bool]] = []
         for rid, packed, wanted in zip(batch.column("id").to_pylist(), batch.column("z"), batch.column("wanted")):
             text = zlib.decompress(packed.as_py())
             for value in wanted.as_py():
-                first, way, more = value >> 16, value >> 8 & 255, value & 255
+                first, way, more = value >> 17, value >> 9 & 255, value >> 1 & 255
                 at = first + way
-                out.append((text[at:first + more + WIDTH], text[first:at][::-1], rid, at))
+                out.append((text[at:first + more + WIDTH], text[first:at][::-1], rid, at, bool(value & 1)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.int64(), pa.int64()))],
-                                             ["suffix", "left", "id", "anchor"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()))],
+                                             ["suffix", "left", "id", "anchor", "hot"])
 
 
 def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +145,7 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return
     table = pa.Table.from_batches(held)
     bucket = Bucket(table.column("suffix").to_pylist(), table.column("left").to_pylist(), table.column("id").to_numpy(),
-                    table.column("anchor").to_numpy(), WIDTH)
+                    table.column("anchor").to_numpy(), WIDTH, table.column("hot").to_numpy())
     rid, first, last = bucket.intervals()
     names = ["id", "first", "last", "k1", "k2"]
     none = pa.nulls(len(rid), pa.int64())
@@ -177,17 +179,19 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     segments = docs.mapInArrow(_segments, "h long, s long, id long, at long, done boolean")
     meet = Window.partitionBy("h", "done").orderBy("s", "id", "at")
     every = meet.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    known = segments.select("*", F.lag("s").over(meet).alias("_same"), F.min("s").over(every).alias("_low"), F.max("s").over(every).alias("_high"))
+    known = segments.select("*", F.lag("s").over(meet).alias("_same"), F.min("s").over(every).alias("_low"), F.max("s").over(every).alias("_high"),
+                            (F.count(F.lit(1)).over(every) > HOT).alias("hot"))
     again = F.col("done") | F.coalesce(F.col("_same") == F.col("s"), F.lit(False))
-    known = cut(known.select("id", "at", F.when(F.col("done"), F.col("s")).alias("last"), again.alias("again"),
+    known = cut(known.select("id", "at", F.when(F.col("done"), F.col("s")).alias("last"), again.alias("again"), "hot",
                              (F.col("_low") != F.col("_high")).alias("differ")).where("again or differ"))
     start = F.shiftright("at", 16)
     whole = known.where("again").select("id", F.when(F.col("last").isNull(), start).otherwise(F.col("at")).alias("first"),
                                         F.coalesce("last", start + F.col("at").bitwiseAND(F.lit(255))).alias("last"))
-    wanted = known.where("not again").groupBy("id").agg(F.collect_list("at").alias("wanted"))
+    wanted = known.where("not again").groupBy("id").agg(F.collect_list(F.col("at") * 2 + F.col("hot").cast("int")).alias("wanted"))
     suffixes = docs.mapInArrow(_pack, "id long, z binary").join(wanted, "id").mapInArrow(
-        _cut_out, "suffix binary, left binary, id long, anchor long")
-    found = cut(suffixes.repartitionByRange("suffix", "id").mapInArrow(_sorted_bucket, "id long, first long, last long, k1 long, k2 long"))
+        _cut_out, "suffix binary, left binary, id long, anchor long, hot boolean")
+    dealt = suffixes.repartitionByRange(F.substring("suffix", 1, GRAM), F.when(F.col("hot"), F.col("suffix")), F.when(F.col("hot"), F.col("id")))
+    found = cut(dealt.mapInArrow(_sorted_bucket, "id long, first long, last long, k1 long, k2 long"))
     across = found.where("k1 is not null").withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id", "first"))).where("n > 1")
     return whole.union(found.where("k1 is null").select("id", "first", "last")).union(across.select("id", "first", "last"))
 

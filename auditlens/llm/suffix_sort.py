@@ -42,15 +42,17 @@ def common_prefixes(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Bucket:
-    """Windows of `width` bytes round anchors: `right` from the anchor on, `left` before it in reverse, order by (rid, anchor)."""
+    """Windows of `width` bytes round anchors: `right` from the anchor on, `left` before it in reverse, order by (rid, anchor).
 
-    def __init__(self, right: list[bytes], left: list[bytes], rid: np.ndarray, anchor: np.ndarray, width: int) -> None:
+    Windows of a `hot` anchor may have equals in other buckets, those of another anchor have not."""
+
+    def __init__(self, right: list[bytes], left: list[bytes], rid: np.ndarray, anchor: np.ndarray, width: int, hot: np.ndarray) -> None:
         pad = -(-max(map(len, right)) // 8) * 8
         rows = np.frombuffer(b"".join(r.ljust(pad, b"\0") for r in right), np.uint8).reshape(-1, pad)
         lengths = np.array([len(r) for r in right])
         order = multikey_order(rows.view(">u8").astype(np.uint64), lengths)
         self.width, self.right, self.left = width, [right[k] for k in order], [left[k] for k in order]
-        self.rid, self.anchor, self.size = rid[order], anchor[order], lengths[order]
+        self.rid, self.anchor, self.size, self.hot = rid[order], anchor[order], lengths[order], hot[order]
         self.before = np.array([len(s) for s in self.left])
         self.common = common_prefixes(rows[order], self.size)
         rank = np.empty(len(order), np.int64)
@@ -78,7 +80,7 @@ class Bucket:
         same[1:] = (run[order[1:]] == run[order[:-1]]) & (hashes[order[1:]] == hashes[order[:-1]])
         self.repeated[order[same], o] = True
         edge = order[~same]
-        edge = edge[(run[edge] == run[0]) | (run[edge] == run[-1])]
+        edge = edge[self.hot[edge] & ((run[edge] == run[0]) | (run[edge] == run[-1]))]
         self.open += [(int(k), o) for k in edge]
 
     def intervals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -53,8 +53,9 @@ def noisy():
 
 
 @pytest.mark.parametrize("small", [False, True])
-def test_against_all_windows(spark, noisy, small):
-    if small:  # buckets of a few suffixes
+def test_against_all_windows(spark, noisy, small, monkeypatch):
+    if small:  # buckets of a few suffixes, all anchors hot
+        monkeypatch.setattr(suffix_dedup, "HOT", 0)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         spark.conf.set("spark.sql.shuffle.partitions", "60")
     try:
@@ -82,7 +83,7 @@ def test_multikey_order():
 
 
 def test_bucket_finds_equal_windows_only():
-    b = Bucket([b"cdefXX", b"cdefgh", b"cdef"], [b"ba", b"ba", b"bz"], np.array([3, 1, 2]), np.array([2, 2, 2]), 6)
+    b = Bucket([b"cdefXX", b"cdefgh", b"cdef"], [b"ba", b"ba", b"bz"], np.array([3, 1, 2]), np.array([2, 2, 2]), 6, np.ones(3, bool))
     found = {(int(i), s) for i, a, z in zip(*b.intervals()) for s in range(a, z + 1)}
     assert found == {(3, 0)}
 
