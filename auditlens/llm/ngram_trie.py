@@ -6,7 +6,8 @@ import numpy as np
 
 
 #: Cells of the table that probes walking together share.
-PROBE_CELLS = 1_500_000
+PROBE_CELLS = 1_000_000
+RANKS_AT_ONCE = 400_000
 
 
 def least_common(n, m, percent: int):
@@ -142,9 +143,16 @@ class Trie:
                 break
             n, low, high, depth = n[new], low[new], high[new], depth[new]
             size = self.at[child + 1] - self.at[child]
-            starts = np.cumsum(size) - size
-            at = np.repeat(self.at[child] - starts, size) + np.arange(int(size.sum()))
-            got = got + np.add.reduceat(marks[np.repeat(by, size), self.ranks[at] + 1], starts)
+            total = np.cumsum(size)
+            more, low_at = np.zeros(len(child), np.int64), 0
+            while low_at < len(child):  # so many ranks at a time
+                high_at = max(low_at + 1, int(np.searchsorted(total, total[low_at] - size[low_at] + RANKS_AT_ONCE, "right")))
+                own = size[low_at:high_at]
+                starts = np.cumsum(own) - own
+                at = np.repeat(self.at[child[low_at:high_at]] - starts, own) + np.arange(int(own.sum()))
+                more[low_at:high_at] = np.add.reduceat(marks[np.repeat(by[low_at:high_at], own), self.ranks[at] + 1], starts)
+                low_at = high_at
+            got = got + more
             left = n - upto[by, self.last[child] + 1]
             alive = (got + left >= least_common(n, low, percent)) & (got + high - depth >= least_common(n, high, percent))
             by, nodes, got = by[alive], child[alive], got[alive]
