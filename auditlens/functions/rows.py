@@ -1,4 +1,4 @@
-"""Row-level helpers: small constant tables, joins that spread hot keys, ordinals."""
+"""Row-level helpers: small constant tables, joins that spread hot keys, top rows per group."""
 
 from __future__ import annotations
 
@@ -101,24 +101,6 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Sequen
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
-def ordinal(df: DataFrame, name: str, keys: Sequence[str], bucket: str, order: Sequence[Column]) -> DataFrame:
-    """1-based position within `keys` by (bucket, *order), without sorting a whole group in one task.
-
-    `bucket` is a leading sort column that cuts a group into ordered pieces (a page number, a
-    day). Pieces are numbered on their own; a piece starts after the rows counted in those before it.
-    """
-    pieces = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    numbered = df.withColumn("_inside", F.row_number().over(inside))
-    return (
-        numbered.join(starts, [*keys, bucket])
-        .withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint"))
-        .drop("_before", "_inside")
-    )
-
-
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
                   name: str = "rank") -> DataFrame:
     """First k rows of every group. Spark prunes each partition to k rows before the shuffle."""

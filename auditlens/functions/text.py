@@ -92,11 +92,11 @@ def staleness(status: Column, superseded_by: Column, verified_on: Column, today:
     age = F.datediff(today, verified_on)
     return (
         F.when(status == "superseded",
-               F.concat(F.lit("Superseded by "), F.coalesce(F.nullif(superseded_by, F.lit("")), F.lit("a later document")), F.lit(".")))
+               F.concat(F.lit("Replaced; the text now in force: "), F.coalesce(F.nullif(superseded_by, F.lit("")), F.lit("not recorded"))))
         .when((status == "unverified") | verified_on.isNull(),
-              F.lit("Not yet verified against the issuing body's current publication."))
-        .when(age > 365, F.concat(F.lit("Last verified "), age.cast("string"), F.lit(" days ago, on "),
-                                  verified_on.cast("string"), F.lit(".")))
+              F.lit("Nobody has compared this with the published text."))
+        .when(age > 365, F.concat(F.lit("Compared on "), verified_on.cast("string"), F.lit(", which is "),
+                                  age.cast("string"), F.lit(" days back.")))
     )
 
 

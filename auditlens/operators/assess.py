@@ -189,9 +189,8 @@ def verdict(verify_passed: Column) -> Column:
 
 def narrative(low: Column, high: Column, patient: Column, hospital: Column) -> Column:
     return F.concat(
-        F.lit("The bill comes to "), rs(F.col("gross_paise")), F.lit(". The estimated settlement is between "), rs(low), F.lit(" and "), rs(high),
-        F.lit(", depending on how the insurer treats associated charges. The patient is estimated to owe "), rs(patient),
-        F.lit(" and the hospital to write off "), rs(hospital), F.lit("."))
+        F.lit("Total billed: "), rs(F.col("gross_paise")), F.lit(". Range of settlement over the three profiles: "), rs(low), F.lit(" to "), rs(high),
+        F.lit(". Typical share of the patient: "), rs(patient), F.lit("; not recoverable for the hospital: "), rs(hospital), F.lit("."))
 
 
 def action_list(wf: DataFrame, findings: DataFrame, gaps: DataFrame, flags: DataFrame) -> DataFrame:
@@ -202,13 +201,13 @@ def action_list(wf: DataFrame, findings: DataFrame, gaps: DataFrame, flags: Data
         F.concat(F.initcap(F.replace("step", F.lit("_"), F.lit(" "))), F.lit(": "), "basis").alias("action"))
     rebill = findings.where("bearer = 'HOSPITAL'").select(
         *KEYS, F.lit(2).alias("section"), F.col("line_no").alias("position"),
-        F.concat(F.lit("Do not bill '"), "description", F.lit("' on its own: "), "reason").alias("action"))
+        F.concat(F.lit("Line billed apart, merge it: "), "description", F.lit(" ("), "reason", F.lit(")")).alias("action"))
     attach = gaps.select(
         *KEYS, F.lit(3).alias("section"), F.col("ord").cast("bigint").alias("position"),
-        F.concat(F.lit("["), "severity", F.lit("] Attach "), "name", F.lit(": "), "reason").alias("action"))
+        F.concat("name", F.lit(" is missing ("), "severity", F.lit("). "), "reason").alias("action"))
     flagged = flags.select(
         *KEYS, F.lit(4).alias("section"), F.col("ord").cast("bigint").alias("position"),
-        F.concat(F.lit("["), "severity", F.lit("] "), "message").alias("action"))
+        F.concat("message", F.lit(" ("), "severity", F.lit(")")).alias("action"))
     review = unmapped_items(findings).select(
         *KEYS, F.lit(5).alias("section"), F.col("line_no").alias("position"),
         F.concat(F.lit("Look at '"), "description", F.lit("' by hand.")).alias("action"))

@@ -176,7 +176,7 @@ def enrich(verdicts: DataFrame, rules: DataFrame, sources: DataFrame) -> DataFra
         F.col("chunk_id").alias("cited_chunk_id"), F.col("bearer").alias("rule_bearer"), F.col("severity").alias("rule_severity"),
         F.col("title").alias("rule_title"), "source_id",
         tx.attribution(F.col("reference"), F.col("source_title"), F.col("source_id"), F.col("citation")).alias("citation"))
-    return verdicts.join(F.broadcast(known), "cited_chunk_id", "left")
+    return verdicts.join(known, "cited_chunk_id", "left")
 
 
 def as_findings(judged: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlens.functions import text as tx
 from auditlens.functions.money import parse_amount, rate_per_day
-from auditlens.functions.rows import MARK, evaluated, here, ordinal
+from auditlens.functions.rows import MARK, evaluated, here
 
 # --- fixed values: shape of a row and the accept threshold ---
 MIN_CELLS, MIN_ITEMS = 6, 3
@@ -15,6 +15,12 @@ READ_CONFIDENCE = 0.7
 # --- end of fixed values ---
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """line_no in reading order. A document is bounded, so its rows meet in one sorted window, and the cells are read once."""
+    order = Window.partitionBy("doc_id").orderBy("page", "row_no")
+    return rows.withColumn("line_no", F.row_number().over(order).cast("bigint"))
+
+
 def rows_to_items(cells: DataFrame) -> DataFrame:
     """Priced rows of ruled tables, numbered per document in reading order. Headers, totals and blanks drop out."""
     cell = lambda i: tx.strip(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
@@ -26,7 +32,7 @@ def rows_to_items(cells: DataFrame) -> DataFrame:
         "doc_id", "page", "row_no", "description", tx.head_from_department(F.col("department")).alias("head"),
         parse_amount(F.col("quantity_text"), "1").alias("quantity"), parse_amount(F.col("rate_text")).alias("unit_rate"), "amount",
         "amount_text", F.lit(1.0).alias("extract_confidence"))
-    return ordinal(items, "line_no", ["doc_id"], "page", [F.asc("row_no")])
+    return numbered(items)
 
 
 def dedupe_rows(rows: DataFrame, drop_blank: bool = False) -> DataFrame:
@@ -38,7 +44,7 @@ def dedupe_rows(rows: DataFrame, drop_blank: bool = False) -> DataFrame:
     kept = [c for c in rows.columns if c not in ("doc_id", "page", "row_no", "line_no")]
     first = source.groupBy("doc_id", tx.item_key(F.col("description")).alias("_key"), F.col("amount_text").alias("_text")).agg(
         F.min_by(F.struct("page", "row_no", *kept), F.struct("page", "row_no")).alias("r"))
-    return ordinal(first.select("doc_id", "r.*"), "line_no", ["doc_id"], "page", [F.asc("row_no")])
+    return numbered(first.select("doc_id", "r.*"))
 
 
 def room_stay_from_items(items: DataFrame) -> DataFrame:

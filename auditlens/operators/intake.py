@@ -77,7 +77,7 @@ def quiet_runs(rows: DataFrame, keys: list[str], gap: dt.timedelta) -> DataFrame
     Runs of a key are folded in parallel; only a key that never pauses stays one serial run.
     """
     order = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    pause = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)) > F.lit(gap // dt.timedelta(microseconds=1))
+    pause = F.col("ts") > F.lag("ts").over(order) + F.make_dt_interval(secs=F.lit(gap.total_seconds()).cast("decimal(18,6)"))
     marked = rows.withColumn("_new", F.coalesce(pause, F.lit(False)).cast("int"))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return marked.withColumn("run", F.sum("_new").over(upto)).drop("_new")

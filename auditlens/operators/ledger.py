@@ -26,12 +26,16 @@ CHAINED = (
     "strategy", "verdict", "gross_paise", "settlement_paise", "patient_paise",
     "hospital_paise", "finding_counts", "verify_passed", "prev_hash",
 )
-HISTORY_LIMIT = 500
+HISTORY_PAGE = 100
 # --- end of fixed values ---
 
 CHAIN_LENGTH = 256
 PREV_REASON = "prev_hash does not match the entry before: an entry was removed or moved"
 HASH_REASON = "entry_hash does not match the content: the entry was changed afterwards"
+MISSING_REASON = "the chain is listed but has no entries"
+UNLISTED_REASON = "the chain has entries but is not listed"
+SHORT_REASON = "the chain ends before its listed end"
+HEAD_REASON = "the chain ends with another entry than listed"
 
 
 def packet_digest(claims: DataFrame, lines: DataFrame) -> DataFrame:
@@ -124,37 +128,63 @@ def chain_append_long(rows: DataFrame, batch: str, chain_length: int = CHAIN_LEN
     return ready.mapInPandas(fold, schema)
 
 
-def verify_entries(entries: DataFrame) -> DataFrame:
-    """Entries that break their chain, with the reason; every entry is judged on its own, in parallel."""
-    w = Window.partitionBy("chain").orderBy("seq")
-    expected = F.lag("entry_hash", 1, GENESIS).over(w)
+def _judged(entries: DataFrame) -> DataFrame:
+    """Entries with the reason why one breaks its chain, or NULL; every entry is judged on its own, in parallel."""
+    expected = F.lag("entry_hash", 1, GENESIS).over(Window.partitionBy("chain").orderBy("seq"))
     recomputed = sha256_text(content(F.col("prev_hash")))
     return entries.withColumn("_expected", expected).select(
         "chain", "seq", F.when(F.col("prev_hash") != F.col("_expected"), PREV_REASON)
-        .when(F.col("entry_hash") != recomputed, HASH_REASON).alias("reason")).where("reason is not null")
+        .when(F.col("entry_hash") != recomputed, HASH_REASON).alias("reason"))
+
+
+def verify_entries(entries: DataFrame) -> DataFrame:
+    return _judged(entries).where("reason is not null")
 
 
 def verify_chain(entries: DataFrame) -> DataFrame:
-    """Per chain: entries, ok, and the first entry that does not hold with the reason."""
-    broken = verify_entries(entries).groupBy("chain").agg(
-        F.min("seq").alias("broken_at"), F.min_by("reason", "seq").alias("reason"))
-    size = entries.groupBy("chain").agg(F.count(F.lit(1)).alias("entries"))
-    return size.join(broken, "chain", "left").select("chain", "entries", F.col("broken_at").isNull().alias("ok"), "broken_at", "reason")
+    """Per chain: entries, ok, and the first entry that does not hold with the reason. One pass over the entries."""
+    broken = F.col("reason").isNotNull()
+    return _judged(entries).groupBy("chain").agg(
+        F.count(F.lit(1)).alias("entries"), F.min(F.when(broken, F.col("seq"))).alias("broken_at"),
+        F.min_by(F.when(broken, F.col("reason")), F.when(broken, F.col("seq"))).alias("reason")).select(
+        "chain", "entries", F.col("broken_at").isNull().alias("ok"), "broken_at", "reason")
 
 
 def heads(entries: DataFrame) -> DataFrame:
-    """Newest entry of every chain; a chain without entries has the genesis as its head."""
+    """Newest entry of every chain that has entries. `manifest` also knows of chains that should have some."""
     return entries.groupBy("chain").agg(F.max("seq").alias("seq"), F.max_by("entry_hash", "seq").alias("head"))
 
 
-def history(entries: DataFrame, claim_id: str | None = None, tenant: str | None = None, limit: int = 100) -> DataFrame:
-    """Newest entries first, in rupees."""
+def manifest(entries: DataFrame, batch: str) -> DataFrame:
+    """One row per chain of a batch, kept apart from the entries: how many they are, and the hash of the last.
+
+    A chain by itself cannot tell that its end, or all of it, is gone; together with the manifest it can.
+    """
+    return entries.groupBy("chain").agg(F.count(F.lit(1)).alias("entries"), F.max_by("entry_hash", "seq").alias("head")).select(
+        F.lit(batch).alias("batch"), "chain", "entries", "head")
+
+
+def verify_manifest(entries: DataFrame, listed: DataFrame) -> DataFrame:
+    """Chains that do not end as listed: missing as a whole, cut short, changed at the end, or not listed at all."""
+    now = heads(entries).select("chain", F.col("seq").alias("_seq"), F.col("head").alias("_head"))
+    both = listed.join(now, "chain", "full")
+    return both.select("chain", F.when(F.col("_seq").isNull(), MISSING_REASON).when(F.col("entries").isNull(), UNLISTED_REASON)
+                       .when(F.col("_seq") < F.col("entries"), SHORT_REASON).when(F.col("_head") != F.col("head"), HEAD_REASON).alias("reason")).where("reason is not null")
+
+
+def history(entries: DataFrame, claim_id: str | None = None, tenant: str | None = None, limit: int = HISTORY_PAGE,
+            after: tuple[str, str, int] | None = None) -> DataFrame:
+    """A page of entries, newest first, in rupees. `after` is (recorded_at, chain, seq) of the last row of the page before."""
     rows = entries
     if claim_id:
         rows = rows.where(F.col("claim_id") == claim_id)
     if tenant:
         rows = rows.where(F.col("tenant") == tenant)
-    page = rows.orderBy(F.desc("recorded_at"), F.desc("chain"), F.desc("seq")).limit(max(1, min(limit, HISTORY_LIMIT)))
+    if after is not None:
+        at, chain, seq = (F.lit(v) for v in after)
+        rows = rows.where((F.col("recorded_at") < at) | ((F.col("recorded_at") == at) & (
+            (F.col("chain") < chain) | ((F.col("chain") == chain) & (F.col("seq") < seq)))))
+    page = rows.orderBy(F.desc("recorded_at"), F.desc("chain"), F.desc("seq")).limit(max(1, limit))
     return page.select(
         "chain", "seq", "recorded_at", "tenant", "key_id", "claim_id", "verdict", "strategy", "finding_counts",
         *[from_paise(F.col(f"{n}_paise")).alias(n) for n in ("gross", "settlement", "patient", "hospital")],

@@ -14,26 +14,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.functions import text as tx
-from auditlens.functions.hashing import sha256_text
+from auditlens.functions.hashing import lane_sums, sha256_text
 from auditlens.operators import assess, checks, classify, documents
 from auditlens.operators.facts import KEYS, with_facts
 from auditlens.operators.waterfall import STEPS, waterfall
 
 
 def corpus_version(rules: DataFrame, sources: DataFrame, today: dt.date) -> DataFrame:
-    """One row: content hash over the ordered rules with their attribution.
+    """One row: content hash of the rules, each with its place and its attribution.
 
-    The prefix says 'unverified' as soon as any source in use is stale. Rules are configuration, a few
-    hundred rows; the fold over them is the only place that puts them in one row.
+    Lane sums over the hash of every rule, which combine before the shuffle. The prefix says 'unverified' as soon as any source
+    in use is stale.
     """
     blank = lambda c: F.coalesce(c, F.lit(""))
-    material = F.concat_ws("\x1f", "chunk_id", tx.search_text(F.col("title"), F.col("aliases"), F.col("body")), *[
+    material = F.concat_ws("\x1f", "path", F.col("pos").cast("string"), "chunk_id", tx.search_text(F.col("title"), F.col("aliases"), F.col("body")), *[
         blank(c) for c in ("jurisdiction", "severity", "source_id", "citation", "citation_precision", "list_name", "bearer", "topic")])
-    entry = F.struct("path", "pos", sha256_text(material).alias("h"))
     stale = assess.stale_sources(rules, sources, today).agg(F.count(F.lit(1))).scalar()
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["h"]), "")
-    return rules.agg(F.substring(sha256_text(joined), 1, 10).alias("digest"), F.count(F.lit(1)).alias("n_rules")).select(
-        F.concat(F.when(stale > 0, "unverified-").otherwise("verified-"), F.col("digest")).alias("corpus_version"), "n_rules")
+    sums = rules.agg(F.count(F.lit(1)).alias("n_rules"), *[s.alias(f"s{i}") for i, s in enumerate(lane_sums(material))])
+    lanes = [F.coalesce(F.col(c), F.lit(0)).cast("string") for c in sums.columns]
+    return sums.select(F.concat(F.when(stale > 0, "unverified-").otherwise("verified-"), F.substring(sha256_text(F.concat_ws("|", *lanes)), 1, 10))
+                       .alias("corpus_version"), "n_rules")
 
 
 @dataclass(frozen=True)

@@ -160,7 +160,8 @@ def packaged_source_files(spark: SparkSession) -> DataFrame:
 
 def parse_sources(files: DataFrame) -> DataFrame:
     """One row per `[[source]]` entry: quoted strings, triple-quoted notes and bare dates."""
-    entries = files.select("path", F.posexplode(F.slice(F.split("text", r"(?m)^\[\[source\]\]\s*$"), F.lit(2), F.lit(1_000_000))).alias("pos", "entry"))
+    parts = F.split("text", r"(?m)^\[\[source\]\]\s*$")
+    entries = files.select("path", F.posexplode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("pos", "entry"))
 
     def text_of(key: str) -> Column:
         short = F.regexp_extract("entry", rf'(?m)^{key}\s*=\s*"([^"\n]*)"\s*$', 1)

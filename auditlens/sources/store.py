@@ -19,7 +19,7 @@ from auditlens.functions.money import from_paise
 KEYS = ["tenant", "claim_id"]
 TABLES = ("claims", "findings", "doc_gaps")
 PLACE = ["tenant", "bucket"]
-BUCKETS = 64
+BUCKETS = 16
 SCHEMAS = {
     "claims": ("tenant string, claim_id string, audited_at timestamp, month string, diagnosis string, procedure string, gross_bill_paise bigint, "
                "settlement_paise bigint, patient_liability_paise bigint, hospital_writeoff_paise bigint, room_rent_deduction_paise bigint, "
@@ -86,10 +86,14 @@ def read_store(spark: SparkSession, path: str) -> Store:
 
 def save_store(path: str, new: Store) -> None:
     """Delete, then insert, whole claims: no row of a claim that is saved again outlives the save."""
-    for name, child in (("findings", new.findings), ("doc_gaps", new.doc_gaps)):
-        if not orphans(child, new.claims).isEmpty():
+    spark = new.claims.sparkSession
+    for name in TABLES:
+        getattr(new, name).select(*_columns(name)).write.mode("overwrite").parquet(f"{path}/_staging/new_{name}")
+    staged = Store(*[spark.read.schema(SCHEMAS[name]).parquet(f"{path}/_staging/new_{name}") for name in TABLES])
+    for name in TABLES[1:]:
+        if not orphans(getattr(staged, name), staged.claims).isEmpty():
             raise ValueError(f"{name} holds rows of claims that are not being saved")
-    _rewrite(path, new.claims.select(*KEYS), new)
+    _rewrite(path, staged.claims.select(*KEYS), staged)
 
 
 def delete_claims(path: str, keys: DataFrame) -> None:

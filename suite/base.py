@@ -123,7 +123,7 @@ def with_ctes(sql: str) -> str:
     visit(sql)
     if not needed:
         return sql
-    parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in needed]
+    parts = [f"{name} AS {'MATERIALIZED ' if name == 'lines' else ''}({CTES[name]})" for name in CTES if name in needed]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + sql
 
 

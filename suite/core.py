@@ -205,7 +205,7 @@ def j4(x):
         *K, F.size("d").cast("bigint").alias("n"), F.array_join(F.array_sort("d"), ",").alias("documents"))
 
 
-@case("J5", "SELECT tenant, claim_id, line_no, proposed FROM f_model WHERE proposed LIKE 'LIST_%' AND known IS NULL")
+@case("J5", "SELECT tenant, claim_id, line_no, classification AS proposed FROM model_verdicts v ANTI JOIN rule_facts r ON r.chunk_id = v.cited WHERE classification LIKE 'LIST_%'")
 def j5(x):
     bad = model_verdicts(x).where(voc.is_listed(F.col("classification")))
     return bad.join(x.rules.select(F.col("chunk_id").alias("cited_chunk_id")), "cited_chunk_id", "left_anti").select(*K, "line_no", F.col("classification").alias("proposed"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.operators import evaluate, intake, portfolio
 from auditlens.plans import batch
+from auditlens.session import shared_dir
 from auditlens.sources import packets as pk
 from auditlens.sources import records
 from auditlens.streaming.audits import streaming_audit
@@ -195,7 +195,16 @@ def st1(x):
 _LIMIT, _WINDOW = 5, 6 * 3600.0
 
 
-@case("ST2")
+CTES["st2_hits"] = "SELECT 'u' || user_id AS identity, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events"
+CTES["st2_run"] = f"""
+SELECT identity, n, event_id, TRUE AS allowed, CAST({_LIMIT - 1} AS INTEGER) AS remaining, CAST(0 AS BIGINT) AS retry_after_us, [us] AS times FROM st2_hits WHERE n = 1
+UNION ALL SELECT identity, n, event_id, len(kept) < {_LIMIT}, CAST(greatest({_LIMIT} - len(kept) - 1, 0) AS INTEGER),
+ CASE WHEN len(kept) < {_LIMIT} THEN 0 ELSE kept[1] + {int(_WINDOW * 1e6)} - us END, CASE WHEN len(kept) < {_LIMIT} THEN list_append(kept, us) ELSE kept END
+FROM (SELECT h.identity, h.n, h.event_id, h.us, list_filter(r.times, lambda t: t > h.us - {int(_WINDOW * 1e6)}) AS kept
+ FROM st2_run r JOIN st2_hits h ON h.identity = r.identity AND h.n = r.n + 1)"""
+
+
+@case("ST2", "SELECT identity, event_id, allowed, remaining, retry_after_us FROM st2_run")
 def st2(x):
     hits = x.table("events").select(F.concat(F.lit("u"), (F.col("user_id")).cast("string")).alias("identity"), "event_id", "ts")
     return intake.rate_admission(hits, _LIMIT, _WINDOW).select("identity", "event_id", "allowed", "remaining", "retry_after_us")
@@ -223,8 +232,7 @@ def st4(x):
 @case("ST5", "SELECT CASE WHEN corrupt THEN NULL ELSE claim_id END AS claim_id, NOT corrupt AND error = '' AS ok FROM packet_errors")
 def st5(x):
     """The orders file as a stream of packets, audited to the end; outcomes read back from shared storage."""
-    shared = x.spark.conf.get("spark.checkpoint.dir", "") or tempfile.gettempdir()
-    work = f"{shared.rstrip('/')}/stream-{x.spark.sparkContext.applicationId}-{id(x)}-{b.next_number()}"
+    work = f"{shared_dir(x.spark)}/stream-{x.spark.sparkContext.applicationId}-{id(x)}-{b.next_number()}"
     schema = x.table("orders").schema
     orders = x.spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(x.sf_dir)
     stream = pk.parse_packets(packet_texts(orders)).drop("k")

@@ -116,9 +116,9 @@ def src6(x):
 
 
 CTES["stale"] = """
-SELECT source_id, title, CASE WHEN status = 'superseded' THEN 'Superseded by ' || COALESCE(superseded_by, 'a later document') || '.'
- WHEN status = 'unverified' OR verified_on IS NULL THEN 'Not yet verified against the issuing body''s current publication.'
- WHEN DATE '2026-01-01' - verified_on > 365 THEN 'Last verified ' || (DATE '2026-01-01' - verified_on) || ' days ago, on ' || verified_on || '.' END AS reason FROM supp_sources"""
+SELECT source_id, title, CASE WHEN status = 'superseded' THEN 'Replaced; the text now in force: ' || COALESCE(superseded_by, 'not recorded')
+ WHEN status = 'unverified' OR verified_on IS NULL THEN 'Nobody has compared this with the published text.'
+ WHEN DATE '2026-01-01' - verified_on > 365 THEN 'Compared on ' || verified_on || ', which is ' || (DATE '2026-01-01' - verified_on) || ' days back.' END AS reason FROM supp_sources"""
 
 
 @case("FN22", "SELECT source_id, reason FROM stale")
@@ -145,9 +145,13 @@ def fn24(x):
     return rules(x).select("path", "pos", tx.search_text(F.col("title"), F.col("aliases"), F.col("body")).alias("text"))
 
 
-@case("FN26", """SELECT 'unverified-' || left(sha256(string_agg(sha256(concat_ws(chr(31), chunk_id, title || '. ' || array_to_string(aliases, ' ') || '. ' || body,
+_RULE_LANES = ", ".join(f"sum(CAST('0x' || substr(h, {i * 15 + 1}, 15) AS BIGINT)) AS s{i}" for i in range(4))
+
+
+@case("FN26", f"""SELECT 'unverified-' || left(sha256(concat_ws('|', n_rules, s0, s1, s2, s3)), 10) AS corpus_version, n_rules FROM (SELECT count(*) AS n_rules, {_RULE_LANES} FROM (
+ SELECT sha256(concat_ws(chr(31), path, pos, chunk_id, title || '. ' || array_to_string(aliases, ' ') || '. ' || body,
  COALESCE(jurisdiction, ''), COALESCE(severity, ''), COALESCE(source_id, ''), COALESCE(citation, ''), COALESCE(citation_precision, ''), COALESCE(list_name, ''),
- COALESCE(bearer, ''), COALESCE(topic, ''))), '' ORDER BY path, pos)), 10) AS corpus_version, count(*) AS n_rules FROM part_rules""")
+ COALESCE(bearer, ''), COALESCE(topic, ''))) AS h FROM part_rules))""")
 def fn26(x):
     return corpus_version(rules(x), sources(x), b.TODAY)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlens.functions import vocabulary as voc
 from auditlens.operators import assess, ledger, portfolio, retention
 from auditlens.plans import adhoc
+from auditlens.session import shared_dir
 from auditlens.sources import store as st
 from suite import base as b
 from suite.base import CTES, case
@@ -36,6 +37,27 @@ def snk1(x):
     return st.upsert_rows(old, new.toDF(*old.columns), again)
 
 
+@case("SNK1F", """SELECT c.tenant, c.claim_id, CASE WHEN third THEN '1999-01' ELSE month END AS month, COALESCE(n_findings, 0) AS n_findings, CASE WHEN third THEN 0 ELSE COALESCE(n_gaps, 0) END AS n_gaps
+ FROM (SELECT *, CAST(substr(claim_id, 5) AS BIGINT) % 3 = 0 AS third FROM s_claims) c
+ LEFT JOIN (SELECT tenant, claim_id, count(*) FILTER (amount_paise >= 0 OR CAST(substr(claim_id, 5) AS BIGINT) % 3 <> 0) AS n_findings FROM s_findings GROUP BY ALL) f ON f.tenant = c.tenant AND f.claim_id = c.claim_id
+ LEFT JOIN (SELECT tenant, claim_id, count(*) AS n_gaps FROM s_gaps GROUP BY ALL) g ON g.tenant = c.tenant AND g.claim_id = c.claim_id
+ ANTI JOIN erasures r ON r.tenant = c.tenant AND r.claim_id = c.claim_id""")
+def snk1f(x):
+    """Saved, a third saved again for another month and without gaps, a fifth erased: what the files then hold."""
+    path = f"{shared_dir(x.spark)}/store-{x.spark.sparkContext.applicationId}-{id(x)}-{b.next_number()}"
+    third = F.substring("claim_id", 5, 20).cast("bigint") % 3 == 0
+    st.save_store(path, x.store)
+    kept = st.read_store(x.spark, path)
+    st.save_store(path, st.Store(kept.claims.where(third).withColumn("month", F.lit("1999-01")), kept.findings.where(third & (F.col("amount_paise") >= 0)), kept.doc_gaps.limit(0)))
+    requests = x.claims.where(F.substring("claim_id", 5, 20).cast("bigint") % 5 == 0).select(*K)
+    retention.erase_from_store(x.spark, path, requests, F.lit("2026-01-01T00:00:00+00:00"), "e1", f"{path}-ledger")
+    now = st.read_store(x.spark, path)
+    count = lambda df, name: df.groupBy(*K).agg(F.count(F.lit(1)).alias(name))
+    zero = F.lit(0).cast("bigint")
+    return (now.claims.select(*K, "month").join(count(now.findings, "n_findings"), K, "left").join(count(now.doc_gaps, "n_gaps"), K, "left")
+            .withColumns({c: F.coalesce(c, zero) for c in ("n_findings", "n_gaps")}))
+
+
 @case("SNK2", f"SELECT {', '.join(_S)}, CAST(audited_at AS VARCHAR) AS audited_at FROM s_claims")
 def snk2(x):
     return x.store.claims.select(*_S, F.col("audited_at").cast("string").alias("audited_at"))
@@ -287,7 +309,17 @@ def l4(x):
     return ledger.heads(entries(x)).select("chain", F.col("seq").cast("bigint").alias("seq"), "head")
 
 
-@case("FL8", f"""SELECT p.chain, p.seq, p.claim_id, p.verdict, {b.decimal_text('gross_paise', 2)} AS gross FROM placed p WHERE tenant = 'T1' ORDER BY recorded_at DESC, chain DESC, seq DESC LIMIT 500""")
+@case("L3M", """SELECT chain, CASE WHEN n = 1 AND chain LIKE '%2' OR chain LIKE '%3' THEN 'the chain is listed but has no entries' ELSE 'the chain ends before its listed end' END AS reason
+ FROM (SELECT chain, count(*) AS n FROM placed GROUP BY chain) WHERE chain LIKE '%2' OR chain LIKE '%3'""")
+def l3m(x):
+    """The last entry of the chains ending in 2 and all of those ending in 3 are gone; the chains alone would still verify."""
+    listed = ledger.manifest(entries(x), "b1")
+    last = F.col("seq") == F.col("entries")
+    left = entries(x).join(listed.select("chain", "entries"), "chain").where(~(F.col("chain").endswith("3") | (F.col("chain").endswith("2") & last)))
+    return ledger.verify_manifest(left.drop("entries"), listed)
+
+
+@case("FL8", f"""SELECT p.chain, p.seq, p.claim_id, p.verdict, {b.decimal_text('gross_paise', 2)} AS gross FROM placed p WHERE tenant = 'T1' ORDER BY recorded_at DESC, chain DESC, seq DESC LIMIT 9999""")
 def fl8(x):
     return ledger.history(entries(x), tenant="T1", limit=9999).select("chain", F.col("seq").cast("bigint").alias("seq"), "claim_id", "verdict", F.col("gross").cast("string").alias("gross"))
 
