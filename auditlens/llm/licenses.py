@@ -1,9 +1,10 @@
 """Licence scan: a trained classifier of paragraphs, a calibrated unknown class, and templates that confirm what it says.
 
 Logistic regression over word n-grams (one and two words), sparse by its L1 penalty, is fitted on the labelled sample of
-`license_templates`; the sample's size is its documented bound. Its weights are a small table, the vocabulary of the sample at
-most. A paragraph without any n-gram of positive weight for a licence family can only be unknown, so a regular expression of
-these words, taken from the weights, finds the paragraphs to be scored; all texts are searched in full. Scores are sums over a join
+`license_templates`; the sample's size is its documented bound. Its n-grams are those of notices that the sample's other texts
+hardly hold, and those of other texts that speak against a notice. The weights are a small table. A paragraph without any n-gram
+of positive weight for a licence family can only be unknown, so a regular expression of these, taken from the weights, finds the
+paragraphs to be scored; all texts are searched in full. Scores are sums over a join
 with the weights. Temperature and the least probability are set on held-out rows. A prediction counts when the paragraph shares
 enough two-word sequences with a template of the predicted family.
 """
@@ -15,7 +16,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from auditlens.llm.license_templates import TEMPLATES, UNKNOWN, labelled
 
 PENALTY, ROUNDS = 0.0006, 60
 CONFIRM = 0.6
+SPECIFIC = 15
 WRONG = 0.005
 
 
@@ -60,15 +62,22 @@ def fit(spark: SparkSession) -> Model:
     train = spark.createDataFrame([(t, float(families.index(f))) for k, (t, f) in enumerate(rows) if k % 3], schema)
     held = spark.createDataFrame([(k, t, float(families.index(f))) for k, (t, f) in enumerate(rows) if k % 3 == 0], "id long, text string, label double")
     grams = cut(train.select("label", ngrams(terms(F.col("text"))).alias("grams")))
-    counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=3).fit(grams)
+    told = F.col("label") > 0
+    known = grams.select("label", F.explode("grams").alias("gram")).groupBy("gram").agg(
+        F.count(F.when(told, 1)).alias("n"), F.count(F.when(~told, 1)).alias("m")).where("n >= 3")
+    telling = known.where((F.col("n") >= SPECIFIC * F.col("m")) | (F.col("m") >= 3 * F.col("n"))).orderBy("gram")
+    vocabulary = [r.gram for r in telling.select("gram").collect()]  # of the sample, not of the corpus
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").setBinary(True)
     fitted = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=PENALTY, maxIter=ROUNDS, standardization=False).fit(
         counter.transform(grams).select("label", "features"))
     table = fitted.coefficientMatrix.toArray()
     used = [(g, [float(x) for x in table[:, k]]) for k, g in enumerate(counter.vocabulary) if abs(table[:, k]).max() > 1e-6]
-    lead = sorted({g.split(" ")[0] for g, w in used if max(w[1:]) - w[0] > 0}, key=lambda g: (-len(g), g))
+    lead = sorted({g for g, w in used if max(w[1:]) - w[0] > 0}, key=lambda g: (-len(g), g))
+    single = {g for g in lead if " " not in g}
+    lead = [g for g in lead if " " not in g or not single & set(g.split(" "))]  # a pair with such a word is found by it
     weights = spark.createDataFrame(used, "gram string, w array<double>")
     model = Model(families, [float(x) for x in fitted.interceptVector], weights,
-                  r"(?i)(?<![\p{L}\p{Nd}])(?:" + "|".join(map(re.escape, lead)) + r")(?![\p{L}\p{Nd}])")
+                  r"(?i)(?<![\p{L}\p{Nd}])(?:" + "|".join(r"[^\p{L}\p{Nd}]+".join(map(re.escape, g.split(" "))) for g in lead) + r")(?![\p{L}\p{Nd}])")
     return _calibrated(model, [(r.label, r.scores) for r in _scores(held, model, ["id", "label"]).select("label", "scores").collect()])
 
 
