@@ -1,7 +1,7 @@
 """Quality rules whose thresholds follow the data: per language and source, from mergeable quantile sketches.
 
-Measures are taken once per document with built-in functions. KLL sketches of every measure are built per (lang, source),
-combined before the shuffle, and merged upwards to languages and to all documents. A group with too few rows takes the
+Measures are taken once per document with built-in functions. KLL sketches of every measure are built per (lang, source) from
+the documents that pass the base rules, combined before the shuffle, and merged upwards to languages and to all documents. A group with too few rows takes the
 thresholds of its language, and a language with too few those of all documents. The thresholds are then joined to the measures.
 """
 
@@ -17,23 +17,31 @@ from auditlens.llm.common import SPACES, cut, words
 
 @dataclass(frozen=True)
 class Rule:
-    """Accept `measure` from q1 - spread - slack to q3 + spread + slack, where spread = reach * (q3 - q1)."""
+    """Accept `measure` = count / total up to top + reach * (top - mid), two quantiles of the group; with `low`, from mid - reach * (top - mid) too.
+
+    What a document may exceed that by is the chance of its own size: DEVIATIONS times the deviation of a count that comes in
+    steps of `unit`. `top` leaves out as many rows as junk may make up.
+    """
 
     measure: str
-    slack: float
+    count: str
+    total: str
+    mid: float = 0.5
+    top: float = 0.95
+    unit: int = 1
     reach: float = 3.0
     low: bool = False
 
 
 RULES = (
-    Rule("symbol_share", 0.1),
-    Rule("dup_line_share", 0.4),
-    Rule("repeat_share", 0.5),
-    Rule("mean_word", 2.0, low=True),
+    Rule("symbol_share", "n_symbols", "word_chars", top=0.85),
+    Rule("dup_line_share", "n_dup_lines", "n_lines"),
+    Rule("repeat_share", "n_repeat_words", "n_words", unit=6),  # two times three words
+    Rule("mean_word", "word_chars", "n_words", mid=0.25, top=0.75, low=True),
 )
 MIN_WORDS = 50
 MIN_ROWS = 200
-QUARTILES = (0.25, 0.75)
+DEVIATIONS = 2.0
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -83,8 +91,8 @@ def base_failed() -> Column:
 
 
 def thresholds(measured: DataFrame, rules: tuple[Rule, ...] = RULES, min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per (lang, source) with the lowest and highest accepted value of every rule."""
-    groups = measured.where("n_words > 0").groupBy("lang", "source").agg(
+    """One row per (lang, source) with the lowest and highest accepted value of every rule, from the rows that pass the base rules."""
+    groups = measured.where(~base_failed()).groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(r.measure).alias(r.measure) for r in rules])
     groups = cut(groups)
     merged = lambda *keys: groups.groupBy(*keys).agg(
@@ -102,10 +110,10 @@ def _bounds(sketches: DataFrame, rules: tuple[Rule, ...], tag: str) -> DataFrame
     keys = [c for c in sketches.columns if c in ("lang", "source", "_all")]
     out = [F.col("n").alias(f"{tag}_n")]
     for r in rules:
-        q1, q3 = (F.kll_sketch_get_quantile_double(r.measure, F.lit(q)) for q in QUARTILES)
-        spread = r.reach * (q3 - q1) + r.slack
-        out += [(q1 - spread if r.low else F.lit(None).cast("double")).alias(f"{tag}_low_{r.measure}"),
-                (q3 + spread).alias(f"{tag}_high_{r.measure}")]
+        mid, top = (F.kll_sketch_get_quantile_double(r.measure, F.lit(q)) for q in (r.mid, r.top))
+        spread = r.reach * (top - mid)
+        out += [(mid - spread if r.low else F.lit(None).cast("double")).alias(f"{tag}_low_{r.measure}"),
+                (top + spread).alias(f"{tag}_high_{r.measure}")]
     return sketches.select(*keys, *out)
 
 
@@ -117,8 +125,8 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES, min_rows: int =
         bounds, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     fine = F.lit(True)
     for r in rules:
-        value = F.col(r.measure)
-        fine &= F.coalesce(value <= F.col(f"high_{r.measure}"), F.lit(True)) & F.coalesce(value >= F.col(f"low_{r.measure}"), F.lit(True))
+        value, chance = F.col(r.measure), F.lit(DEVIATIONS) * F.try_divide(F.sqrt(F.col(r.count) * F.lit(r.unit)), F.col(r.total))
+        fine &= F.coalesce(value - chance <= F.col(f"high_{r.measure}"), F.lit(True)) & F.coalesce(value + chance >= F.col(f"low_{r.measure}"), F.lit(True))
     return joined.select(*rest, base_failed().alias("base_failed"), (~base_failed() & fine).alias("kept"))
 
 

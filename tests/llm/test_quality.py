@@ -60,6 +60,28 @@ def test_thresholds_follow_the_data(spark):
     assert not kept[2000] and kept[2002]
 
 
+def test_each_rule_rejects(spark):
+    """In sources of clean texts, every rule rejects a document that the base rules keep; in a source where it is usual it stays."""
+    words = lambda i, n: [f"w{i}x{j:03d}" for j in range(n)]
+    lines = lambda w: "\n".join(" ".join(w[k:k + 5]) for k in range(0, len(w), 5))
+    odd = {
+        "symbols": lambda i: lines(words(i, 100)).replace(" ", " | ", 40),
+        "lines": lambda i: lines(words(i, 150)) + "\nx" * 12,
+        "repeats": lambda i: lines(words(i, 60) + words(i, 19)),
+        "long": lambda i: lines([w + "yy" for w in words(i, 100)]),
+        "short": lambda i: lines([w[2:] for w in words(i, 100)]),
+    }
+    rows = [(i, lines(words(i, 100)), "en", "plain") for i in range(1000, 1300)]
+    rows += [(k, make(5000 + k), "en", "plain") for k, make in enumerate(odd.values())]
+    rows += [(i, odd["symbols"](i), "en", "tables") for i in range(2000, 2300)] + [(i, odd["repeats"](i), "en", "songs") for i in range(3000, 3300)]
+    rows += [(99, lines(words(4000, 100)).replace(" ", " | ", 3), "en", "plain")]
+    found = {r.doc_id: r for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(found[k].base_failed for k in range(len(odd)))
+    assert [name for k, name in enumerate(odd) if found[k].kept] == []
+    assert found[0].symbol_share < 0.1 and found[1].dup_line_share < 0.4 and found[2].repeat_share < 0.5
+    assert all(r.kept for i, r in found.items() if i >= 99)
+
+
 def test_no_python_in_the_plan(spark):
     plan = queries.QUERIES["op10_quality"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|NestedLoop|Cartesian", plan)
