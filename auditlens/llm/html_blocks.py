@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -13,8 +14,11 @@ from auditlens.llm.vectors import words
 TAG = re.compile(r"""<!--.*?-->|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PIECE = re.compile(r"[a-z]+")
-#: Elements whose content is no text of the page, by the HTML standard.
-RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes svg select button option".split())
+#: Elements whose content is raw text by the HTML standard, up to their end tag or the page's end, and no text of the page.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Elements with markup inside that is no text of the page. Without an end tag of its own such an element leaves nothing out, but
+#: an option, which may have none, ends where the next block begins.
+HIDDEN = frozenset("noscript template svg select button option".split())
 #: Elements that stay inside a block.
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,13 +49,15 @@ def _names(name: str, attributes: str) -> list[str]:
     found = [f"<{name}>"]
     if "=" in attributes:
         for m in NAMES.finditer(attributes):
-            found += PIECE.findall((m[1] or m[2] or m[3] or "").lower())[:8]
+            found += PIECE.findall((m[1] or m[2] or m[3] or "").lower())
     return found
 
 
 class _Page:
     def __init__(self) -> None:
-        self.stack: list[tuple[str, np.ndarray, np.ndarray]] = [("", np.zeros(PATH, np.float32), np.zeros(OWN, np.float32))]
+        #: Name, path, own vector, and the number of blocks before it.
+        self.stack: list[tuple[str, np.ndarray, np.ndarray, int]] = [("", np.zeros(PATH, np.float32), np.zeros(OWN, np.float32), 0)]
+        self.held: Counter[str] = Counter()
         self.blocks: list[tuple[str, int, np.ndarray, np.ndarray]] = []
         self.parts: list[str] = []
         self.linked, self.in_link = 0, False
@@ -74,24 +80,39 @@ class _Page:
 
     def open(self, name: str, attributes: str) -> None:
         self.flush()
-        ends = ENDS.get(name, {"p"})
-        while len(self.stack) > 1 and self.stack[-1][0] in ends:
-            self.stack.pop()
+        ends = {"option"} if name in HIDDEN else ENDS.get(name, {"p"}) | {"option"}
+        while self.stack[-1][0] in ends:
+            self.pop()
         if name in VOID:
             return
-        path = self.stack[-1][1].copy()
-        own = np.zeros(OWN, np.float32)
-        for token in _names(name, attributes):
-            path += _vector(token, PATH)
-            own += _vector(token, OWN)
-        self.stack.append((name, path, own))
+        path, own = self.stack[-1][1:3]
+        if name not in HIDDEN:  # no mark on what it may hold for want of an end tag
+            path, own = path.copy(), np.zeros(OWN, np.float32)
+            for token in _names(name, attributes):
+                path += _vector(token, PATH)
+                own += _vector(token, OWN)
+        self.stack.append((name, path, own, len(self.blocks)))
+        self.held[name] += 1
+
+    def pop(self, ended: str = "") -> str:
+        """Take the innermost element off; what is in a hidden one that its own tag has `ended` goes, as does the text of an option."""
+        name, _, _, first = self.stack.pop()
+        self.held[name] -= 1
+        if name == "option" or name == ended and name in HIDDEN:
+            del self.blocks[first:]
+        return name
 
     def close(self, name: str) -> None:
         self.flush()
-        if any(s[0] == name for s in self.stack[-64:]):
-            while self.stack.pop()[0] != name:
+        if self.held[name]:
+            while self.pop(name) != name:
                 pass
 
+    def end(self) -> None:
+        self.flush()
+        if self.stack[-1][0] == "option":
+            self.pop()
+
 
 def blocks_of(page: str) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     """(text, linked characters, path vector, own vector) of every text block in page order.
@@ -120,13 +141,15 @@ def blocks_of(page: str) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
             out.flush()
             ends = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = ends.end() if ends else n
+        elif name == "svg" and m[3].endswith("/") or m[3].endswith("/") and out.held["svg"]:
+            out.flush()
         elif name == "a":
             out.in_link = True
         elif name == "br":
             out.text(" ")
         elif name not in INLINE:
             out.open(name, m[3])
-    out.flush()
+    out.end()
     return out.blocks
 
 
@@ -137,7 +160,7 @@ def features(pages: list[list[tuple[str, int, np.ndarray, np.ndarray]]]) -> list
         return [np.zeros((0, WIDTH), np.float32) for _ in pages]
     out = np.zeros((len(blocks), WIDTH), np.float32)
     out[:, :PATH] = np.clip(np.stack([b[2] for b in blocks]), -4, 4)
-    out[:, PATH:PATH + OWN] = np.stack([b[3] for b in blocks])
+    out[:, PATH:PATH + OWN] = np.clip(np.stack([b[3] for b in blocks]), -8, 8)
     hashes, owner, counts = words([b[0].encode("utf-8", "replace") for b in blocks])
     held = np.bincount(owner * WORDS + (hashes % np.uint64(WORDS)).astype(np.int64), minlength=len(blocks) * WORDS).reshape(-1, WORDS)
     out[:, PATH + OWN:PATH + OWN + WORDS] = held / np.maximum(1, counts)[:, None]

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from auditlens.llm import extraction, html_training, labeller, queries
+from auditlens.llm import extraction, html_blocks, html_training, labeller, queries
 from auditlens.llm.html_blocks import blocks_of
 from tests.conftest import SF
 
@@ -32,6 +32,34 @@ def test_blocks():
     assert texts("<ul><li>a<li>b<ul><li>c</ul></ul>d") == ["a", "b", "c", "d"]
 
 
+def test_tags_without_end():
+    texts = lambda page: [b[0] for b in blocks_of(page)]
+    article = "<article><p>a b.</p><p>c d.</p></article><footer>e</footer>"
+    rest = ["a b.", "c d.", "e"]
+    assert texts(f"<datalist><option value=a><option value=b></datalist>{article}") == rest
+    assert texts(f"<select><option>x<option>y</select>{article}") == texts(f"<select><option>x</option><option>y</select>{article}") == rest
+    assert texts(f"<select><option>x<option>y{article}") == rest
+    for name in ("button", "select", "svg", "template", "noscript"):
+        assert texts(f"<div><{name}>x</{name}></div>{article}") == rest
+        assert texts(f"<div><{name}></div>{article}") == texts(f"<{name}>{article}") == rest, name
+        assert texts(f"<{name}>{article}<{name}>x</{name}>") == rest, name
+        assert texts(f"{article}<{name}><div>x<p>y</div></{name}>") == rest, name
+    assert texts(f"<svg/><svg><path d=x /><title>q</title><g><text>z</text></svg>{article}") == rest
+    assert texts("<p>a<button>x</button>b</p>") == ["a", "b"] and texts(f"{article}<option>x") == rest
+    assert texts(f"<title>x{article}") == []
+    page = lambda lead: blocks_of(f"<body>{lead}{article}</body>")
+    for lead in ("<button>", "<select>", "<svg>", "<noscript>", "<select><option>x"):
+        marked = [(t, path.tolist(), own.tolist()) for t, _, path, own in page(lead)]
+        assert marked == [(t, path.tolist(), own.tolist()) for t, _, path, own in page("")]
+
+
+def test_deep_and_named():
+    blocks = blocks_of("<nav>" + "<div>" * 100 + "a</nav>b")
+    assert [b[0] for b in blocks] == ["a", "b"] and not blocks[1][2].any()
+    utility = " ".join(f"u{chr(97 + k)}" for k in range(20))
+    assert "cookie" in html_blocks._names("div", f' class="{utility} cookie-notice"')
+
+
 def test_odd_pages(spark):
     article = "<nav><a href=x>m</a></nav><article>" + "<p>Some words of text, here.</p>" * 3000 + "</article><footer>f</footer>"
     rows = [(1, "u", None, "k"), (2, None, "", "k"), (3, "u", article, "k"), (3, "u", article, "k"), (None, "v", "<" * 2000, "k"), (4, "u", "<div>" * 3000 + "x", "k")]
