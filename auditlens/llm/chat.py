@@ -2,8 +2,10 @@
 
 A turn costs its words plus a fixed overhead. Prefix sums of these costs within a conversation deal the turns to spans:
 span = floor(cost before the turn / stride), where stride is half of what the budget leaves beside system turn and history, so
-that whole turns of up to one stride always fit. Every span becomes one window: the system turn, a limited history (the turns
-just before the span whose costs fit in `history`), then the span's own turns. Loss covers the texts of assistants among the
+that whole turns of up to one stride always fit. For the system turn `system` is set aside, or the cost of the conversation's
+longest one if that is more; where nothing is left, every turn is a span. Every span becomes one window: the system turn whatever
+its size (the last one before the span, wherever it stands), a limited history (the turns just before the span whose costs fit in
+`history`), then the span's own turns. Loss covers the texts of assistants among the
 own turns alone, so a repeated turn is masked and each target is trained once. A turn that alone exceeds the stride
 is kept whole in its span.
 
@@ -47,29 +49,32 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, syst
     Takes conv_id, turn, role, text. A NULL text or role is empty; a NULL conv_id is a conversation of its own. Turns are
     ordered by turn, then role, then text, NULLs first; repeated rows are repeated turns. Further columns are not looked at.
     """
-    stride = (budget - history - system) // 2
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     costed = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"),
                           (F.regexp_count(text, F.lit(WORD)) + OVERHEAD).cast("long").alias("cost"))
+    is_system, every = F.col("role") == "system", order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    stride = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.greatest(F.lit(system), F.col("_most"))) / 2))
+    span = lambda cost: F.floor(cost / F.col("_stride"))
     numbered = (costed.withColumn("n", F.row_number().over(order)).withColumn("_upto", F.sum("cost").over(upto))
-                .withColumn("_from", F.col("_upto") - F.col("cost"))
-                .withColumn("span", F.floor(F.col("_from") / stride)))
+                .withColumn("_earlier", F.lag("cost").over(order)).withColumn("_most", F.max(F.when(is_system, F.col("cost"))).over(every))
+                .withColumn("_told", F.when(is_system, F.struct("n", "role", "text")))
+                .withColumn("_told", F.last("_told", True).over(upto)).withColumn("_stride", stride)
+                .withColumn("_from", F.col("_upto") - F.col("cost")).withColumn("span", span(F.col("_from")))
+                .withColumn("_system", F.when(F.col("_earlier").isNull() | (span(F.col("_from") - F.col("_earlier")) < F.col("span")), F.col("_told")))
+                .drop("_told", "_most", "_earlier"))
     later = Window.partitionBy("conv_id").orderBy("span").rangeBetween(1, 1)
-    first = Window.partitionBy("conv_id").orderBy("span").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = (numbered.withColumn("_next", F.min("_from").over(later))
-                .withColumn("_system", F.min(F.when((F.col("n") == 1) & (F.col("role") == "system") & (F.col("cost") <= system),
-                                                    F.struct("role", "text"))).over(first)))
+    numbered = numbered.withColumn("_next", F.min("_from").over(later))
     own = F.struct(F.col("span"), F.lit(1).alias("own"))
     repeat = F.when(F.col("_next") - F.col("_from") <= history, F.struct((F.col("span") + 1).alias("span"), F.lit(0).alias("own")))
     dealt = numbered.withColumn("_to", F.explode(F.array_compact(F.array(own, repeat)))).select(
-        "conv_id", "_to.span", "_to.own", "n", "role", "text", F.col("_system").alias("sys"))
+        "conv_id", "_to.span", "_to.own", "n", "role", "text", F.when(F.col("_to.own") == 1, F.col("_system")).alias("sys"))
     turn = F.struct("n", "own", "role", "text")
     grouped = dealt.groupBy("conv_id", "span").agg(F.sort_array(F.collect_list(turn)).alias("own_turns"), F.max("sys").alias("sys"))
-    has_first = F.exists("own_turns", lambda t: t["n"] == 1)
-    lead = F.when(F.col("sys").isNotNull() & ~has_first, F.array(F.struct(
-        F.lit(1).alias("n"), F.lit(0).alias("own"), F.col("sys.role").alias("role"), F.col("sys.text").alias("text"))))
+    listed = F.exists("own_turns", lambda t: t["n"] == F.col("sys.n"))
+    lead = F.when(F.col("sys").isNotNull() & ~listed, F.array(F.struct(
+        F.col("sys.n").alias("n"), F.lit(0).alias("own"), F.col("sys.role").alias("role"), F.col("sys.text").alias("text"))))
     whole = grouped.select("conv_id", "span", F.concat(F.coalesce(lead, F.array().cast(
         "array<struct<n:int,own:int,role:string,text:string>>")), "own_turns").alias("turns"))
     made = whole.withColumn("parts", F.transform("turns", lambda t: F.struct(

@@ -60,6 +60,26 @@ def test_history_is_masked(spark):
     assert targets == [t[3] for t in turns if t[2] == "assistant"]
 
 
+def test_long_and_late_system_turns(spark):
+    talk = lambda c, first, n: [(c, i, ("user", "assistant")[i % 2], f"turn{i} " * 90) for i in range(first, first + n)]
+    long, huge, late, other = "long " * 600, "huge " * 3000, "late " * 5, "other " * 700
+    turns = [(1, 0, "system", long), *talk(1, 1, 60), (2, 0, "system", huge), *talk(2, 1, 9), *talk(3, 0, 20), (3, 20, "system", late), *talk(3, 21, 40),
+             (4, 0, "system", long), *talk(4, 1, 30), (4, 31, "system", other), *talk(4, 32, 30), *talk(5, 0, 30)]
+    made = chat.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).cache()
+    check(chat.digests(made).collect(), turns)
+    rows = made.orderBy("conv_id", "span").collect()
+    texts = lambda c: [r.formatted for r in rows if r.conv_id == c]
+    head = "<|im_start|>system\n"
+    for c, text in ((1, long), (2, huge)):
+        assert len(texts(c)) > 5 and all(x.startswith(head + text) and x.count(head) == 1 for x in texts(c))
+    assert all(len(re.findall(r"\S+", x)) <= chat.BUDGET for c in (1, 3, 5) for x in texts(c))
+    at = next(k for k, x in enumerate(texts(3)) if head in x)
+    assert at and len(texts(3)) - at > 3 and all(x.count(head + late) == 1 for x in texts(3)[at:])
+    at = next(k for k, x in enumerate(texts(4)) if head + other in x)
+    assert all(x.startswith(head + long) for x in texts(4)[:at]) and all(x.startswith(head + other) for x in texts(4)[at + 1:]) and len(texts(4)) > at + 3
+    assert len(texts(5)) > 1 and not any(head in x for x in texts(5))
+
+
 def test_no_python_in_the_plan(spark):
     plan = queries.QUERIES["op7_chat"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
