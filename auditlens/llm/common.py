@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def one_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
-    """One row per id: of rows that repeat one, that with the largest `value` (a NULL is the smallest). NULL is an id too.
+    """One row per id: of rows that repeat one, that with the largest `value` (a NULL is the smallest), then with the largest of
+    the other columns in turn, as far as they have an order. NULL is an id too.
 
     Tables whose ids are unique, which a count over the id column alone tells, come back as they are.
     """
@@ -46,7 +48,8 @@ def one_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
     if not repeated:
         return df
     others = [c for c in df.columns if c not in (key, value)]
-    best = df.groupBy(key).agg(F.max_by(F.struct(value, *others), F.struct(F.col(value).isNotNull(), F.col(value))).alias("_row"))
+    ordered = [c for c, kind in df.dtypes if c in others and not re.search("map<|variant", kind)]
+    best = df.groupBy(key).agg(F.max_by(F.struct(value, *others), F.struct(F.col(value).isNotNull(), F.col(value), *ordered)).alias("_row"))
     return best.select(key, "_row.*").select(*df.columns)
 
 

@@ -126,6 +126,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The documents that hold no benchmark item, all their columns as they were."""
+    """The documents that hold no benchmark item, all their columns as they were; rows that repeat an id are one document, with
+    the greatest text."""
+    docs = one_per_id(docs, "doc_id", "text")
     found = contaminations(docs, benchmark, coverage).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")), "left_anti")

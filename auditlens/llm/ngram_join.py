@@ -304,6 +304,8 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
 
 
 def one_per_component(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Of every component of similar documents the one with the smallest id, all its columns as they were."""
+    """Of every component of similar documents the one with the smallest id, all its columns as they were; rows that repeat an id
+    are one document, with the greatest text."""
+    docs = one_per_id(docs, "doc_id", "text")
     kept = ngram_components(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
     return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlens.llm.common import SPACES, cut, words
+from auditlens.llm.common import SPACES, cut, one_per_id, words
 
 
 @dataclass(frozen=True)
@@ -140,6 +140,8 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents whose verdict is to keep them, all their columns as they were."""
+    """The documents whose verdict is to keep them, all their columns as they were; rows that repeat an id are one document, with
+    the greatest text."""
+    docs = one_per_id(docs, "doc_id", "text")
     verdict = quality_verdicts(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(verdict, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")

@@ -130,7 +130,9 @@ def span_digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """The documents with every found span replaced by `mark` (touching or overlapping spans by one) and n_chars, where
-    there is such a column, counted anew in changed texts. All other columns stay; documents without secrets stay as they are."""
+    there is such a column, counted anew in changed texts. All other columns stay; documents without secrets stay as they are. Rows that repeat an id are
+    one document, with the greatest text."""
+    docs = one_per_id(docs, "doc_id", "text")
     earlier = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     runs = (secret_spans(docs)

@@ -51,6 +51,33 @@ def test_stages(spark, tmp_path, monkeypatch):
     assert set(mixed) <= set(texts[4]) and max(mixed.values()) <= 3 and all(seen[5][i].text == texts[4][i] for i in mixed)
 
 
+def test_repeated_ids(spark):
+    """Rows of one id, exact copies and of different texts, leave every stage as one document, and so the whole pipeline."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    leak = table(spark, SF, "benchmark").orderBy("item_id").first().text
+    secret = "password=hunter22"
+    greater = "zz " + words(3)
+    rows = [(1, words(1), "en", "s", 5), (1, words(1), "en", "s", 5), (2, words(2), "en", "s", 6), (2, words(2), "fr", "t", 7),
+            (3, f"aa {secret} {words(4)}", "en", "s", 8), (3, f"{greater} {secret}", "en", "s", 9),
+            (4, f"aa {words(5)} {leak}", "en", "s", 1), (4, f"zz {words(6)}", "en", "s", 2), (5, "few", "en", "s", 3), (5, f"zz {words(7)}", "en", "s", 4),
+            (None, words(8), "en", "s", 1), (None, words(8), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    whole = {1: (words(1), "en"), 2: (words(2), "fr"), 3: (f"{greater} {secret}", "en"), 4: (f"zz {words(6)}", "en"), 5: (f"zz {words(7)}", "en"), None: (words(8), "en")}
+    clean = whole | {3: (f"{greater} {secrets.MARK}", "en")}
+    after = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF).collect()
+        after = stage(spark, after, SF)
+        if k < 4:
+            assert len(out) == len(whole) and {r.doc_id: (r.text, r.lang) for r in out} == (clean if k == 3 else whole), k
+        else:
+            assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in stage(spark, spark.createDataFrame(
+                [(i, *v, "t" if i == 2 else "s", 1) for i, v in whole.items()], docs.schema), SF).collect())
+            assert {r.text for r in out} <= {t for t, _ in whole.values()}
+        after = spark.createDataFrame(after.collect(), docs.schema)
+    assert {r.text for r in after.collect()} <= {t for t, _ in clean.values()} and after.count()
+
+
 def test_odd_tables(spark):
     words = " ".join(f"w{i}" for i in range(80))
     rows = [(1, words, "en", "s", 5), (2, None, None, None, None), (3, "", "en", None, 0), (4, words + " password=hunter22", "en", "s", 9), (1, words, "en", "s", 5)]
