@@ -1,18 +1,19 @@
 """Licence scan: a trained classifier of paragraphs, a calibrated unknown class, and templates that confirm what it says.
 
 Logistic regression over word n-grams (one and two words), sparse by its L1 penalty, is fitted on the labelled sample of
-`license_templates`; the sample's size is its documented bound. Its n-grams are those of notices that the sample's other texts
-hardly hold, and those of other texts that speak against a notice. The weights are a small table. A paragraph without any n-gram
-of positive weight for a licence family can only be unknown, so a regular expression of these, taken from the weights, finds the
-paragraphs to be scored; all texts are searched in full. Scores are sums over a join
-with the weights. Temperature and the least probability are set on held-out rows. A prediction counts when the paragraph shares
+`license_templates`; the sample's size is its documented bound. Its n-grams are those of three rows of the sample or more. The weights
+are a small table. A paragraph without any n-gram of positive weight for a licence family can only be unknown, so a regular
+expression of these, taken from the weights, finds the paragraphs to be scored; all texts are searched in full. Scores are sums
+within the row, over weights that an expression looks up by the n-gram's checksum, so that no paragraph is shuffled. Temperature and the least probability are set on held-out rows. A prediction counts when the paragraph shares
 enough two-word sequences with a template of the predicted family.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -25,7 +26,7 @@ from auditlens.llm.license_templates import TEMPLATES, UNKNOWN, labelled
 
 PENALTY, ROUNDS = 0.0006, 60
 CONFIRM = 0.6
-SPECIFIC = 15
+LEAST_ROWS = 3
 WRONG = 0.005
 
 
@@ -33,7 +34,7 @@ WRONG = 0.005
 class Model:
     families: list[str]
     intercept: list[float]
-    weights: DataFrame  # gram, w array<double>
+    weights: str  # JSON: by checksum, lists of {"g": n-gram, "w": weights}
     trigger: str
     temperature: float = 1.0
     least: float = 0.5
@@ -62,11 +63,8 @@ def fit(spark: SparkSession) -> Model:
     train = spark.createDataFrame([(t, float(families.index(f))) for k, (t, f) in enumerate(rows) if k % 3], schema)
     held = spark.createDataFrame([(k, t, float(families.index(f))) for k, (t, f) in enumerate(rows) if k % 3 == 0], "id long, text string, label double")
     grams = cut(train.select("label", ngrams(terms(F.col("text"))).alias("grams")))
-    told = F.col("label") > 0
-    known = grams.select("label", F.explode("grams").alias("gram")).groupBy("gram").agg(
-        F.count(F.when(told, 1)).alias("n"), F.count(F.when(~told, 1)).alias("m")).where("n >= 3")
-    telling = known.where((F.col("n") >= SPECIFIC * F.col("m")) | (F.col("m") >= 3 * F.col("n"))).orderBy("gram")
-    vocabulary = [r.gram for r in telling.select("gram").collect()]  # of the sample, not of the corpus
+    known = grams.select(F.explode("grams").alias("gram")).groupBy("gram").count().where(F.col("count") >= LEAST_ROWS).orderBy("gram")
+    vocabulary = [r.gram for r in known.select("gram").collect()]  # of the sample, not of the corpus
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").setBinary(True)
     fitted = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=PENALTY, maxIter=ROUNDS, standardization=False).fit(
         counter.transform(grams).select("label", "features"))
@@ -75,8 +73,10 @@ def fit(spark: SparkSession) -> Model:
     lead = sorted({g for g, w in used if max(w[1:]) - w[0] > 0}, key=lambda g: (-len(g), g))
     single = {g for g in lead if " " not in g}
     lead = [g for g in lead if " " not in g or not single & set(g.split(" "))]  # a pair with such a word is found by it
-    weights = spark.createDataFrame(used, "gram string, w array<double>")
-    model = Model(families, [float(x) for x in fitted.interceptVector], weights,
+    cells: list[list[dict]] = [[] for _ in range(4 * len(used) + 1)]
+    for g, w in used:
+        cells[zlib.crc32(g.encode()) % len(cells)].append({"g": g, "w": w})
+    model = Model(families, [float(x) for x in fitted.interceptVector], json.dumps(cells),
                   r"(?i)(?<![\p{L}\p{Nd}])(?:" + "|".join(r"[^\p{L}\p{Nd}]+".join(map(re.escape, g.split(" "))) for g in lead) + r")(?![\p{L}\p{Nd}])")
     return _calibrated(model, [(r.label, r.scores) for r in _scores(held, model, ["id", "label"]).select("label", "scores").collect()])
 
@@ -104,13 +104,13 @@ def _calibrated(model: Model, held: list[tuple[float, list[float]]]) -> Model:
 
 
 def _scores(paragraphs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """Paragraphs (keys, text) with terms and a score per family."""
+    """Paragraphs (keys, text) as keys, terms and a score per family."""
+    cells, n = F.from_json(F.lit(model.weights), "array<array<struct<g:string,w:array<double>>>>"), len(json.loads(model.weights))
     split = paragraphs.withColumn("terms", terms(F.col("text")))
-    grams = split.select(*keys, F.explode(ngrams(F.col("terms"))).alias("gram"))
-    sums = [F.sum(F.get("w", F.lit(k))).alias(f"s{k}") for k in range(len(model.families))]
-    scored = grams.join(model.weights, "gram").groupBy(*keys).agg(*sums)
-    score = F.array(*[F.coalesce(f"s{k}", F.lit(0.0)) + F.lit(b) for k, b in enumerate(model.intercept)])
-    return split.select(*keys, "text", "terms").join(scored, keys, "left").select(*keys, "text", "terms", score.alias("scores"))
+    held = F.flatten(F.transform(ngrams(F.col("terms")), lambda x: F.filter(
+        F.get(cells, (F.crc32(x.cast("binary")) % n).cast("int")), lambda e: e["g"] == x)))
+    score = F.aggregate(held, F.array(*map(F.lit, model.intercept)), lambda acc, e: F.zip_with(acc, e["w"], lambda a, b: a + b))
+    return split.select(*keys, "terms", F.explode(F.array(score)).alias("scores"))  # so that a filter does not compute it again
 
 
 def license_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -123,7 +123,7 @@ def license_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame
     model = model or fit(docs.sparkSession)
     source = one_per_id(docs.select("doc_id", "text"), "doc_id", "text")
     lines = source.where(F.col("text").rlike(model.trigger)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    lines = cut(lines.where(F.col("text").rlike(model.trigger)).withColumn("doc_id", F.struct("doc_id")))
+    lines = lines.where(F.col("text").rlike(model.trigger)).withColumn("doc_id", F.struct("doc_id"))
     scored = _scores(lines, model, ["doc_id", "line"])
     scaled = F.transform("scores", lambda s: F.exp((s - F.array_max("scores")) / F.lit(model.temperature)))
     known = F.slice("scores", 2, len(model.families) - 1)

@@ -1,5 +1,6 @@
 """Held-out accuracy, the given documents' licence lines, odd texts."""
 
+import json
 import re
 
 import pytest
@@ -25,6 +26,17 @@ def test_held_out_accuracy(spark, model):
     assert right / len(rows) > 0.95 and false / len(rows) < 0.01, (right / len(rows), false)
 
 
+def test_other_wordings(spark, model):
+    """The names of families speak for them, and notices worded as in no template are found, confirmed or not."""
+    weights = {e["g"]: e["w"] for cell in json.loads(model.weights) for e in cell}
+    for name, family in {"mit": "MIT", "apache": "Apache-2.0", "bsd": "BSD", "mozilla": "MPL-2.0"}.items():
+        assert weights[name][model.families.index(family)] > max(0, weights[name][0])
+    told = {"This code is under the BSD license": "BSD", "Mozilla Public License applies to this file": "MPL-2.0", "under the AGPL": "AGPL", "Licensed under the GPL": "GPL"}
+    df = spark.createDataFrame([*enumerate(told)], "doc_id long, text string")
+    assert {r.doc_id: r.family for r in licenses.license_paragraphs(df, model).collect()} == dict(enumerate(told.values()))
+    assert all(r.n_paragraphs + r.n_unconfirmed == 1 for r in licenses.license_verdicts(df, model).collect())
+
+
 def test_given_documents(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries.QUERIES["op8_licenses"](spark, SF).collect()
