@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlens.llm import chat, decontamination, extraction, licenses, mixing, ngram_join, quality, secrets, suffix_dedup, warc
+from auditlens.llm import (alignment, chat, decontamination, extraction, licenses, mixing, near_vectors, ngram_join, quality, secrets,
+                           suffix_dedup, warc, whitening)
 from auditlens.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +131,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_verdicts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.vector_components(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_alignment(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
