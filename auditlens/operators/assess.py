@@ -12,7 +12,7 @@ from auditlens.functions import text as tx
 from auditlens.functions.money import from_paise, ratio, rs
 from auditlens.functions.vocabulary import SEVERITIES, is_listed, severity_rank
 from auditlens.operators.facts import KEYS, READ_CONFIDENCE
-from auditlens.operators.waterfall import deduction_rows, room_cap, settlement_range
+from auditlens.operators.waterfall import STEPS, deduction_rows, room_cap, settlement_range
 
 # --- fixed values: thresholds that decide results ---
 MIN_COVERAGE_TENTHS = 9
@@ -106,35 +106,49 @@ def uncited_deductions(findings: DataFrame) -> DataFrame:
 
 
 def known_figures(facts: DataFrame, wf: DataFrame, findings: DataFrame, texts: DataFrame) -> DataFrame:
-    """Every figure the engine produced for a claim (tenant, claim_id, value), as such and as whole rupees.
+    """Every figure the engine produced for a claim (tenant, claim_id, value), as such and as whole rupees; a value may come twice.
 
     `texts` holds (tenant, claim_id, text): the messages whose numbers may be quoted.
     """
-    shares = wf.select(*KEYS, F.explode(F.array(
-        "gross_paise", "settlement_paise", "patient_paise", "hospital_paise", "item_total")).alias("paise"))
-    steps = deduction_rows(wf).select(*KEYS, F.col("taken_paise").alias("paise"))
+    shares = wf.select(*KEYS, F.explode(F.array_compact(F.array(
+        "gross_paise", "settlement_paise", "patient_paise", "hospital_paise", "item_total",
+        *[F.when(F.col(f"{s}_taken") > 0, F.col(f"{s}_taken")) for s in STEPS]))).alias("paise"))
     lines = findings.select(*KEYS, F.explode(F.array("amount_paise", "deducted_paise")).alias("paise"))
     header = facts.select(*KEYS, F.explode(F.array_compact(F.array(
         F.round("rate_paise", 0).cast("bigint"), F.coalesce("room_cap_paise", F.lit(0).cast("bigint")),
         "sum_insured_paise", "balance_paise",
         F.when(F.col("preauth_paise") != 0, F.col("preauth_paise")),
         F.when(F.col("preauth_paise") != 0, F.abs(F.col("gross_paise") - F.col("preauth_paise")))))).alias("paise"))
-    money = shares.unionByName(steps).unionByName(lines).unionByName(header).select(*KEYS, from_paise(F.col("paise")).cast("decimal(28,2)").alias("value"))
+    money = shares.unionByName(lines).unionByName(header).select(*KEYS, from_paise(F.col("paise")).cast("decimal(28,2)").alias("value"))
     quoted = texts.select(*KEYS, F.explode(tx.money_mentions(F.col("text"))).alias("raw")).select(*KEYS, tx.mention_value(F.col("raw")).alias("value"))
     exact = money.unionByName(quoted.where("value is not null"))
-    return exact.select(*KEYS, F.explode(F.array("value", F.bround("value", 0).cast("decimal(28,2)"))).alias("value")).distinct()
+    return exact.select(*KEYS, F.explode(F.array_distinct(F.array("value", F.bround("value", 0).cast("decimal(28,2)")))).alias("value"))
+
+
+def message_texts(gaps: DataFrame, flags: DataFrame, wf: DataFrame) -> DataFrame:
+    """(tenant, claim_id, text): what a writer is handed and may quote figures from."""
+    return (
+        flags.select(*KEYS, F.col("message").alias("text"))
+        .unionByName(gaps.select(*KEYS, F.col("reason").alias("text")))
+        .unionByName(deduction_rows(wf).select(*KEYS, F.col("basis").alias("text"))))
+
+
+def narrative_figures(narratives: DataFrame) -> DataFrame:
+    """(tenant, claim_id, ord, raw, value): figures of 1000 and more in narratives, by their place among all numbers."""
+    return (
+        narratives.select(*KEYS, F.posexplode(tx.money_mentions(F.col("narrative"))).alias("ord", "raw"))
+        .withColumn("value", tx.mention_value(F.col("raw"))).where(F.col("value") >= MONEY_FLOOR))
+
+
+def whole_rupees(value: Column) -> Column:
+    """Half-even. A figure has support if it is a known one to the rupee: both may be rounded, and rounding twice changes nothing."""
+    return F.bround(value, 0).cast("decimal(28,0)")
 
 
 def unsupported_figures(narratives: DataFrame, known: DataFrame) -> DataFrame:
     """Figures of 1000 and more in a narrative that the engine never produced, exact or rounded."""
-    figures = (
-        narratives.select(*KEYS, F.posexplode(tx.money_mentions(F.col("narrative"))).alias("ord", "raw"))
-        .withColumn("value", tx.mention_value(F.col("raw"))).where(F.col("value") >= MONEY_FLOOR)
-        .withColumn("whole", F.bround("value", 0).cast("decimal(28,2)"))
-    )
-    exact = known.select(*KEYS, "value")
-    whole = known.select(*KEYS, F.col("value").alias("whole"))
-    return figures.join(exact, [*KEYS, "value"], "left_anti").join(whole, [*KEYS, "whole"], "left_anti").select(*KEYS, "ord", "raw", "value")
+    figures = narrative_figures(narratives).withColumn("whole", whole_rupees(F.col("value")))
+    return figures.join(known.select(*KEYS, whole_rupees(F.col("value")).alias("whole")), [*KEYS, "whole"], "left_anti").select(*KEYS, "ord", "raw", "value")
 
 
 def verify(claims: DataFrame, wf: DataFrame, findings: DataFrame, unsupported: DataFrame) -> DataFrame:

@@ -187,7 +187,7 @@ def as_findings(judged: DataFrame) -> DataFrame:
     return judged.select(
         "tenant", "claim_id", "line_no", "description", "head", "quantity", "unit_rate_paise", "amount_paise",
         "service_date", "extract_confidence", "outside_stay",
-        "classification",
+        (F.col("outside_number") if "outside_number" in judged.columns else F.col("outside_stay")).alias("outside_number"), "classification",
         F.coalesce(F.nullif("rule_bearer", F.lit("")), bearer_of(cls)).alias("bearer"),
         deducted.alias("deducted_paise"), "reason", "confidence", "cited_chunk_id", "source",
         F.coalesce("cited_chunk_id", F.lit("")).alias("rule_id"),

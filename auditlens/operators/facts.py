@@ -45,7 +45,7 @@ def measures() -> list[Column]:
         *[_count(cls == c).alias(f"n_{c.lower()}") for c in CLASSES],
         *[_count((cls != "PAYABLE") & (F.col("severity") == s)).alias(f"items_{s.lower()}") for s in SEVERITIES],
         _sum(F.col("head") == "ROOM", amount).alias("room_billed"),
-        _count(outside).alias("n_outside"), _sum(outside, amount).alias("outside_paise"),
+        _count(outside).alias("n_outside"), _sum(F.col("outside_number"), amount).alias("outside_paise"),
         _count(F.lower("description").contains("icu")).alias("n_icu_named"),
         _sum(unmapped, amount).alias("unmapped_paise"),
         _count(unsure).alias("n_unsure"), _sum(unsure, amount).alias("unsure_paise"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlens.operators import ledger
-from auditlens.sources.store import KEYS, Store, delete_claims, read_store
+from auditlens.sources.store import KEYS, Store, erase, read_store
 
 # --- fixed values: retention windows ---
 CLAIM_DAYS, TRACE_DAYS = 730, 90
@@ -62,7 +62,7 @@ def purge_store(spark: SparkSession, path: str, today: dt.date, days: int = CLAI
     store = read_store(spark, path)
     report = spark.createDataFrame(purge_report(store, today, days, tenant, dry_run=dry_run).collect(), purge_report(store, today, days, tenant).schema)
     if not dry_run:
-        delete_claims(path, expired_claims(store.claims, today, days, tenant))
+        erase(spark, path, expired_claims(store.claims, today, days, tenant))
     return report
 
 
@@ -73,5 +73,5 @@ def erase_from_store(spark: SparkSession, path: str, requests: DataFrame, record
     target = f"{ledger_path}/batch={batch}"
     ledger.chain_append(ledger.tombstones(known, recorded_at, reason), batch).write.mode("errorifexists").parquet(target)
     tombs = spark.read.parquet(target)
-    delete_claims(path, tombs.select(*KEYS))
+    erase(spark, path, tombs.select(*KEYS))
     return tombs

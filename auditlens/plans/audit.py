@@ -49,19 +49,22 @@ class Audit:
     audits: DataFrame
 
 
-def folded_profiles(facts: DataFrame) -> DataFrame:
-    """One row per claim from its three profile rows, on the key they are already partitioned by.
+def folded_profiles(facts: DataFrame, *texts: str) -> DataFrame:
+    """One row per claim from its three profile rows, on the key they are already partitioned by; `texts` are further columns to keep.
 
-    `computed` holds every figure in paise the engine produced for the claim, apart from the lines.
+    `computed` holds every figure in paise the engine produced for the claim, apart from the lines; figures that only messages print
+    are in it without their sign, as a text drops it.
     """
     wide = facts.withColumns({"_gaps": documents.gap_array(facts), "_flags": checks.flag_array(facts)})
     fired = lambda check: F.exists("_flags", lambda f: f["check_id"] == check)
+    number = lambda check, n: F.when(fired(check) & (F.col(n) >= 1000), F.col(n).cast("bigint") * 100)
     room_total = F.round(F.col("rate_paise") * F.col("room_days"), 0).cast("bigint")
     once = [
         F.round("rate_paise", 0).cast("bigint"), F.coalesce("room_cap_paise", F.lit(0).cast("bigint")), F.col("sum_insured_paise"), F.col("balance_paise"),
-        F.col("preauth_paise"), F.abs(F.col("gross_paise") - F.col("preauth_paise")),
-        F.when(fired("CHK-ROOM-TOTAL"), F.col("room_billed")), F.when(fired("CHK-ROOM-TOTAL"), room_total),
-        F.when(fired("CHK-UNMAPPED-SHARE"), F.col("unmapped_paise"))]
+        F.when(F.col("preauth_paise") != 0, F.col("preauth_paise")), F.when(F.col("preauth_paise") != 0, F.abs(F.col("gross_paise") - F.col("preauth_paise"))),
+        F.when(fired("CHK-ROOM-TOTAL"), F.abs("room_billed")), F.when(fired("CHK-ROOM-TOTAL"), F.abs(room_total)),
+        F.when(fired("CHK-UNMAPPED-SHARE"), F.abs("unmapped_paise")), number("CHK-LOS-ROOM", "room_days"), number("CHK-DATE-WINDOW", "n_outside"),
+        number("CHK-DUPLICATE-LINE", "n_repeated"), number("CHK-ROUND-NUMBER", "n_round"), number("CHK-ROUND-NUMBER", "n_big")]
     wide = wide.withColumns({
         "n_gaps": F.size("_gaps").cast("bigint"), "n_flags": F.size("_flags").cast("bigint"),
         "claim_figures": F.array_compact(F.array(*once))}).drop("_gaps", "_flags")
@@ -70,15 +73,15 @@ def folded_profiles(facts: DataFrame) -> DataFrame:
     cut = taken("room_rent_excess") + taken("room_rent_proportionate") > 0
     per_row = F.array_compact(F.array(
         "gross_paise", "settlement_paise", "patient_paise", "hospital_paise", "item_total", *[taken(s) for s in STEPS],
-        F.when(cut, F.col("cap_paise")), F.when(taken("room_rent_proportionate") > 0, F.col("associated_paise")),
-        F.when(taken("procedure_sublimit") > 0, F.col("sublimit")["limit_paise"]), F.when(taken("deductible") > 0, F.col("deductible_paise")),
-        F.when(taken("copay") > 0, F.col("copay_before"))))
+        F.when(cut, F.abs("cap_paise")), F.when(taken("room_rent_proportionate") > 0, F.abs("associated_paise")),
+        F.when(taken("procedure_sublimit") > 0, F.abs(F.col("sublimit")["limit_paise"])), F.when(taken("deductible") > 0, F.abs("deductible_paise")),
+        F.when(taken("copay") > 0, F.abs("copay_before"))))
     balanced = F.col("settlement_paise") + F.col("patient_paise") + F.col("hospital_paise") == F.col("gross_paise")
     typical = F.col("profile") == "typical"
     pick = lambda c, name: F.max(F.when(typical, F.col(c))).alias(name)
     # Texts and dates of the header join the key: they change nothing about the groups, and leave only
     # fixed-width buffers, which Spark aggregates by hash.
-    return rows.groupBy(*KEYS, *_TEXTS).agg(
+    return rows.groupBy(*KEYS, *_TEXTS, *texts).agg(
         *[F.first(c).alias(c) for c in _HEADER],
         F.min("settlement_paise").alias("low_paise"), F.max("settlement_paise").alias("high_paise"),
         pick("settlement_paise", "settlement_paise"), pick("patient_paise", "patient_paise"),
@@ -94,28 +97,32 @@ _HEADER = (
     "n_payable", "n_list_i_optional", "n_list_ii_room", "n_list_iii_procedure", "n_list_iv_treatment")
 
 
-def unsupported_narratives(facts: DataFrame, lines: DataFrame) -> DataFrame:
-    """Claims whose standard narrative prints a figure without support, with how many.
+def unsupported_narratives(facts: DataFrame, lines: DataFrame, told: DataFrame | None = None) -> DataFrame:
+    """Claims whose narrative prints a figure without support, with how many.
 
-    Prose drops the sign, so only a negative figure can fail, which takes a credit line: its size has to equal
-    another figure of the claim, to the rupee. Figures with support in the row are settled there; the rest
-    look for a line.
+    A caller's narrative is searched for figures. The standard one drops signs, so only a negative figure of it can fail, which takes a
+    credit line; claims with neither are left out. A figure has support if a known one is equal to the rupee: those of the claim's row
+    settle it there, and what is still open looks for a line.
     """
-    folded = folded_profiles(facts.where("n_credit > 0"))
-    whole = lambda p: F.bround(F.abs(p).cast("decimal(20,0)") / 100, 0).cast("bigint")
-    signed = lambda p: F.bround(p.cast("decimal(20,0)") / 100, 0).cast("bigint")
-    quoted = folded.select(*KEYS, "computed", F.posexplode(F.array(
-        "gross_paise", "low_paise", "high_paise", "patient_paise", "hospital_paise")).alias("ord", "p"))
-    figures = quoted.where("p <= -100000").withColumn("whole", whole(F.col("p")))
-    open_ = figures.where(~F.exists("computed", lambda y: signed(y) == F.col("whole"))).drop("computed")
-    amounts = lines.select(*KEYS, signed(F.col("amount_paise")).alias("whole")).where("whole >= 1000")
+    rows = facts.where("n_credit > 0").withColumn("narrative", F.lit(None).cast("string")) if told is None else (
+        facts.join(told, KEYS, "left").where("n_credit > 0 or narrative is not null"))
+    whole = lambda p: F.bround(p.cast("decimal(20,0)") / 100, 0).cast("decimal(28,0)")
+    printed = F.filter(F.array("gross_paise", "low_paise", "high_paise", "patient_paise", "hospital_paise"), lambda p: p <= -100_000)
+    found = F.filter(F.transform(tx.money_mentions(F.col("narrative")), tx.mention_value), lambda v: v >= assess.MONEY_FLOOR)
+    figures = F.when(F.col("narrative").isNull(), F.transform(printed, lambda p: whole(F.abs(p)))).otherwise(F.transform(found, assess.whole_rupees))
+    quoted = folded_profiles(rows, "narrative").select(*KEYS, F.transform("computed", whole).alias("known"), F.posexplode(figures).alias("ord", "whole"))
+    open_ = quoted.where(~F.array_contains("known", F.col("whole"))).drop("known")
+    amounts = lines.select(*KEYS, whole(F.col("amount_paise")).alias("whole")).where("whole >= 1000")
     return open_.join(amounts, [*KEYS, "whole"], "left_anti").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_unsupported"))
 
 
-def audits_table(facts: DataFrame, lines: DataFrame, version: Column, month_of: str = "discharge") -> DataFrame:
-    """One row per claim."""
-    folded = folded_profiles(facts)
-    rows = folded.join(unsupported_narratives(facts, lines), KEYS, "left")
+def audits_table(facts: DataFrame, findings: DataFrame, version: Column, month_of: str = "discharge", told: DataFrame | None = None) -> DataFrame:
+    """One row per claim. `told` (tenant, claim_id, narrative), one row a claim, replaces the standard narrative of its claims and is
+    verified in its place."""
+    rows = folded_profiles(facts).join(unsupported_narratives(facts, findings, told), KEYS, "left")
+    text = assess.narrative(F.col("low_paise"), F.col("high_paise"), F.col("patient_paise"), F.col("hospital_paise"))
+    if told is not None:
+        rows, text = rows.join(told, KEYS, "left"), F.coalesce("narrative", text)
     ok = F.col("balanced") & (F.col("n_uncited") == 0) & F.col("n_unsupported").isNull()
     return rows.select(
         *KEYS, tx.claim_month(F.col("admission_date"), F.col("discharge_date"), month_of).alias("month"),
@@ -126,7 +133,7 @@ def audits_table(facts: DataFrame, lines: DataFrame, version: Column, month_of:
         ok.alias("verify_passed"), assess.verdict(ok).alias("verdict"),
         (F.col("n_llm") > 0).alias("ai_used"), F.when(F.col("n_llm") > 0, "llm").otherwise("deterministic").alias("strategy"),
         version.alias("corpus_version"),
-        assess.narrative(F.col("low_paise"), F.col("high_paise"), F.col("patient_paise"), F.col("hospital_paise")).alias("narrative"),
+        text.alias("narrative"),
         F.struct(
             F.col("n_list_i_optional").alias("LIST_I_OPTIONAL"), F.col("n_list_ii_room").alias("LIST_II_ROOM"),
             F.col("n_list_iii_procedure").alias("LIST_III_PROCEDURE"), F.col("n_list_iv_treatment").alias("LIST_IV_TREATMENT"),
@@ -135,11 +142,14 @@ def audits_table(facts: DataFrame, lines: DataFrame, version: Column, month_of:
 
 
 def audit(claims: DataFrame, lines: DataFrame, rules: DataFrame, sources: DataFrame, *, today: dt.date,
-          strategy: str = "auto", month_of: str = "discharge", **options: object) -> Audit:
+          strategy: str = "auto", month_of: str = "discharge", narrative: DataFrame | None = None, **options: object) -> Audit:
+    """Audit all claims. `narrative` (tenant, claim_id, narrative) holds texts that a caller or a model wrote about some of them: every
+    figure in one has to be known, or its claim cannot be verified. Of several texts of a claim the greatest counts; NULL is none."""
     findings = classify.classify_items(lines, rules, sources, strategy, **options)
     facts = with_facts(claims, findings)
     version = corpus_version(rules, sources, today).select("corpus_version").scalar()
+    told = None if narrative is None else narrative.where("narrative is not null").groupBy(*KEYS).agg(F.max("narrative").alias("narrative"))
     return Audit(
         claims=claims, findings=findings, facts=facts, waterfall=waterfall(facts),
         gaps=documents.check_documents(facts), flags=checks.run_checks(facts),
-        audits=audits_table(facts, lines, version, month_of))
+        audits=audits_table(facts, findings, version, month_of, told))

@@ -1,8 +1,13 @@
 """The audit store: three Parquet tables in paise, keyed (tenant, claim_id), and the views over them.
 
-A claim's rows lie in the folder of its tenant and of the bucket its id hashes to, whatever else changes about it. A save or a
-delete rewrites exactly the buckets of the claims it touches. A folder cannot be overwritten with nothing, so a bucket that
-becomes empty holds one row without a claim_id, which readers leave out.
+Saves only append. A save writes its claims, findings and gaps into folders of their own, `<table>/version=<n>`, and then one row to
+`commits`: until that row is there nobody reads the rest, so a save that dies half way leaves the state before it. A deletion appends
+tombstones. A reader takes, of every claim, the rows of its latest committed version. So a save costs what it writes, whatever is stored.
+
+`compact` rewrites the current state as one version, for all tenants or for some; older rows of these are then no longer read, and
+`vacuum` deletes their files. Saves compact by size: once the rows appended since the last time come to a share of what was
+rewritten then, so that every row is rewritten a few times over its life. One writer at a time; readers need no lock, but a frame that
+was read before a vacuum has to be read again.
 """
 
 from __future__ import annotations
@@ -10,16 +15,19 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlens.functions.money import from_paise
 
 KEYS = ["tenant", "claim_id"]
 TABLES = ("claims", "findings", "doc_gaps")
-PLACE = ["tenant", "bucket"]
-BUCKETS = 16
+#: A save compacts when versions are this many, or when more rows have been appended since the last compaction than this and that
+#: share of the rows it wrote.
+MAX_VERSIONS, MIN_COMPACT_ROWS, APPENDED_SHARE = 64, 1_000_000, 0.5
+#: A vacuum joins the commit rows of dead versions to one file when they are in as many.
+MAX_OLD_COMMITS = 64
+COMMITS = "version bigint, kind string, batch string, tenants array<string>, n_rows bigint"
 SCHEMAS = {
     "claims": ("tenant string, claim_id string, audited_at timestamp, month string, diagnosis string, procedure string, gross_bill_paise bigint, "
                "settlement_paise bigint, patient_liability_paise bigint, hospital_writeoff_paise bigint, room_rent_deduction_paise bigint, "
@@ -68,79 +76,202 @@ def orphans(children: DataFrame, claims: DataFrame) -> DataFrame:
     return children.join(claims.select(*KEYS), KEYS, "left_anti")
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("claim_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+# --- files -------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Log:
+    """Committed versions, a row each."""
+
+    commits: list[Row]
+
+    @property
+    def latest(self) -> int:
+        return max((c.version for c in self.commits), default=0)
+
+    @property
+    def floor(self) -> int:
+        """The last compaction of all tenants; nothing before it is read."""
+        return max((c.version for c in self.commits if c.kind == "compact" and c.tenants is None), default=0)
+
+    @property
+    def live(self) -> list[Row]:
+        return sorted((c for c in self.commits if c.version >= self.floor), key=lambda c: c.version)
+
+    def floors(self) -> dict[str, int]:
+        """Tenants that were compacted by themselves since then."""
+        return {t: c.version for c in self.live if c.kind == "compact" for t in c.tenants or []}
+
+    def due(self) -> bool:
+        rewritten = sum(c.n_rows for c in self.live if c.kind == "compact")
+        appended = sum(c.n_rows for c in self.live if c.kind != "compact")
+        return len(self.live) >= MAX_VERSIONS or appended > APPENDED_SHARE * rewritten + MIN_COMPACT_ROWS
 
 
 def _columns(name: str) -> list[str]:
     return [f.split()[0] for f in SCHEMAS[name].split(", ")]
 
 
-def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(f"{SCHEMAS[name]}, bucket int").parquet(f"{path}/{name}").where("claim_id is not null")
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a folder of the store."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _folder(spark, path)
+    fs.delete(target, True)
+
+
+def read_log(spark: SparkSession, path: str) -> Log:
+    fs, commits = _folder(spark, f"{path}/commits")
+    if not fs.exists(commits):
+        return Log([])
+    rows = spark.read.schema(COMMITS).option("recursiveFileLookup", "true").parquet(f"{path}/commits").collect()
+    return Log(list({r.version: r for r in rows}.values()))
+
+
+def committed(spark: SparkSession, path: str, batch: str) -> bool:
+    """Whether the rows of a named batch are in the store, or were."""
+    return any(c.batch == batch for c in read_log(spark, path).commits)
+
+
+def _versions(spark: SparkSession, path: str, name: str, log: Log) -> DataFrame:
+    """Rows of all live versions with `version` (and `deleted` for claims), those of compacted tenants from their compaction on."""
+    schema = f"version bigint, {SCHEMAS[name]}" + (", deleted boolean" if name == "claims" else "")
+    folders = [f"{path}/{name}/version={c.version}" for c in log.live]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", f"{path}/{name}").parquet(*folders)
+    floors = log.floors()
+    if floors:
+        floor = F.create_map(*[F.lit(v) for pair in floors.items() for v in pair])
+        rows = rows.where(F.col("version") >= F.coalesce(F.try_element_at(floor, F.col("tenant")), F.lit(0)))
+    return rows
+
+
+def _current(spark: SparkSession, path: str, log: Log) -> dict[str, DataFrame]:
+    """Tables of the latest version of every claim, with `version`."""
+    tables = {name: _versions(spark, path, name, log) for name in TABLES}
+    if len(log.live) <= 1 and all(c.kind != "delete" for c in log.live):
+        return {**tables, "claims": tables["claims"].drop("deleted")}
+    latest = F.max("version").over(Window.partitionBy(*KEYS))  # of a claim, as many rows as it has live versions
+    claims = tables["claims"].withColumn("_latest", latest).where((F.col("version") == F.col("_latest")) & ~F.col("deleted")).drop("deleted", "_latest")
+    keys = claims.select(*KEYS, "version").distinct()
+    return {"claims": claims, **{name: tables[name].join(keys, [*KEYS, "version"], "left_semi") for name in TABLES[1:]}}
 
 
 def read_store(spark: SparkSession, path: str) -> Store:
-    return Store(*[_read(spark, path, t).select(*_columns(t)) for t in TABLES])
+    tables = _current(spark, path, read_log(spark, path))
+    return Store(*[tables[t].select(*_columns(t)) for t in TABLES])
 
 
-def save_store(path: str, new: Store) -> None:
-    """Delete, then insert, whole claims: no row of a claim that is saved again outlives the save."""
-    spark = new.claims.sparkSession
-    for name in TABLES:
-        getattr(new, name).select(*_columns(name)).write.mode("overwrite").parquet(f"{path}/_staging/new_{name}")
-    staged = Store(*[spark.read.schema(SCHEMAS[name]).parquet(f"{path}/_staging/new_{name}") for name in TABLES])
-    for name in TABLES[1:]:
-        if not orphans(getattr(staged, name), staged.claims).isEmpty():
-            raise ValueError(f"{name} holds rows of claims that are not being saved")
-    _rewrite(path, staged.claims.select(*KEYS), staged)
+def _write(path: str, name: str, version: int, rows: DataFrame) -> None:
+    rows.write.mode("overwrite").partitionBy("tenant").parquet(f"{path}/{name}/version={version}")
 
 
-def delete_claims(path: str, keys: DataFrame) -> None:
-    """Remove claims and their findings and gaps from the files. Keys that are not stored change nothing."""
-    known = keys.select(*KEYS).join(_read(keys.sparkSession, path, "claims").select(*KEYS), KEYS, "left_semi")
-    _rewrite(path, known, None)
+def _commit(spark: SparkSession, path: str, version: int, kind: str, n_rows: int, batch: str | None = None, tenants: list[str] | None = None) -> None:
+    row = spark.createDataFrame([(version, kind, batch, tenants, n_rows)], COMMITS)
+    row.coalesce(1).write.mode("errorifexists").parquet(f"{path}/commits/{version}")
+
 
+def _n_rows(spark: SparkSession, path: str, version: int) -> int:
+    """Rows of a version's tables, from the footers of its files."""
+    return sum(spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}/version={version}").count() for name in TABLES)
 
-def _rewrite(path: str, gone: DataFrame, new: Store | None) -> None:
-    """Write the touched buckets of all tables without the rows of `gone` and with those of `new`.
 
-    Every table's new state is written to a staging folder before any folder is overwritten: tables cannot be overwritten
-    while they are read, and `gone` and `new` may themselves be read from them. The claims come last.
+def save_store(path: str, new: Store, batch: str | None = None, compacting: bool = True) -> bool:
+    """Append whole claims: no row that a claim had before is read any more. A named batch is saved once: False if it already was.
+
+    Folders of a version that was never committed are written over.
     """
-    spark = gone.sparkSession
-    staging = f"{path}/_staging"
-    gone.distinct().select(*KEYS, _bucket()).write.mode("overwrite").parquet(f"{staging}/gone")
-    gone = spark.read.parquet(f"{staging}/gone")
-    touched = gone.select(*PLACE).distinct()
-    order = TABLES[::-1]
-    for name in order:
-        columns, target = _columns(name), f"{path}/{name}"
-        parts = [touched.select(*[F.col(c) if c in PLACE else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in SCHEMAS[name].split(", "))], "bucket")]
-        if new is not None:
-            parts.append(getattr(new, name).select(*columns, _bucket()))
-        if _exists(spark, target):
-            old = _read(spark, path, name).join(touched, PLACE, "left_semi").select(*columns, "bucket")
-            parts.append(old.join(gone.select(*KEYS), KEYS, "left_anti").select(*columns, "bucket"))
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        rows.write.mode("overwrite").parquet(f"{staging}/{name}")
-    for name in order:
-        (spark.read.parquet(f"{staging}/{name}").repartition(*PLACE).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(f"{path}/{name}"))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.schema("tenant string").parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+    spark = new.claims.sparkSession
+    log = read_log(spark, path)
+    if batch is not None and any(c.batch == batch for c in log.commits):
+        return False
+    version = log.latest + 1
+    for name in TABLES[::-1]:
+        rows = getattr(new, name).select(*_columns(name))
+        _write(path, name, version, rows.withColumn("deleted", F.lit(False)) if name == "claims" else rows)
+    written = {name: spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}/version={version}") for name in TABLES}
+    for name in TABLES[1:]:
+        if not orphans(written[name], written["claims"]).isEmpty():
+            raise ValueError(f"{name} holds rows of claims that are not being saved")
+    _commit(spark, path, version, "save", _n_rows(spark, path, version), batch)
+    if compacting and read_log(spark, path).due():
+        compact(spark, path)
+        vacuum(spark, path)
     return True
 
 
+def delete_claims(path: str, keys: DataFrame) -> None:
+    """Append tombstones of claims: they, their findings and their gaps are not read any more. Keys that are not stored change nothing."""
+    spark = keys.sparkSession
+    log = read_log(spark, path)
+    version = log.latest + 1
+    known = _current(spark, path, log)["claims"].select(*KEYS).join(keys.select(*KEYS), KEYS, "left_semi").distinct()
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in SCHEMAS["claims"].split(", ")) if c not in KEYS]
+    for name in TABLES[1:]:
+        _write(path, name, version, spark.createDataFrame([], SCHEMAS[name]))
+    _write(path, "claims", version, known.select(*KEYS, *empty, F.lit(True).alias("deleted")))
+    n = _n_rows(spark, path, version)
+    if n:
+        _commit(spark, path, version, "delete", n)
+
+
+def compact(spark: SparkSession, path: str, tenants: list[str] | None = None) -> None:
+    """Write the current state, of all tenants or of some, as one version that takes the place of all earlier ones."""
+    log = read_log(spark, path)
+    if not log.live:
+        return
+    version = log.latest + 1
+    for name, rows in list(_current(spark, path, log).items())[::-1]:
+        rows = rows if tenants is None else rows.where(F.col("tenant").isin(tenants))
+        rows = rows.select(*_columns(name))
+        _write(path, name, version, rows.withColumn("deleted", F.lit(False)) if name == "claims" else rows)
+    _commit(spark, path, version, "compact", _n_rows(spark, path, version), tenants=tenants)
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Delete the files that no reader takes any more: versions before the last compaction, and versions without a commit.
+
+    The commit rows of dead versions stay, as what tells a repeated batch, but move to one file when they are many.
+    """
+    log = read_log(spark, path)
+    fs, top = _folder(spark, f"{path}/commits")
+    old = [f.getPath() for f in (fs.listStatus(top) if fs.exists(top) else []) if f.getPath().getName().isdigit() and int(f.getPath().getName()) < log.floor]
+    if len(old) > MAX_OLD_COMMITS:
+        dead = [tuple(c) for c in log.commits if c.version < log.floor]
+        spark.createDataFrame(dead, COMMITS).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/before-{log.floor}")
+        for folder in old:
+            fs.delete(folder, True)
+    floors, live = log.floors(), {c.version for c in log.live}
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for name in TABLES:
+        fs, top = _folder(spark, f"{path}/{name}")
+        for folder in fs.listStatus(top) if fs.exists(top) else []:
+            label, _, number = folder.getPath().getName().partition("=")
+            if label != "version":
+                continue
+            if int(number) not in live:
+                fs.delete(folder.getPath(), True)
+                continue
+            for part in fs.listStatus(folder.getPath()):
+                tenant = unescape(part.getPath().getName().removeprefix("tenant="))
+                if part.isDirectory() and int(number) < floors.get(tenant, 0):
+                    fs.delete(part.getPath(), True)
+
+
+def erase(spark: SparkSession, path: str, keys: DataFrame) -> None:
+    """Remove claims from the store and from its files; this rewrites the tenants they belong to."""
+    tenants = sorted(r.tenant for r in keys.select("tenant").distinct().collect() if r.tenant is not None)
+    delete_claims(path, keys)
+    if tenants:
+        compact(spark, path, tenants)
+    vacuum(spark, path)
+
+
 def exact_money(df: DataFrame) -> DataFrame:
     """Add DECIMAL rupees for every paise column."""
     return df.withColumns({name: from_paise(F.col(p)) for name, p in MONEY.items() if p in df.columns})

@@ -6,12 +6,14 @@ import datetime as dt
 import itertools
 import re
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlens.functions.money import rs
 from auditlens.operators import classify
 from auditlens.operators.documents import REQUIREMENTS
 from auditlens.operators.facts import with_facts
@@ -56,6 +58,19 @@ class Context:
     def audit(self) -> audit_plan.Audit:
         return audit_plan.audit(self.claims, self.lines, self.rules, self.sources, today=TODAY)
 
+    @cached_property
+    def narrative(self) -> DataFrame:
+        """A caller's narrative of most claims; its figures are in the oracle's `quoted`."""
+        text = F.concat(F.lit("Bill "), rs(F.col("gross_paise")), F.lit(", 12 days, claimed "), rs(F.col("gross_paise") + 12300),
+                        F.lit(", room "), rs(F.col("room_days").cast("bigint") * 100000), F.lit("; room lines "), rs(F.col("room_billed")),
+                        F.lit(" of a cover of "), rs(F.col("balance_paise")), F.lit("."))
+        return self.audit.facts.where("room_days % 4 <> 0").select("tenant", "claim_id", text.alias("narrative"))
+
+    @cached_property
+    def told(self) -> audit_plan.Audit:
+        version = audit_plan.corpus_version(self.rules, self.sources, TODAY).select("corpus_version").scalar()
+        return replace(self.audit, audits=audit_plan.audits_table(self.audit.facts, self.audit.findings, version, told=self.narrative))
+
     @cached_property
     def store(self) -> st.Store:
         return st.store_rows(self.audit)

@@ -10,7 +10,7 @@ from auditlens.operators import evaluate, intake, portfolio
 from auditlens.plans import batch
 from auditlens.session import shared_dir
 from auditlens.sources import packets as pk
-from auditlens.sources import records
+from auditlens.sources import records, store
 from auditlens.streaming.audits import streaming_audit
 from suite import base as b
 from suite.base import CTES, case
@@ -60,7 +60,7 @@ def tenant():
 
 CTES["packet_errors"] = """
 SELECT o_orderkey AS k, 'PK-' || o_orderkey AS claim_id, o_orderkey % 37 = 0 AS corrupt, concat_ws('; ', CASE WHEN o_orderkey % 43 = 0 THEN 'missing context.discharge_date' END,
- CASE WHEN o_orderkey % 41 = 0 THEN 'unknown head' END, CASE WHEN o_orderkey % 47 = 0 THEN 'line number used twice' END) AS error FROM orders"""
+ CASE WHEN o_orderkey % 41 = 0 THEN 'unknown head' END) AS error FROM orders"""
 
 
 @case("SRC1", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 37 <> 0 THEN 'PK-' || o_orderkey END AS claim_id, CASE WHEN o_orderkey % 37 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS admission_date,
@@ -73,21 +73,38 @@ def src1(x):
         F.when(F.col(pk.CORRUPT).isNull(), F.size("line_items")).alias("n_lines"), F.col(pk.CORRUPT).isNotNull().alias("corrupt"))
 
 
-@case("SRC2", """SELECT claim_id, n AS line_no, CASE n WHEN 1 THEN 'ROOM' WHEN 2 THEN 'OTHER' ELSE CASE WHEN k % 5 = 0 THEN 'OTHER' ELSE 'PROCEDURE' END END AS head,
- CASE n WHEN 1 THEN (3000 + k % 10 * 500) * 300 WHEN 2 THEN p // 10 ELSE p // 2 END AS amount_paise, CASE WHEN n = 1 THEN 3 ELSE 1 END AS quantity, 0 AS unit_rate_paise, n = 2 AS outside_stay
+@case("SRC2", """SELECT claim_id, CASE WHEN n = 3 AND k % 47 = 0 THEN 2 ELSE n END AS line_no, CASE n WHEN 1 THEN 'ROOM' WHEN 2 THEN 'OTHER' ELSE CASE WHEN k % 5 = 0 THEN 'OTHER' ELSE 'PROCEDURE' END END AS head,
+ CASE n WHEN 1 THEN (3000 + k % 10 * 500) * 300 WHEN 2 THEN p // 10 ELSE p // 2 END AS amount_paise, CASE WHEN n = 1 THEN 3 ELSE 1 END AS quantity, 0 AS unit_rate_paise, n = 2 AS outside_stay, n = 2 OR n = 3 AND k % 47 = 0 AS outside_number
  FROM (SELECT e.*, CAST(round(o_totalprice * 100) AS BIGINT) AS p FROM packet_errors e JOIN orders ON o_orderkey = k WHERE NOT corrupt AND error = ''), (VALUES (1), (2), (3)) AS t(n)""")
 def src2(x):
     good, _ = batch.split_packets(packets(x))
-    return pk.explode_lines(good, tenant()).select("claim_id", "line_no", "head", "amount_paise", F.col("quantity").cast("bigint").alias("quantity"), "unit_rate_paise", "outside_stay")
+    return pk.explode_lines(good, tenant()).select("claim_id", "line_no", "head", "amount_paise", F.col("quantity").cast("bigint").alias("quantity"), "unit_rate_paise", "outside_stay", "outside_number")
 
 
 # --- batches -------------------------------------------------------------------------------
 
 
-@case("BAT1", "SELECT 'C-' || o_custkey AS claim_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def new_store(x) -> str:
+    return f"{shared_dir(x.spark)}/intake-{x.spark.sparkContext.applicationId}-{id(x)}-{b.next_number()}"
+
+
+def take(x, frame: DataFrame, path: str, name: str) -> DataFrame:
+    return batch.intake_batch(frame.drop("k"), path, x.rules, x.sources, tenant=tenant(), today=b.TODAY, batch=name, recorded_at=F.lit("2026-01-01T00:00:00+00:00"))
+
+
+@case("BAT1", f"""SELECT claim_id, ok, error, CAST(sum(n) AS BIGINT) AS n FROM (
+ SELECT CASE WHEN corrupt THEN NULL ELSE claim_id END AS claim_id, FALSE AS ok, CASE WHEN corrupt THEN 'corrupt' ELSE 'ValidationError: ' || error END AS error,
+  CASE WHEN k % 9 = 0 THEN 2 ELSE 1 END AS n FROM packet_errors WHERE corrupt OR error <> ''
+ UNION ALL SELECT claim_id, FALSE, 'DuplicateClaim: {batch.KNOWN}', CASE WHEN k % 9 = 0 THEN 2 ELSE 1 END FROM packet_errors WHERE NOT corrupt AND error = '' AND k % 10 = 0
+ UNION ALL SELECT claim_id, TRUE, '', 1 FROM packet_errors WHERE NOT corrupt AND error = '' AND k % 10 <> 0
+ UNION ALL SELECT claim_id, FALSE, 'DuplicateClaim: {batch.TWICE}', 1 FROM packet_errors WHERE NOT corrupt AND error = '' AND k % 10 <> 0 AND k % 9 = 0) GROUP BY ALL""")
 def bat1(x):
-    ids = x.table("orders").select(F.concat(F.lit("C-"), F.col("o_custkey").cast("string")).alias("claim_id"))
-    return batch.duplicate_claims(ids, tenant()).select("claim_id", "n")
+    """A tenth of the packets in one batch, then all of them in another, a ninth twice."""
+    path = new_store(x)
+    take(x, packets(x).where("k % 10 = 0"), path, "first")
+    results = take(x, packets(x).unionByName(packets(x).where("k % 9 = 0")), path, "second")
+    corrupt = F.col("error").contains("unreadable JSON")
+    return results.groupBy(F.when(~corrupt, F.col("claim_id")).alias("claim_id"), "ok", F.when(corrupt, "corrupt").otherwise(F.col("error")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @case("BAT2", """SELECT claim_id, TRUE AS ok, '' AS error FROM packet_errors WHERE NOT corrupt AND error = ''
@@ -229,15 +246,21 @@ def st4(x):
     return tag(total, "counter").unionByName(tag(last, "gauge"))
 
 
-@case("ST5", "SELECT CASE WHEN corrupt THEN NULL ELSE claim_id END AS claim_id, NOT corrupt AND error = '' AS ok FROM packet_errors")
+@case("ST5", """SELECT 'T0' AS tenant, claim_id, strftime(CAST(o_orderdate AS DATE) + 3, '%Y-%m') AS month, o_orderpriority AS diagnosis,
+ (3000 + k % 10 * 500) * 300 + p // 10 + p // 2 AS gross_bill_paise, 3 AS n_findings, 1 AS n_entries FROM (
+ SELECT e.*, o_orderdate, o_orderpriority, CAST(round(o_totalprice * 100) AS BIGINT) AS p FROM packet_errors e JOIN orders ON o_orderkey = k WHERE NOT corrupt AND error = '')""")
 def st5(x):
-    """The orders file as a stream of packets, audited to the end; outcomes read back from shared storage."""
-    work = f"{shared_dir(x.spark)}/stream-{x.spark.sparkContext.applicationId}-{id(x)}-{b.next_number()}"
+    """The orders file as a stream of packets, a tenth of them known from a batch, and the stream run again without its checkpoint: what the
+    store and the ledger then hold of every claim."""
+    work = new_store(x)
+    take(x, packets(x).where("k % 10 = 0"), work, "first")
     schema = x.table("orders").schema
-    orders = x.spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(x.sf_dir)
-    stream = pk.parse_packets(packet_texts(orders)).drop("k")
-    writer = streaming_audit(stream, work, x.rules, x.sources, tenant=tenant(), today=b.TODAY, recorded_at=F.lit("2026-01-01T00:00:00+00:00"))
-    run = writer.option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return x.spark.read.parquet(f"{work}/outcomes").select(
-        F.when(~F.col("error").contains("unreadable JSON"), F.col("claim_id")).alias("claim_id"), "ok")
+    for k in range(2):
+        orders = x.spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(x.sf_dir)
+        stream = pk.parse_packets(packet_texts(orders)).drop("k")
+        writer = streaming_audit(stream, work, x.rules, x.sources, tenant=tenant(), today=b.TODAY, recorded_at=F.lit("2026-01-01T00:00:00+00:00"))
+        writer.option("checkpointLocation", f"{work}/checkpoint-{k}").trigger(availableNow=True).start().awaitTermination()
+    now = store.read_store(x.spark, work)
+    count = lambda df, name: df.groupBy(*K).agg(F.count(F.lit(1)).alias(name))
+    return (now.claims.select(*K, "month", "diagnosis", "gross_bill_paise").join(count(now.findings, "n_findings"), K, "left")
+            .join(count(x.spark.read.parquet(f"{work}/ledger"), "n_entries"), K, "left"))

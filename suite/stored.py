@@ -77,8 +77,9 @@ def snk4(x):
 
 @case("SNK5", "SELECT tenant, count(*) AS n, CAST(sum(gross_bill_paise) AS BIGINT) AS paise FROM s_claims WHERE tenant = 'T1' GROUP BY tenant")
 def snk5(x):
-    st.register_views(x.spark, x.store, "T1")
-    return x.spark.sql("SELECT tenant, count(*) AS n, sum(gross_bill_paise) AS paise FROM v_claims GROUP BY tenant")
+    own = x.spark.newSession()
+    st.register_views(own, x.store, "T1")
+    return own.sql("SELECT tenant, count(*) AS n, sum(gross_bill_paise) AS paise FROM v_claims GROUP BY tenant")
 
 
 @case("SNK7", "SELECT tenant, claim_id, line_no FROM s_findings WHERE CAST(substr(claim_id, 5) AS BIGINT) % 7 = 0")

@@ -157,6 +157,21 @@ def test_invented_figures_are_caught(run):
     assert bad("You lose Rs 77,777 of 13234.56") == ["77,777"]
 
 
+def test_a_callers_narrative_is_verified(spark, run):
+    """Its figures may come from lines, shares, the header or messages; an invented one stops the claim, and only that one."""
+    docs = [packet(c, [ROOM, line(2, "Telephone", "1234.56")], rate="9000", policy={"copay_percent": "10"}) for c in "ABCDE"]
+    plain, _ = run(*docs)
+    told = {"A": "Room at Rs 9,000 and Rs 1,234.56 for the telephone", "B": "They lose Rs 54,321 of it", "C": None,
+            "D": "about ₹1,235, " + plain.waterfall.where("claim_id = 'D' and profile = 'typical'").select(assess.rs(F.col("copay_before"))).first()[0],
+            "Z": "Rs 99,999 of nobody"}
+    frame = spark.createDataFrame([("t", c, s) for c, s in told.items()] + [("other", "E", "Rs 77,777")], "tenant string, claim_id string, narrative string")
+    tables, results = run(*docs, narrative=frame)
+    rows = by_claim(tables.audits)
+    assert {c: r.verify_passed for c, r in rows.items()} == {"A": True, "B": False, "C": True, "D": True, "E": True}
+    assert rows["B"].verdict == "CANNOT_VERIFY" and rows["A"].verdict == by_claim(plain.audits)["A"].verdict
+    assert rows["A"].narrative == told["A"] and rows["C"].narrative == by_claim(plain.audits)["C"].narrative and results.count() == 5
+
+
 def test_bad_packets_do_not_stop_the_others(run):
     good = packet("GOOD", [ROOM])
     wrong_head = packet("HEAD", [line(1, "x", 5, "MAGIC")])
@@ -164,9 +179,22 @@ def test_bad_packets_do_not_stop_the_others(run):
     undated = packet("UNDATED", [ROOM], context={"discharge_date": None})
     _, results = run(good, json.dumps(good)[:80], wrong_head, twice, undated)
     rows = results.collect()
-    assert sorted(r.ok for r in rows) == [False] * 4 + [True]
+    assert sorted(r.ok for r in rows) == [False] * 3 + [True] * 2 and by_claim(results)["TWICE"].ok
     errors = " ".join(r.error for r in rows)
-    assert all(t in errors for t in ("unreadable JSON", "unknown head", "line number used twice", "missing context.discharge_date"))
+    assert all(t in errors for t in ("unreadable JSON", "unknown head", "missing context.discharge_date"))
+
+
+def test_a_line_number_may_come_twice(run):
+    """Each line is a finding of its own; a date outside the stay puts all lines of its number under query."""
+    late = {"service_date": "2026-06-01"}
+    tables, results = run(packet("N", [ROOM, line(2, "Telephone", 500), line(2, "Gauze roll", 40, **late), line(3, "Stent", 7, "IMPLANT"), line(3, "Telephone", 500)]),
+                          packet("P", [ROOM, line(2, "Gauze roll", 40, **late), line(3, "Telephone", 500)]))
+    assert all(r.ok for r in results.collect())
+    found = tables.findings.where("claim_id = 'N'").collect()
+    assert sorted((r.line_no, r.description) for r in found) == [(1, "Room rent"), (2, "Gauze roll"), (2, "Telephone"), (3, "Stent"), (3, "Telephone")]
+    flags = {r.claim_id: r.impact_paise for r in tables.flags.where("check_id = 'CHK-DATE-WINDOW'").collect()}
+    assert flags == {"N": 54000, "P": 4000} and by_claim(tables.facts)["N"].n_outside == 1
+    assert by_claim(tables.audits)["N"].gross_paise == 1304700
 
 
 def test_duplicate_claims_are_refused(spark):

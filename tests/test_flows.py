@@ -5,8 +5,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from auditlens.operators import extraction, intake, retrieval
+from auditlens.operators import extraction, intake, ledger, retrieval
+from auditlens.plans import batch
 from auditlens.sources import packets as pk
+from auditlens.sources import store
 from auditlens.streaming import audits, metrics, requests
 from tests.conftest import TODAY, line, packet
 
@@ -55,8 +57,8 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert {r.event_id: r.outcome for r in spark.table("admitted").collect()} == EXPECTED
     hits = stream.select(F.col("tenant").alias("identity"), "event_id", "ts")
     run_stream(spark, requests.rate_stream(hits, limit=2, window_s=7200.0).writeStream.format("memory").queryName("rated").outputMode("append"), tmp_path / "b")
-    batch = intake.rate_admission(spark.read.parquet(str(src)).select(F.col("tenant").alias("identity"), "event_id", "ts"), 2, 7200.0)
-    assert sorted(map(tuple, spark.table("rated").collect())) == sorted(map(tuple, batch.collect()))
+    twin = intake.rate_admission(spark.read.parquet(str(src)).select(F.col("tenant").alias("identity"), "event_id", "ts"), 2, 7200.0)
+    assert sorted(map(tuple, spark.table("rated").collect())) == sorted(map(tuple, twin.collect()))
 
 
 def test_histogram_stream(spark, tmp_path):
@@ -70,19 +72,49 @@ def test_histogram_stream(spark, tmp_path):
 
 
 def test_streaming_audit(spark, catalogue, tmp_path):
-    src = tmp_path / "packets"
+    """Claims go into the store once: not again when they come again, nor when a batch is run again."""
+    src, out = tmp_path / "packets", str(tmp_path / "out")
     src.mkdir()
     for i in range(3):
         (src / f"{i}.json").write_text(json.dumps(packet(f"S{i}", [line(1, "Patient gown", 10 + i)])))
     (src / "bad.json").write_text("{")
-    stream = spark.readStream.schema(f"{pk.PACKET}, {pk.CORRUPT} string").option("multiLine", "true").option("maxFilesPerTrigger", 2).json(str(src))
-    writer = audits.streaming_audit(stream, str(tmp_path / "out"), *catalogue, tenant=F.lit("t"), today=TODAY, recorded_at=F.lit("2026-01-01"))
-    run_stream(spark, writer, tmp_path)
-    out = spark.read.parquet(str(tmp_path / "out" / "outcomes")).collect()
-    assert sorted((r.claim_id or "", r.ok) for r in out) == [("", False), ("S0", True), ("S1", True), ("S2", True)]
-    from auditlens.operators import ledger
-    book = spark.read.parquet(str(tmp_path / "out" / "ledger"))
-    assert book.count() == 3 and ledger.verify_entries(book).count() == 0
+
+    def start(check):
+        stream = spark.readStream.schema(f"{pk.PACKET}, {pk.CORRUPT} string").option("multiLine", "true").option("maxFilesPerTrigger", 2).json(str(src))
+        writer = audits.streaming_audit(stream, out, *catalogue, tenant=F.lit("t"), today=TODAY, recorded_at=F.lit("2026-01-01"))
+        run_stream(spark, writer, tmp_path / check)
+
+    def rows():
+        book = spark.read.parquet(f"{out}/ledger")
+        assert ledger.verify_entries(book).count() == 0
+        return (sorted((r.claim_id or "", r.ok, r.error) for r in spark.read.parquet(f"{out}/outcomes").collect()),
+                sorted((r.claim_id, r.gross_bill_paise) for r in store.read_store(spark, out).claims.collect()), book.count())
+
+    (tmp_path / "one").mkdir()
+    start("one")
+    outcomes, claims, entries = rows()
+    assert [(c, ok) for c, ok, _ in outcomes] == [("", False), ("S0", True), ("S1", True), ("S2", True)]
+    assert claims == [("S0", 1000), ("S1", 1100), ("S2", 1200)] and entries == 3
+    (src / "late.json").write_text(json.dumps(packet("S1", [line(1, "Patient gown", 99)])))
+    start("one")
+    again, claims, entries = rows()
+    assert [e for e in again if e not in outcomes] == [("S1", False, f"DuplicateClaim: {batch.KNOWN}")] and claims[1] == ("S1", 1100) and entries == 3
+    (tmp_path / "two").mkdir()
+    start("two")  # a lost checkpoint: the batches of these names are in the store
+    assert rows() == (again, claims, entries) and not (tmp_path / "out" / "staging" / "stream-0").exists()
+
+
+def test_a_batch_takes_a_claim_once(spark, catalogue, tmp_path):
+    take = lambda name, *docs: {(r.claim_id, r.ok, r.error) for r in batch.intake_batch(
+        pk.parse_packets(spark.createDataFrame([(json.dumps(d),) for d in docs], "json string")), str(tmp_path / "s"), *catalogue, tenant=F.lit("t"), today=TODAY, batch=name).collect()}
+    a, other = packet("A", [line(1, "Patient gown", 10)]), packet("A", [line(1, "Patient gown", 20)])
+    got = take("b1", a, other, a, packet("B", [line(1, "Patient gown", 1)]))
+    assert got == {("A", True, ""), ("A", False, f"DuplicateClaim: {batch.TWICE}"), ("B", True, "")}
+    kept = store.read_store(spark, str(tmp_path / "s")).findings.collect()
+    assert sorted(r.claim_id for r in kept) == ["A", "B"]
+    assert take("b2", a, packet("C", [])) == {("A", False, f"DuplicateClaim: {batch.KNOWN}"), ("C", True, "")}
+    assert take("b2", packet("D", [])) == {("A", False, f"DuplicateClaim: {batch.KNOWN}"), ("C", True, "")}
+    assert sorted(r.claim_id for r in store.read_store(spark, str(tmp_path / "s")).claims.collect()) == ["A", "B", "C"]
 
 
 def test_bm25_by_hand(spark):

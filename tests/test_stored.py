@@ -122,6 +122,46 @@ def test_the_guard_reads_the_parsed_query(spark, sql):
         adhoc.check_sql(spark, sql)
 
 
+@pytest.fixture
+def secret(spark):
+    """A table of the catalogue that no statement may reach, under every name a statement could give it."""
+    spark.sql("CREATE VIEW default.secret AS SELECT 'hidden' AS x")
+    yield
+    spark.sql("DROP VIEW default.secret")
+
+
+@pytest.mark.parametrize("sql", [
+    "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret", "WITH `default.secret` AS (SELECT 1 AS x) SELECT * FROM default.secret",
+    "WITH a AS (WITH secret AS (SELECT * FROM secret) SELECT * FROM secret) SELECT * FROM a", "WITH v_claims AS (SELECT * FROM secret), secret AS (SELECT 1) SELECT * FROM v_claims",
+    "WITH RECURSIVE secret AS (SELECT x FROM secret) SELECT * FROM secret", "SELECT * FROM IDENTIFIER('sec' || 'ret')", "SELECT * FROM IDENTIFIER('default.secret')",
+    "SELECT IDENTIFIER('reflect')('java.lang.System','getProperty','java.version')", "SELECT java_method('java.lang.System','getProperty','java.version')",
+    "SELECT (WITH secret AS (SELECT * FROM secret) SELECT max(x) FROM secret)", "SELECT * FROM v_claims, LATERAL (WITH secret AS (SELECT * FROM secret) SELECT * FROM secret)",
+    "TABLE secret", "TABLE default.secret", "SELECT * FROM spark_catalog.default.secret", "SELECT input_file_name() FROM v_claims", "SELECT default.abs(1)",
+    "EXPLAIN SELECT 1", "EXECUTE IMMEDIATE 'SELECT * FROM secret'", "DECLARE x INT", "SELECT transform(array(1), x -> x)", "SELECT * FROM sql_keywords()",
+    "WITH secret AS (SELECT 1 AS x) SELECT * FROM (WITH t AS (SELECT * FROM secret) SELECT * FROM t), default.secret"])
+def test_the_guard_reads_the_analysed_query(spark, saved, secret, sql):
+    """Names that hide a table of the catalogue behind another, or a function behind a name that is computed."""
+    store = st.read_store(spark, saved)
+    with pytest.raises(ValueError):
+        adhoc.guarded_sql(spark, store, sql, "t")
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT x + 1 AS y FROM (VALUES (1), (2)) AS v(x)", "VALUES (1, 'a')", "WITH secret AS (SELECT claim_id FROM v_claims) SELECT * FROM secret",
+    "WITH v_claims AS (SELECT claim_id AS c FROM v_findings) SELECT c FROM v_claims", "SELECT a.claim_id FROM v_claims a JOIN v_claims b USING (claim_id) WHERE a.gross_bill >= b.gross_bill",
+    "SELECT head, sum(amount_paise) AS s, rank() OVER (ORDER BY sum(amount_paise) DESC) AS r FROM v_findings GROUP BY head HAVING sum(amount_paise) <> 0 ORDER BY 2 DESC LIMIT 5",
+    "SELECT month, count(DISTINCT claim_id), round(avg(gross_bill), 2), median(gross_bill), percentile_approx(gross_bill, 0.5) FROM v_claims GROUP BY ROLLUP (month)",
+    "SELECT CASE WHEN gross_bill BETWEEN 1 AND 5 THEN 'a' ELSE coalesce(month, '-') END, upper(trim(claim_id)) LIKE 'A%', cast(gross_bill AS DOUBLE) / 2 FROM v_claims",
+    "SELECT date_add(to_date(audited_at), 1), date_trunc('month', audited_at), datediff(current_date(), audited_at), audited_at + INTERVAL 1 DAY FROM v_claims",
+    "SELECT * FROM v_claims c WHERE EXISTS (SELECT 1 FROM v_findings f WHERE f.claim_id = c.claim_id) AND claim_id NOT IN (SELECT claim_id FROM doc_gaps WHERE severity = 'X')",
+    "SELECT claim_id FROM v_claims UNION SELECT claim_id FROM v_findings EXCEPT SELECT claim_id FROM doc_gaps INTERSECT SELECT 'A'",
+    "SELECT lag(gross_bill, 1) OVER (PARTITION BY tenant ORDER BY claim_id), sum(gross_bill) OVER (ORDER BY claim_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), regexp_replace(claim_id, 'A', 'b'), floor(1.5), ceil(2.5), nvl(month, '') FROM v_claims",
+    "SELECT (SELECT max(gross_bill) FROM v_claims) - gross_bill, gross_bill % 7, -gross_bill, abs(gross_bill), nullif(month, '') FROM v_claims",
+    "SELECT * FROM (SELECT head, amount_paise FROM v_findings) PIVOT (sum(amount_paise) FOR head IN ('ROOM', 'OTHER'))", "SELECT count_if(gross_bill > 0), any_value(month) FROM v_claims"])
+def test_plain_queries_pass_the_guard(spark, saved, secret, sql):
+    assert adhoc.guarded_sql(spark, st.read_store(spark, saved), sql, "t").collect() is not None
+
+
 def test_tenants_at_once_stay_apart(spark, saved):
     store = st.read_store(spark, saved)
     mine = adhoc.guarded_sql(spark, store, "SELECT count(*) AS n, max(gross_bill) FROM v_claims", "t")
@@ -157,3 +197,71 @@ def test_files_after_saves_deletes_and_purges(spark, run, tmp_path):
     assert months_of(st.read_store(spark, path)) == [] and st.read_store(spark, path).findings.count() == 0
     st.save_store(path, st.store_rows(first))
     assert len(months_of(st.read_store(spark, path))) == 3
+
+
+def sizes(path):
+    return {f: f.stat().st_size for f in path.rglob("*.parquet")}
+
+
+def test_a_save_costs_what_it_writes(spark, run, tmp_path):
+    """Files of earlier saves are not touched; what a save writes does not depend on them."""
+    path = tmp_path / "s"
+    first, _ = run(*[packet(f"C{i}", [ROOM, line(2, "Stent", 500 + i, "IMPLANT")]) for i in range(30)])
+    one, _ = run(packet("C3", [ROOM]))
+    st.save_store(str(path), st.store_rows(first))
+    before = sizes(path)
+    st.save_store(str(path), st.store_rows(one))
+    after = sizes(path)
+    assert before.items() <= after.items()
+    st.save_store(str(tmp_path / "alone"), st.store_rows(one))
+    written = sum(after.values()) - sum(before.values())
+    assert abs(written - sum(sizes(tmp_path / "alone").values())) < 200
+    store = st.read_store(spark, str(path))
+    assert store.claims.count() == 30 and store.findings.where("claim_id = 'C3'").count() == 1
+
+
+def test_a_save_that_dies_leaves_the_state_before(spark, run, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    first, _ = run(packet("A", [ROOM, line(2, "Stent", 500, "IMPLANT")]), packet("B", [ROOM]))
+    second, _ = run(packet("A", [ROOM]), packet("C", [ROOM]))
+    st.save_store(path, st.store_rows(first))
+    whole = st._write
+
+    def dies(path, name, version, rows):
+        if name == "claims":
+            raise RuntimeError("the disk is full")
+        whole(path, name, version, rows)
+
+    monkeypatch.setattr(st, "_write", dies)
+    with pytest.raises(RuntimeError):
+        st.save_store(path, st.store_rows(second), "b1")
+    state = lambda: sorted((r.claim_id, r.line_no) for r in st.read_store(spark, path).findings.collect())
+    assert state() == [("A", 1), ("A", 2), ("B", 1)] and not st.committed(spark, path, "b1")
+    monkeypatch.setattr(st, "_write", whole)
+    assert st.save_store(path, st.store_rows(second), "b1") and state() == [("A", 1), ("B", 1), ("C", 1)]
+    assert not st.save_store(path, st.store_rows(first), "b1") and state() == [("A", 1), ("B", 1), ("C", 1)]
+
+
+def test_compaction_by_size_and_by_tenant(spark, run, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    monkeypatch.setattr(st, "MAX_VERSIONS", 4)
+    monkeypatch.setattr(st, "MAX_OLD_COMMITS", 1)
+    first, _ = run(packet("A", [ROOM]), packet("B", [ROOM]))
+    rows = st.store_rows(first)
+    other = st.Store(*[t.withColumn("tenant", F.lit("u/1")) for t in (rows.claims, rows.findings, rows.doc_gaps)])
+    for k in range(3):
+        st.save_store(path, rows, f"b{k}")
+    st.save_store(path, other, "b3")  # the fourth version: compacted
+    assert len(st.read_log(spark, path).live) == 1 and len(list((tmp_path / "s" / "claims").glob("version=*"))) == 1
+    assert all(st.committed(spark, path, f"b{k}") for k in range(4)) and not st.committed(spark, path, "b4")
+    key = lambda t, c: spark.createDataFrame([(t, c)], "tenant string, claim_id string")
+    kept = lambda: sorted((r.tenant, r.claim_id) for r in st.read_store(spark, path).claims.collect())
+    st.erase(spark, path, key("u/1", "A"))
+    assert kept() == [("t", "A"), ("t", "B"), ("u/1", "B")]
+    raw = [(r.tenant, r.claim_id) for r in spark.read.parquet(f"{path}/claims").collect()]
+    assert ("u/1", "A") not in raw and len(raw) == 3
+    st.compact(spark, path)
+    st.vacuum(spark, path)
+    assert kept() == [("t", "A"), ("t", "B"), ("u/1", "B")] and st.read_store(spark, path).findings.count() == 3
+    st.delete_claims(path, key("t", "NONE"))
+    assert len(st.read_log(spark, path).live) == 1
