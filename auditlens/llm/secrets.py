@@ -1,7 +1,7 @@
 """Secret scan that links the parts of a credential: identifiers, secrets and endpoints within one scope.
 
 Strong parts are found by their form alone. Weak parts (a client id, a token of mixed letters, an address) are reported only
-where a complementary part lies within `reach` code points of the same paragraph. That interval join is a sweep: parts are
+where a complementary part lies in the same paragraph, however long that is. The interval join of parts and paragraphs is a sweep: parts are
 sorted by position within their document, running maxima carry the nearest earlier and later part of every role, and so work
 and rows stay linear however many parts a scope holds. Positions come from the lengths of the gaps and matches in turn.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlens.llm.common import one_per_id
+from auditlens.llm.common import boxed, one_per_id
 
 
 @dataclass(frozen=True)
@@ -35,12 +35,11 @@ PARTS = (
     Part("access", "id", r"AKIA[A-Z0-9]{16,}"),  # as AKIA[A-Z0-9]+ of 20 characters or more
     Part("hex", "secret", r"[0-9a-f]{24,}"),  # as [0-9a-f]+ of 24 characters or more
     Part("weak_id", "id", r"""(?i)\b(client_?id|access_?key_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})""", needs=("secret",)),
-    Part("weak_key", "secret", r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]{0,64}[0-9])[A-Za-z0-9+/]{40,}={0,2}", needs=("id",)),
+    Part("weak_key", "secret", r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40,}={0,2}", needs=("id",)),
     Part("endpoint", "endpoint", r"""(?i)\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+""", needs=("id", "secret")),
 )
 BASE = ("assign", "access", "hex")
 ROLES = ("id", "secret", "endpoint")
-REACH = 400
 MARK = "[SECRET]"
 
 
@@ -56,7 +55,7 @@ def _found(body: Column, k: int, part: Part) -> Column:
     return F.when(body.rlike(part.pattern), rows)
 
 
-def secret_spans(docs: DataFrame, parts: tuple[Part, ...] = PARTS, reach: int = REACH) -> DataFrame:
+def secret_spans(docs: DataFrame, parts: tuple[Part, ...] = PARTS) -> DataFrame:
     """Rows (doc_id, kind, k, start, end) in code points, end exclusive.
 
     A NULL or empty text has none; rows that repeat an id are read as one document, with the greatest text. Further columns
@@ -79,10 +78,10 @@ def secret_spans(docs: DataFrame, parts: tuple[Part, ...] = PARTS, reach: int =
     placed = placed.withColumn("start", (F.col("_upto") - F.col("len")).cast("int")).withColumn("end", F.col("_upto").cast("int"))
     least = F.create_map(*[F.lit(v) for k, p in every for v in (k, p.least)])
     placed = placed.where(F.col("size") >= F.element_at(least, F.col("k"))).select("doc_id", "k", "start", "end")
-    return _linked(placed, parts, reach)
+    return _linked(placed, parts)
 
 
-def _linked(placed: DataFrame, parts: tuple[Part, ...], reach: int) -> DataFrame:
+def _linked(placed: DataFrame, parts: tuple[Part, ...]) -> DataFrame:
     strong = [k for k, p in enumerate(parts) if not p.needs]
     of = {role: [k for k, p in enumerate(parts) if p.role == role] for role in ROLES}
     ahead = Window.partitionBy("doc_id").orderBy("start", "k").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,11 +92,11 @@ def _linked(placed: DataFrame, parts: tuple[Part, ...], reach: int) -> DataFrame
         swept = swept.withColumn(f"_{name}_end", F.max(F.when(is_k(ks), F.col("end"))).over(ahead))
     for name, ks in [*of.items(), ("strong", strong), ("break", [-1])]:
         swept = swept.withColumn(f"_{name}_start", F.min(F.when(is_k(ks), F.col("start"))).over(after))
-    before = lambda role: (F.col("start") - F.col(f"_{role}_end") <= reach) & (
+    before = lambda role: F.col(f"_{role}_end").isNotNull() & (
         F.col("_break_end").isNull() | (F.col("_break_end") <= F.col(f"_{role}_end")))
-    behind = lambda role: (F.col(f"_{role}_start") - F.col("end") <= reach) & (
+    behind = lambda role: F.col(f"_{role}_start").isNotNull() & (
         F.col("_break_start").isNull() | (F.col("_break_start") >= F.col(f"_{role}_start")))
-    beside = lambda role: F.coalesce(before(role), F.lit(False)) | F.coalesce(behind(role), F.lit(False))
+    beside = lambda role: before(role) | behind(role)
     clash = F.coalesce(F.col("_strong_end") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_strong_start") < F.col("end"), F.lit(False))
     keep = is_k(strong)
     for k, p in enumerate(parts):
@@ -139,15 +138,15 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
             .withColumn("_new", (F.col("start") > F.coalesce(F.max("end").over(earlier), F.lit(-1))).cast("int"))
             .withColumn("_run", F.sum("_new").over(upto)).groupBy("doc_id", "_run")
             .agg(F.min("start").alias("start"), F.max("end").alias("end")))
-    marks = runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
-    marks = marks.withColumnRenamed("doc_id", "_id")
-    joined = docs.join(marks, docs.doc_id.eqNullSafe(F.col("_id")), "left")
-    pieces = F.transform(F.sequence(F.lit(0), F.size("_cut")), lambda i: F.substring(
-        docs.text, F.coalesce(F.get("_cut", i - 1)["end"], F.lit(0)) + 1,
-        F.coalesce(F.get("_cut", i)["start"], F.length(docs.text)) - F.coalesce(F.get("_cut", i - 1)["end"], F.lit(0))))
-    text = F.when(F.col("_cut").isNull(), docs.text).otherwise(F.array_join(pieces, mark))
-    out = joined.withColumn("_text", text)
+    marks = runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut"))
+    marks = marks.withColumnRenamed("doc_id", "cut_id")
+    joined = boxed(docs, "doc_id", "text").join(marks, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
+    pieces = F.transform(F.sequence(F.lit(0), F.size("cut")), lambda i: F.substring(
+        "text", F.coalesce(F.get("cut", i - 1)["end"], F.lit(0)) + 1,
+        F.coalesce(F.get("cut", i)["start"], F.length("text")) - F.coalesce(F.get("cut", i - 1)["end"], F.lit(0))))
+    out = joined.select("row", "cut", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(pieces, mark)).alias("left"))
+    held = lambda c: F.col("row").getField(c)
     return out.select(*[
-        F.col("_text").alias("text") if c == "text"
-        else F.when(F.col("_cut").isNull(), docs[c]).otherwise(F.length("_text")).cast(t).alias(c) if c == "n_chars"
-        else docs[c] for c, t in docs.dtypes])
+        F.col("left").alias("text") if c == "text"
+        else F.when(F.col("cut").isNull(), held(c)).otherwise(F.length("left")).cast(t).alias(c) if c == "n_chars"
+        else held(c).alias(c) for c, t in docs.dtypes])

@@ -55,7 +55,18 @@ def test_weak_parts_need_their_complement(spark):
              4: "client_id=abcd\n\npassword=hunter22", 5: "https://db.example.org/x login=bob12 secret=abcdefg", 6: "https://db.example.org secret=abcdefg"}
     rows = secrets.secret_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     found = {i: {r.kind for r in rows if r.doc_id == i} for i in texts}
-    assert found == {1: set(), 2: {"weak_id", "assign"}, 3: {"assign"}, 4: {"assign"}, 5: {"weak_id", "assign", "endpoint"}, 6: {"assign"}}
+    assert found == {1: set(), 2: {"weak_id", "assign"}, 3: {"weak_id", "assign"}, 4: {"assign"}, 5: {"weak_id", "assign", "endpoint"}, 6: {"assign"}}
+
+
+def test_the_scope_is_the_whole_paragraph(spark):
+    """Parts far apart in one paragraph link, parts of two paragraphs never do; the digit of a key may be anywhere in it."""
+    key, block = "k" * 66 + "7" + "Z" * 20, "\n".join(f"line {i} of the file" for i in range(400))
+    texts = {1: f"login=admin1\n{block}\n{key}", 2: f"login=admin1\n\n{key}", 3: f"{key}\n{block}\nclient_id=abcd", 4: f"login=admin1 {'k' * 90}",
+             5: f"https://db.example.org\n{block}\nlogin=admin1\n{block}\n{key}"}
+    rows = secrets.secret_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    found = {i: {r.kind for r in rows if r.doc_id == i} for i in texts}
+    assert found == {1: {"weak_id", "weak_key"}, 2: set(), 3: {"weak_id", "weak_key"}, 4: set(), 5: {"weak_id", "weak_key", "endpoint"}}
+    assert {texts[1][r.start:r.end] for r in rows if r.doc_id == 1} == {"login=admin1", key}
 
 
 def test_redaction_keeps_the_rest(spark):
