@@ -53,6 +53,11 @@ def one_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
     return best.select(key, "_row.*").select(*df.columns)
 
 
+def boxed(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys, and the whole row as `row`: whatever its columns are called, they do not meet those that an operator makes."""
+    return df.select(*keys, F.struct("*").alias("row"))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; no words for a NULL."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlens.llm.common import cut, one_per_id
+from auditlens.llm.common import boxed, cut, one_per_id
 from auditlens.llm.tiling import tiles
 from auditlens.llm.vectors import NO_TOKEN, chunks, grams, words
 
@@ -129,5 +129,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     """The documents that hold no benchmark item, all their columns as they were; rows that repeat an id are one document, with
     the greatest text."""
     docs = one_per_id(docs, "doc_id", "text")
-    found = contaminations(docs, benchmark, coverage).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")), "left_anti")
+    found = contaminations(docs, benchmark, coverage).select(F.col("doc_id").alias("found_id")).distinct()
+    return boxed(docs, "doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti").select("row.*")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlens.llm.common import WORD, cut, one_per_id
+from auditlens.llm.common import WORD, boxed, cut, one_per_id
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -98,6 +98,6 @@ def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as the plan takes it, all columns as they are. Rows that repeat an id are one
     document, with the greatest text."""
     docs = one_per_id(docs, "doc_id", "text")
-    plan = mix_plan(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    joined = docs.join(plan, docs.doc_id.eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    plan = mix_plan(docs.select("doc_id", "text", "source"), **options).where("copies > 0").select(F.col("doc_id").alias("plan_id"), "copies")
+    joined = boxed(docs, "doc_id").join(plan, F.col("doc_id").eqNullSafe(F.col("plan_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlens.llm.common import cut, one_per_id
+from auditlens.llm.common import boxed, cut, one_per_id
 from auditlens.llm.components import components, edge_batch, stars
 from auditlens.llm.ngram_trie import least_common, spanning_links
 from auditlens.llm.vectors import chunks, grams, mix, words
@@ -307,5 +307,5 @@ def one_per_component(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     """Of every component of similar documents the one with the smallest id, all its columns as they were; rows that repeat an id
     are one document, with the greatest text."""
     docs = one_per_id(docs, "doc_id", "text")
-    kept = ngram_components(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    kept = ngram_components(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    return boxed(docs, "doc_id").join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")

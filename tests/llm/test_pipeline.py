@@ -4,7 +4,8 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from auditlens.llm import decontamination, secrets
+from auditlens.llm import common, decontamination, mixing, ngram_join, secrets
+from auditlens.llm import quality as quality_rules
 from auditlens.llm.common import table
 from tests.conftest import SF
 from tests.llm import test_decontamination as leaks
@@ -85,3 +86,32 @@ def test_odd_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, df, SF).count()
             assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def helper_names():
+    """Every name that the operators' modules give a column, and some of Spark's own."""
+    found = set()
+    for module in (common, quality_rules, ngram_join, decontamination, secrets, mixing):
+        with open(module.__file__) as f:
+            found |= set(re.findall(r"""["']([A-Za-z_][A-Za-z_0-9]*)["']""", f.read()))
+    return sorted(found - {"doc_id", "text", "source", "lang", "n_chars"} | {"row", "kept_id", "_row", "count", "_id", "_cut", "_text", "_copies", "_copy"})
+
+
+def test_clashing_columns(spark):
+    """Whatever the further columns are called, every stage returns them as they were."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    names, seen = [], set()
+    for n in [*helper_names(), "a.b", "a b"]:
+        if n.lower() not in seen:
+            seen.add(n.lower())
+            names.append(n)
+    assert {"_words", "copies", "start", "kept", "tokens"} <= set(names)
+    rows = [(k, words(k) + (" password=hunter22" if k == 2 else ""), "en", "s", 9, *[f"{n}{k}" for n in names]) for k in range(4)]
+    schema = ", ".join(["doc_id long, text string, lang string, source string, n_chars int", *[f"`{n}` string" for n in names]])
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        kept = [r.asDict() for r in out.collect()]
+        assert kept and all(r[n] == f"{n}{r['doc_id']}" for r in kept for n in names), name
+        assert name != "secret scans" or "[SECRET]" in next(r["text"] for r in kept if r["doc_id"] == 2)

@@ -82,6 +82,45 @@ def test_each_rule_rejects(spark):
     assert all(r.kept for i, r in found.items() if i >= 99)
 
 
+def verdicts(spark, rows):
+    return {r.doc_id: r.kept for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+
+def marked(i, n, every):
+    """A text of n words of one length, one in `every` with a mark."""
+    return " ".join(f"w{i}x{j:05d}{'%' if j % every == every - 1 else 'z'}" for j in range(n))
+
+
+def test_a_rate_is_judged_alike_at_every_length(spark):
+    """The same rate in 60 and in 20,000 words; where most documents have no marks, and where a mark in six words is usual."""
+    rows = [(i, marked(i, 120, 10 ** 6), "en", "plain") for i in range(1000, 1300)] + [(i, marked(i, 120, 6), "en", "marks") for i in range(2000, 2300)]
+    sizes = [(n, source) for source in ("plain", "marks") for n in (60, 20_000)]
+    probes = {(every, *size): 5000 + 10 * every + k for k, size in enumerate(sizes) for every in (1, 2, 6, 60)}
+    kept = verdicts(spark, rows + [(i, marked(i, n, every), "en", source) for (every, n, source), i in probes.items()])
+    for every in (1, 2, 6, 60):
+        for source in ("plain", "marks"):
+            assert kept[probes[every, 60, source]] == kept[probes[every, 20_000, source]], (every, source)
+            assert kept[probes[every, 60, source]] == (every >= (60 if source == "plain" else 6)), (every, source)
+
+
+def test_moving_the_data_moves_the_fences(spark):
+    """Every rule: what a source of clean texts rejects, one where a third of the texts are like it keeps; and small groups lean on their language."""
+    rows = [(i, marked(i, 100, 10 ** 6), "en", "plain") for i in range(300)]
+    few = [(400 + i, marked(i, 100, 10 ** 6), "en", "few") for i in range(6)]
+    usual = [(1000 + i, marked(i, 100, 3 if i % 3 == 0 else 10 ** 6), "en", "usual") for i in range(300)]
+    fence = lambda data: {r.source: r for r in quality.thresholds(quality.measures(spark.createDataFrame(
+        data, "doc_id long, text string, lang string, source string"))).collect()}
+    one, two = fence(rows + few), fence(rows + few + usual)
+    assert one["plain"].high_symbol_share == 0 and two["usual"].high_symbol_share > two["few"].high_symbol_share >= two["plain"].high_symbol_share > 0
+    lines = lambda i, n: "\n".join(f"a{i}x{j} b{i}x{j} c{i}x{j} d{i}x{j}" for j in range(20 - n)) + "\nsame words again" * (n + 1)
+    odd = [(2000 + i, lines(i, 8 if i % 3 == 0 else 0), "en", "odd") for i in range(300)]
+    moved = fence(rows + odd)
+    assert moved["odd"].high_dup_line_share > one["plain"].high_dup_line_share and moved["odd"].high_repeat_share > one["plain"].high_repeat_share
+    long = [(3000 + i, marked(i, 100, 10 ** 6).replace("x", "yyyy"), "en", "long") for i in range(300)]
+    far = fence(rows + long)
+    assert far["long"].low_mean_word > one["plain"].low_mean_word and far["long"].high_mean_word > one["plain"].high_mean_word
+
+
 def test_no_python_in_the_plan(spark):
     plan = queries.QUERIES["op10_quality"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|NestedLoop|Cartesian", plan)
