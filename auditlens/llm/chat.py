@@ -1,13 +1,14 @@
 """Chat formatting into budgeted windows of whole turns, with loss masks.
 
-A turn costs its words plus a fixed overhead. Prefix sums of these costs within a conversation deal the turns to spans:
-span = floor(cost before the turn / stride), where stride is half of what the budget leaves beside system turn and history, so
-that whole turns of up to one stride always fit. For the system turn `system` is set aside, or the cost of the conversation's
-longest one if that is more; where nothing is left, every turn is a span. Every span becomes one window: the system turn whatever
-its size (the last one before the span, wherever it stands), a limited history (the turns just before the span whose costs fit in
-`history`), then the span's own turns. Loss covers the texts of assistants among the
-own turns alone, so a repeated turn is masked and each target is trained once. A turn that alone exceeds the stride
-is kept whole in its span.
+A turn costs its words plus a fixed overhead. What the budget leaves beside system turn and history is for a window's own turns. For
+the system turn `system` is set aside, or the cost of the conversation's longest one if that is more. A turn of over half of what is
+left is large and a span by itself. Prefix sums of the costs within a conversation deal the others: a new span begins at every large
+turn, after it, and wherever floor(cost before the turn / stride) goes up. The stride is what is left less the cost of the longest turn
+that is not large, so the turns of a span always fit, and a window is over the budget only where one turn is over what is left; if
+nothing is left, every turn is a span. Spans are numbered without gaps. Every span becomes one window: the system turn whatever its
+size (the last one before the span, wherever it stands), a limited history (the turns just before the span whose costs together fit in
+`history`, from as many earlier spans as that takes), then the span's own turns. Loss covers the texts of assistants among the
+own turns alone, so a repeated turn is masked and each target is trained once.
 
 Texts are escaped: a backslash goes between the first characters of every control string, and before those already there, which
 taking one away undoes.
@@ -55,20 +56,23 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, syst
     costed = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"),
                           (F.regexp_count(text, F.lit(WORD)) + OVERHEAD).cast("long").alias("cost"))
     is_system, every = F.col("role") == "system", order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    stride = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.greatest(F.lit(system), F.col("_most"))) / 2))
-    span = lambda cost: F.floor(cost / F.col("_stride"))
-    numbered = (costed.withColumn("n", F.row_number().over(order)).withColumn("_upto", F.sum("cost").over(upto))
-                .withColumn("_earlier", F.lag("cost").over(order)).withColumn("_most", F.max(F.when(is_system, F.col("cost"))).over(every))
+    large, cost = F.col("_large").cast("long"), F.col("cost")
+    numbered = (costed.withColumn("n", F.row_number().over(order)).withColumn("_from", F.sum("cost").over(upto) - cost)
+                .withColumn("_left", F.lit(budget - history) - F.greatest(F.lit(system), F.max(F.when(is_system, cost)).over(every)))
+                .withColumn("_large", cost * 2 > F.col("_left"))
+                .withColumn("_stride", F.greatest(F.lit(1), F.col("_left") - F.coalesce(
+                    F.max(F.when(~F.col("_large"), cost)).over(every), F.lit(0))))
+                .withColumn("_place", F.struct((F.sum(large).over(upto) * 2 - large).alias("run"), F.floor(F.col("_from") / F.col("_stride")).alias("k")))
+                .withColumn("_new", F.coalesce(F.lag("_place").over(order) != F.col("_place"), F.lit(True)))
+                .withColumn("span", F.sum(F.col("_new").cast("long")).over(upto) - 1)
                 .withColumn("_told", F.when(is_system, F.struct("n", "role", "text")))
-                .withColumn("_told", F.last("_told", True).over(upto)).withColumn("_stride", stride)
-                .withColumn("_from", F.col("_upto") - F.col("cost")).withColumn("span", span(F.col("_from")))
-                .withColumn("_system", F.when(F.col("_earlier").isNull() | (span(F.col("_from") - F.col("_earlier")) < F.col("span")), F.col("_told")))
-                .drop("_told", "_most", "_earlier"))
-    later = Window.partitionBy("conv_id").orderBy("span").rangeBetween(1, 1)
-    numbered = numbered.withColumn("_next", F.min("_from").over(later))
-    own = F.struct(F.col("span"), F.lit(1).alias("own"))
-    repeat = F.when(F.col("_next") - F.col("_from") <= history, F.struct((F.col("span") + 1).alias("span"), F.lit(0).alias("own")))
-    dealt = numbered.withColumn("_to", F.explode(F.array_compact(F.array(own, repeat)))).select(
+                .withColumn("_system", F.when(F.col("_new"), F.last("_told", True).over(upto))))
+    # a turn costs OVERHEAD at least, so that history / OVERHEAD spans at most begin within `history` after it
+    soon = Window.partitionBy("conv_id").orderBy("_from").rangeBetween(1, max(1, history))
+    later = F.collect_list(F.when(F.col("_new"), F.col("span"))).over(soon) if history > 0 else F.array().cast("array<bigint>")
+    own = F.array(F.struct(F.col("span"), F.lit(1).alias("own")))
+    repeats = F.transform("_later", lambda k: F.struct(k.alias("span"), F.lit(0).alias("own")))
+    dealt = numbered.withColumn("_later", later).withColumn("_to", F.explode(F.concat(own, repeats))).select(
         "conv_id", "_to.span", "_to.own", "n", "role", "text", F.when(F.col("_to.own") == 1, F.col("_system")).alias("sys"))
     turn = F.struct("n", "own", "role", "text")
     grouped = dealt.groupBy("conv_id", "span").agg(F.sort_array(F.collect_list(turn)).alias("own_turns"), F.max("sys").alias("sys"))

@@ -80,6 +80,24 @@ def test_long_and_late_system_turns(spark):
     assert len(texts(5)) > 1 and not any(head in x for x in texts(5))
 
 
+def test_history_reaches_over_spans_and_windows_fill_the_budget(spark):
+    """With a large system turn spans are short: the history is still all that fits. Without one, windows are nearly full."""
+    say = lambda c, first, n, words: [(c, i, ("user", "assistant")[i % 2], f"t{i} " * words) for i in range(first, first + n)]
+    turns = [(1, 0, "system", "long " * 1690), *say(1, 1, 30, 60), *say(2, 0, 90, 60), (3, 0, "system", "huge " * 3000), *say(3, 1, 12, 60),
+             *say(4, 0, 9, 60), (4, 9, "user", "big " * 1200), *say(4, 10, 9, 60)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = chat.windows(df).cache()
+    check(chat.digests(made).collect(), turns)
+    rows = {c: made.where(f"conv_id = {c}").orderBy("span").collect() for c in (1, 2, 3, 4)}
+    assert all([r.span for r in rows[c]] == [*range(len(rows[c]))] for c in rows)
+    assert all(r.n_repeated == 1 + 4 for c in (1, 3) for r in rows[c][6:])
+    cost = lambda r: len(re.findall(r"\S+", r.formatted))
+    assert all(cost(r) <= chat.BUDGET for c in (1, 2, 4) for r in rows[c])
+    full = chat.windows(df.where("conv_id = 2"), system=0).orderBy("span").collect()
+    assert len(full) > 2 and all(1900 < cost(r) <= chat.BUDGET for r in full[1:-1])
+    assert not sum(r.n_repeated for r in chat.windows(df.where("conv_id = 2"), history=0).collect())
+
+
 def test_no_python_in_the_plan(spark):
     plan = queries.QUERIES["op7_chat"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
