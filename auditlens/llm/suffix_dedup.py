@@ -4,14 +4,13 @@ A byte goes if a string of `width` bytes over it starts earlier as well. Not all
 window of `width` bytes has its anchor where the hash of `GRAM` bytes is smallest inside it, so equal windows have equal anchors,
 and neighbouring windows share one.
 
-1. Every text gives its anchors, each with a hash of the bytes there and a hash of the whole segment that its windows cover. Equal
-   segments are the same windows: all but the first go at once, in the task itself where possible, else where the anchor's hash
-   meets. Anchors that occur once have no repeated window.
-2. What is left are segments that share their anchor's bytes but differ somewhere. Spark range-partitions their suffixes by
-   leading bytes, with sampled splitters; where more than `HOT` segments share an anchor's bytes, splitters go by the whole
-   suffix and the document as well. A bucket sorts its suffixes by multikey quicksort; neighbours' common prefixes, with the bytes
-   to the left, tell which windows are equal. A class of such a hot anchor at the edge of a bucket may go on in the next, so
-   buckets hand over the first window of these classes, and they are compared across boundaries.
+1. Every text gives its anchors, each with a hash of the `GRAM` bytes there; a task hands over the segments of one hash in lists.
+   Anchors whose hash occurs once have no repeated window; that is all the hash decides.
+2. The segments of all others, equal ones too, are sorted: Spark range-partitions the suffixes from the anchor on, with sampled
+   splitters, into buckets of about `SORTED` rows; copies of one suffix are dealt on by document, so they may fill any number of
+   buckets. A bucket sorts its suffixes by multikey quicksort; neighbours' common prefixes, with the bytes to the left, tell which
+   windows are equal. A class in the first or last run of a bucket may go on in another bucket, so buckets hand over the first
+   window of each such class, and these are compared across boundaries.
 3. The intervals are joined to the texts, which travel compressed.
 """
 
@@ -28,23 +27,26 @@ from pyspark.sql import functions as F
 
 from auditlens.llm.common import cut, one_per_id
 from auditlens.llm.suffix_sort import Bucket
-from auditlens.llm.vectors import chunks, mix, prefix_sums, stretch_hashes
+from auditlens.llm.vectors import chunks, prefix_sums, stretch_hashes
 
 WIDTH = 100
 GRAM = 24
 PIECE = 4 << 20
 FLUSH = 600_000
-HOT = 20_000
+LISTED = 512
+SORTED = 150_000
+BATCH = 20_000
 NO_ID = (1 << 63) - 1
 LOW = np.uint64((1 << 24) - 1)
 
 
 def _anchors(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor, first start, last start, anchor hash, segment hash) of all windows of all texts, joined to segments."""
+    """(text, anchor, first start, last start, anchor hash) of all windows of all texts, joined to segments."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     if len(data) < width:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return none
     sums = prefix_sums(data)
     at = np.arange(len(data) - gram + 1)
     held = stretch_hashes(sums, at, at + gram)
@@ -60,15 +62,14 @@ def _anchors(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...
     starts, owner = starts[inside], owner[inside]
     anchor = (best[starts] & LOW).astype(np.int64)
     if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return none
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(new)
     last = starts[np.append(at[1:], len(starts)) - 1]
     first, anchor, owner = starts[at], anchor[at], owner[at]
-    whole = mix(stretch_hashes(sums, first, last + width) ^ mix((anchor - first).astype(np.uint64)))
     begin = np.concatenate([[0], ends[:-1]])[owner]
-    return owner, anchor - begin, first - begin, last - begin, held[anchor], whole
+    return owner, anchor - begin, first - begin, last - begin, held[anchor]
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -83,77 +84,73 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, lis
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, s, id, at, done): first segments of their kind in this task, with start, way to the anchor and number of further
-    starts in `at`, and, done, intervals (at to s) of windows that this task has found earlier."""
+    """Rows (h, at): for one hash of anchors up to `LISTED` segments, each as two numbers: its document, and its first start, the
+    way to the anchor and the number of further starts in one."""
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        h, s, rid, first, last, way = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((first, rid, s, h))
-        h, s, rid, first, last, way = h[order], s[order], rid[order], first[order], last[order], way[order]
-        again = np.zeros(len(h), bool)
-        again[1:] = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
-        one = ~again
-        yield _rows(h[one].view(np.int64), s[one].view(np.int64), rid[one], (first[one] << 16) + (way[one] << 8) + last[one] - first[one], False)
-        rid, first, last = rid[again], first[again], last[again]
-        if len(rid):
-            order = np.lexsort((first, rid))
-            rid, first, last = rid[order], first[order], last[order]
-            new = np.ones(len(rid), bool)
-            new[1:] = (rid[1:] != rid[:-1]) | (first[1:] > last[:-1] + 1)
-            at = np.flatnonzero(new)
-            last = np.maximum.reduceat(last, at)
-            yield _rows(mix(rid[at].view(np.uint64)).view(np.int64), last, rid[at], first[at], True)
+    def flush() -> pa.RecordBatch:
+        h, rid, at = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        begin = np.flatnonzero(new)
+        place = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
+        row = np.flatnonzero(place % LISTED == 0)
+        values = np.stack([rid[order], at[order]], axis=1).ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.append(row, len(h)) * 2, pa.int32()), pa.array(values))
+        return pa.RecordBatch.from_arrays([pa.array(h[row].view(np.int64)), lists], ["h", "at"])
 
     for batch in batches:
         for ids, offset, texts in _pieces(batch):
-            owner, anchor, first, last, h, s = _anchors(texts, WIDTH, GRAM)
-            held.append((h, s, ids[owner], first + offset[owner], last + offset[owner], anchor - first))
+            owner, anchor, first, last, h = _anchors(texts, WIDTH, GRAM)
+            held.append((h, ids[owner], (first + offset[owner] << 16) + (anchor - first << 8) + last - first))
             count += len(h)
             if count > FLUSH:
-                yield from flush()
+                yield flush()
                 held, count = [], 0
     if count:
-        yield from flush()
-
-
-def _rows(h: np.ndarray, s: np.ndarray, rid: np.ndarray, at: np.ndarray, done: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), pa.array(rid), pa.array(at), pa.array(np.full(len(h), done))],
-                                      ["h", "s", "id", "at", "done"])
+        yield flush()
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (suffix, left, id, anchor, hot) of the segments that a text is asked for."""
+    """Rows (suffix, left, id, anchor) of the segments that a text is asked for."""
+    def rows(out: list[tuple[bytes, bytes, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.int64(), pa.int64()))],
+                                          ["suffix", "left", "id", "anchor"])
+
+    out: list[tuple[bytes, bytes, int, int]] = []
     for batch in batches:
-        out: list[tuple[bytes, bytes, int, int, bool]] = []
         for rid, packed, wanted in zip(batch.column("id").to_pylist(), batch.column("z"), batch.column("wanted")):
             text = zlib.decompress(packed.as_py())
-            for value in wanted.as_py():
-                first, way, more = value >> 17, value >> 9 & 255, value >> 1 & 255
-                at = first + way
-                out.append((text[at:first + more + WIDTH], text[first:at][::-1], rid, at, bool(value & 1)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()))],
-                                             ["suffix", "left", "id", "anchor", "hot"])
+            for value in wanted.values.to_pylist():
+                first, more = value >> 16, value & 255
+                at = first + (value >> 8 & 255)
+                out.append((text[at:first + more + WIDTH], text[first:at][::-1], rid, at))
+                if len(out) == BATCH:
+                    yield rows(out)
+                    out = []
+    if out:
+        yield rows(out)
 
 
 def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, first, last, k1, k2): intervals found here, and with a digest the windows to be compared across boundaries."""
+    """Rows (id, span, k1, k2): intervals found here, and with a digest the windows to be compared across boundaries."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     table = pa.Table.from_batches(held)
     bucket = Bucket(table.column("suffix").to_pylist(), table.column("left").to_pylist(), table.column("id").to_numpy(),
-                    table.column("anchor").to_numpy(), WIDTH, table.column("hot").to_numpy())
+                    table.column("anchor").to_numpy(), WIDTH)
     rid, first, last = bucket.intervals()
-    names = ["id", "first", "last", "k1", "k2"]
+    names = ["id", "span", "k1", "k2"]
     none = pa.nulls(len(rid), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(first), pa.array(last), none, none], names)
+    yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array((first << 8) + last - first), none, none], names)
     edges = bucket.edges()
     for at in range(0, len(edges), 50_000):
         k1, k2, rid, start = (pa.array(c, pa.int64()) for c in zip(*edges[at:at + 50_000]))
-        yield pa.RecordBatch.from_arrays([rid, start, start, k1, k2], names)
+        yield pa.RecordBatch.from_arrays([rid, pa.array(start.to_numpy() << 8), k1, k2], names)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,26 +171,23 @@ def _removed(intervals: np.ndarray, width: int) -> np.ndarray:
     return np.stack([begin[at], end[np.append(at[1:], len(begin)) - 1]], axis=1)
 
 
-def removed_windows(docs: DataFrame) -> DataFrame:
-    """Rows (id, first, last): starts of windows that occur earlier, as intervals; `docs` holds unique id and text."""
-    segments = docs.mapInArrow(_segments, "h long, s long, id long, at long, done boolean")
-    meet = Window.partitionBy("h", "done").orderBy("s", "id", "at")
-    every = meet.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    known = segments.select("*", F.lag("s").over(meet).alias("_same"), F.min("s").over(every).alias("_low"), F.max("s").over(every).alias("_high"),
-                            (F.count(F.lit(1)).over(every) > HOT).alias("hot"))
-    again = F.col("done") | F.coalesce(F.col("_same") == F.col("s"), F.lit(False))
-    known = cut(known.select("id", "at", F.when(F.col("done"), F.col("s")).alias("last"), again.alias("again"), "hot",
-                             (F.col("_low") != F.col("_high")).alias("differ")).where("again or differ"))
-    start = F.shiftright("at", 16)
-    whole = known.where("again").select("id", F.when(F.col("last").isNull(), start).otherwise(F.col("at")).alias("first"),
-                                        F.coalesce("last", start + F.col("at").bitwiseAND(F.lit(255))).alias("last"))
-    wanted = known.where("not again").groupBy("id").agg(F.collect_list(F.col("at") * 2 + F.col("hot").cast("int")).alias("wanted"))
+def interval_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, span) found within buckets and across their boundaries: windows that occur earlier, as the first start times 256
+    plus the number of further ones; `docs` holds unique id and text."""
+    segments = docs.mapInArrow(_segments, "h long, at array<long>")
+    met = segments.withColumn("_all", F.sum(F.size("at")).over(Window.partitionBy("h"))).where("_all > 2")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("at") - 2, F.lit(2)), lambda k: F.struct(
+        F.get("at", k).alias("id"), F.get("at", k + 1).alias("at")))
+    wanted = cut(met.select(F.inline(pairs)).groupBy("id").agg(F.collect_list("at").alias("wanted")))
+    rows = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
     suffixes = docs.mapInArrow(_pack, "id long, z binary").join(wanted, "id").mapInArrow(
-        _cut_out, "suffix binary, left binary, id long, anchor long, hot boolean")
-    dealt = suffixes.repartitionByRange(F.substring("suffix", 1, GRAM), F.when(F.col("hot"), F.col("suffix")), F.when(F.col("hot"), F.col("id")))
-    found = cut(dealt.mapInArrow(_sorted_bucket, "id long, first long, last long, k1 long, k2 long"))
-    across = found.where("k1 is not null").withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id", "first"))).where("n > 1")
-    return whole.union(found.where("k1 is null").select("id", "first", "last")).union(across.select("id", "first", "last"))
+        _cut_out, "suffix binary, left binary, id long, anchor long")
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows // SORTED))
+    dealt = suffixes.repartitionByRange(buckets, "suffix", "id")
+    found = cut(dealt.mapInArrow(_sorted_bucket, "id long, span long, k1 long, k2 long"))
+    first = Window.partitionBy("k1", "k2").orderBy("id", "span")
+    across = found.where("k1 is not null").withColumn("n", F.row_number().over(first)).where("n > 1")
+    return found.where("k1 is null").select("id", "span"), across.select("id", "span")
 
 
 def dedup_passages(docs: DataFrame, texts: bool = False) -> DataFrame:
@@ -210,8 +204,8 @@ def dedup_passages(docs: DataFrame, texts: bool = False) -> DataFrame:
             out = []
             for rid, packed, spans in zip(batch.column("id").to_pylist(), batch.column("z"), batch.column("spans")):
                 text = zlib.decompress(packed.as_py())
-                pairs = spans.values.flatten() if spans.is_valid else []
-                runs = _removed(np.stack([np.asarray(c) for c in pairs], axis=1) if spans.is_valid else np.zeros((0, 2), np.int64), WIDTH)
+                held = spans.values.to_numpy() if spans.is_valid else np.zeros(0, np.int64)
+                runs = _removed(np.stack([held >> 8, (held >> 8) + (held & 255)], axis=1), WIDTH)
                 kept = b"".join(text[a:b] for a, b in zip([0, *runs[:, 1].tolist()], [*runs[:, 0].tolist(), len(text)]))
                 out.append((None if rid == NO_ID else rid, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(),
                             kept if texts else None, runs.ravel().tolist() if texts else None))
@@ -220,7 +214,8 @@ def dedup_passages(docs: DataFrame, texts: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                                  ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "runs"])
 
-    spans = removed_windows(source).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    within, across = interval_parts(source)
+    spans = within.union(across).groupBy("id").agg(F.collect_list("span").alias("spans"))
     joined = source.mapInArrow(_pack, "id long, z binary").join(spans, "id", "left")
     done = joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, runs array<long>")
     return done if texts else done.drop("kept", "runs")

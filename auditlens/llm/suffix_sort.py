@@ -6,6 +6,8 @@ import hashlib
 
 import numpy as np
 
+from auditlens.llm.vectors import mix
+
 SMALL = 48
 
 
@@ -44,19 +46,18 @@ def common_prefixes(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Bucket:
     """Windows of `width` bytes round anchors: `right` from the anchor on, `left` before it in reverse, order by (rid, anchor).
 
-    Windows of a `hot` anchor may have equals in other buckets, those of another anchor have not."""
+    Windows in the first and last run of suffixes may have equals in other buckets, those between have not."""
 
-    def __init__(self, right: list[bytes], left: list[bytes], rid: np.ndarray, anchor: np.ndarray, width: int, hot: np.ndarray) -> None:
+    def __init__(self, right: list[bytes], left: list[bytes], rid: np.ndarray, anchor: np.ndarray, width: int) -> None:
         pad = -(-max(map(len, right)) // 8) * 8
         rows = np.frombuffer(b"".join(r.ljust(pad, b"\0") for r in right), np.uint8).reshape(-1, pad)
         lengths = np.array([len(r) for r in right])
         order = multikey_order(rows.view(">u8").astype(np.uint64), lengths)
         self.width, self.right, self.left = width, [right[k] for k in order], [left[k] for k in order]
-        self.rid, self.anchor, self.size, self.hot = rid[order], anchor[order], lengths[order], hot[order]
+        self.rid, self.anchor, self.size = rid[order], anchor[order], lengths[order]
         self.before = np.array([len(s) for s in self.left])
         self.common = common_prefixes(rows[order], self.size)
-        rank = np.empty(len(order), np.int64)
-        rank[np.lexsort((self.anchor, self.rid))] = np.arange(len(order))
+        by_place = np.lexsort((self.anchor, self.rid))
         most = max(1, int(self.before.max()))
         back = np.frombuffer(b"".join(s.ljust(most, b"\0") for s in self.left), np.uint8).reshape(-1, most)
         self.repeated = np.zeros((len(order), width), bool)
@@ -66,21 +67,22 @@ class Bucket:
             if o:
                 hashes = (hashes ^ (back[:, o - 1].astype(np.uint64) + np.uint64(1))) * np.uint64(0x100000001B3)
                 hashes ^= hashes >> np.uint64(29)
-            self._offset(o, rank, hashes)
+            self._offset(o, by_place, hashes)
 
-    def _offset(self, o: int, rank: np.ndarray, hashes: np.ndarray) -> None:
+    def _offset(self, o: int, by_place: np.ndarray, hashes: np.ndarray) -> None:
         """Windows that begin o bytes before their anchor: equal ones share o bytes to the left and the rest to the right."""
         rest = self.width - o
         run = np.cumsum(self.common < rest)
-        valid = np.flatnonzero((self.before >= o) & (self.size >= rest))
+        valid = by_place[((self.before >= o) & (self.size >= rest))[by_place]]
         if not len(valid):
             return
-        order = valid[np.lexsort((rank[valid], hashes[valid], run[valid]))]
+        key = mix(hashes[valid] ^ mix(run[valid].astype(np.uint64)))
+        order = np.argsort(key, kind="stable")
         same = np.zeros(len(order), bool)
-        same[1:] = (run[order[1:]] == run[order[:-1]]) & (hashes[order[1:]] == hashes[order[:-1]])
-        self.repeated[order[same], o] = True
-        edge = order[~same]
-        edge = edge[self.hot[edge] & ((run[edge] == run[0]) | (run[edge] == run[-1]))]
+        same[1:] = key[order[1:]] == key[order[:-1]]
+        self.repeated[valid[order[same]], o] = True
+        edge = valid[order[~same]]
+        edge = edge[(run[edge] == run[0]) | (run[edge] == run[-1])]
         self.open += [(int(k), o) for k in edge]
 
     def intervals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -54,16 +54,29 @@ def noisy():
 
 @pytest.mark.parametrize("small", [False, True])
 def test_against_all_windows(spark, noisy, small, monkeypatch):
-    if small:  # buckets of a few suffixes, all anchors hot
-        monkeypatch.setattr(suffix_dedup, "HOT", 0)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        spark.conf.set("spark.sql.shuffle.partitions", "60")
-    try:
-        df = spark.createDataFrame([(i, t, 1, "z") for i, t in noisy.items()] + [(7, "a" * 100, 2, "y")], "doc_id long, text string, first int, id string")
-        check(suffix_dedup.dedup_passages(df.repartition(7)).collect(), noisy)
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    if small:  # buckets of a few suffixes, lists of two
+        monkeypatch.setattr(suffix_dedup, "SORTED", 60)
+        monkeypatch.setattr(suffix_dedup, "LISTED", 2)
+    df = spark.createDataFrame([(i, t, 1, "z") for i, t in noisy.items()] + [(7, "a" * 100, 2, "y")], "doc_id long, text string, first int, id string")
+    check(suffix_dedup.dedup_passages(df.repartition(7)).collect(), noisy)
+
+
+def test_all_repeats_are_sorted_and_some_meet_across_boundaries(spark):
+    """Exact copies come by the sort too: what buckets and their boundaries find is all there is."""
+    r = random.Random(6)
+    passages = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (130, 400, 900)]
+    texts = {i: f"{i} " * 9 + passages[2] if i % 3 else passages[i % 2] + f" {i}" * 20 for i in range(400)}
+    df = spark.createDataFrame([*texts.items()], "id long, text string")
+    within, across = suffix_dedup.interval_parts(df)
+    starts = lambda part: {(x.id, (x.span >> 8) + k) for x in part.collect() for k in range((x.span & 255) + 1)}
+    inside, beyond = starts(within), starts(across)
+    seen, again = set(), set()
+    for i in sorted(texts):
+        data = texts[i].encode()
+        for p in range(len(data) - 99):
+            again |= {(i, p)} if data[p:p + 100] in seen else set()
+            seen.add(data[p:p + 100])
+    assert inside and beyond and inside | beyond == again
 
 
 def test_empty_and_kept_bytes(spark):
@@ -83,7 +96,7 @@ def test_multikey_order():
 
 
 def test_bucket_finds_equal_windows_only():
-    b = Bucket([b"cdefXX", b"cdefgh", b"cdef"], [b"ba", b"ba", b"bz"], np.array([3, 1, 2]), np.array([2, 2, 2]), 6, np.ones(3, bool))
+    b = Bucket([b"cdefXX", b"cdefgh", b"cdef"], [b"ba", b"ba", b"bz"], np.array([3, 1, 2]), np.array([2, 2, 2]), 6)
     found = {(int(i), s) for i, a, z in zip(*b.intervals()) for s in range(a, z + 1)}
     assert found == {(3, 0)}
 
@@ -100,6 +113,5 @@ def test_pieces_and_flushes(monkeypatch):
         found = []
         for out in suffix_dedup._segments(iter([batch])):
             for row in out.to_pylist():
-                first, last = (row["at"], row["s"]) if row["done"] else (row["at"] >> 16, (row["at"] >> 16) + (row["at"] & 255))
-                found += [(row["id"], p) for p in range(first, last + 1)]
+                found += [(i, (at >> 16) + k) for i, at in zip(row["at"][::2], row["at"][1::2]) for k in range((at & 255) + 1)]
         assert sorted(found) == [(i, p) for i, t in enumerate(texts) for p in range(len(t) - 99)]
