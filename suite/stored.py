@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.functions import vocabulary as voc
-from auditlens.operators import assess, ledger, portfolio, retention
+from auditlens.operators import anchors, assess, ledger, portfolio, retention
 from auditlens.plans import adhoc
 from auditlens.session import shared_dir
 from auditlens.sources import store as st
@@ -320,6 +320,39 @@ def l3m(x):
     return ledger.verify_manifest(left.drop("entries"), listed)
 
 
+# Anchors: every tenant's chains stand for a batch.
+CTES["m_leaf"] = """SELECT split_part(chain, '/', 1) AS batch, sha256(chain || '|' || count(*) || '|' || arg_max(entry_hash, seq)) AS leaf, count(*) AS entries FROM chained GROUP BY chain"""
+CTES["m_six"] = """SELECT batch, left(leaf, 6) AS path, sha256(string_agg(leaf, '|' ORDER BY leaf)) AS h, count(*) AS chains, sum(entries) AS entries FROM m_leaf GROUP BY batch, left(leaf, 6)"""
+for _width, _from, _to in ((4, "m_six", "m_four"), (2, "m_four", "m_two"), (0, "m_two", "m_none")):
+    CTES[_to] = f"""SELECT batch, left(path, {_width}) AS path, sha256(string_agg(path || ':' || h, '|' ORDER BY path || ':' || h)) AS h, sum(chains) AS chains, sum(entries) AS entries
+ FROM {_from} GROUP BY batch, left(path, {_width})"""
+CTES["m_roots"] = """SELECT row_number() OVER (ORDER BY batch) AS number, batch, CAST(chains AS BIGINT) AS chains, CAST(entries AS BIGINT) AS entries, h AS root FROM m_none"""
+CTES["m_anchors"] = """
+SELECT *, repeat('0', 64) AS prev_anchor, sha256(concat_ws('|', number, batch, chains, entries, root, repeat('0', 64))) AS anchor FROM m_roots WHERE number = 1
+UNION ALL SELECT r.*, a.anchor, sha256(concat_ws('|', r.number, r.batch, r.chains, r.entries, r.root, a.anchor)) FROM m_anchors a JOIN m_roots r ON r.number = a.number + 1"""
+
+
+def listed(x) -> DataFrame:
+    return ledger.manifest(entries(x), "b1").withColumn("batch", F.split("chain", "/")[0])
+
+
+@case("L2A", "SELECT number, batch, chains, entries, root, prev_anchor, anchor FROM m_anchors")
+def l2a(x):
+    return anchors.anchor_batches(listed(x))
+
+
+@case("L3A", """SELECT number, batch, CASE WHEN gone + 1 = number THEN 'the anchor before is missing: a batch was removed'
+ WHEN chains = 1 THEN 'the batch is anchored but none of its chains is listed' ELSE 'the chains listed for the batch are not those anchored' END AS reason
+ FROM (SELECT *, max(CASE WHEN batch = 'T1' THEN number END) OVER () AS gone, max(number) OVER () AS last FROM m_roots) WHERE batch <> 'T1' AND (number = gone + 1 OR number = last)""")
+def l3a(x):
+    """All of batch T1 is gone, its manifest and its anchor too; the last batch has lost its first chain. Manifest and chains still verify."""
+    whole = listed(x)
+    made = anchors.anchor_batches(whole)
+    last = whole.groupBy().agg(F.max("batch").alias("last"))
+    left = whole.where("batch <> 'T1'").join(last, (F.col("batch") == F.col("last")) & F.col("chain").endswith("/0"), "left_anti")
+    return anchors.verify_anchors(left, made.where("batch <> 'T1'"))
+
+
 @case("FL8", f"""SELECT p.chain, p.seq, p.claim_id, p.verdict, {b.decimal_text('gross_paise', 2)} AS gross FROM placed p WHERE tenant = 'T1' ORDER BY recorded_at DESC, chain DESC, seq DESC LIMIT 9999""")
 def fl8(x):
     return ledger.history(entries(x), tenant="T1", limit=9999).select("chain", F.col("seq").cast("bigint").alias("seq"), "claim_id", "verdict", F.col("gross").cast("string").alias("gross"))

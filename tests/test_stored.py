@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from auditlens.operators import ledger, portfolio, retention
+from auditlens.operators import anchors, ledger, portfolio, retention
 from auditlens.plans import adhoc
 from auditlens.sources import store as st
 from tests.conftest import line, packet
@@ -83,6 +83,46 @@ def test_tampering_is_found(spark):
     assert ledger.heads(chain).first().seq == 5
 
 
+def test_anchors_find_removed_batches(spark):
+    batches = [f"2026-0{k}" for k in range(1, 5)]
+    parts = [ledger.chain_append(entries(spark, 12 + 5 * k)[0], name, 4) for k, name in enumerate(batches)]
+    lists = [ledger.manifest(p, name) for p, name in zip(parts, batches)]
+    whole = lists[0].unionByName(lists[1]).unionByName(lists[2])
+    listed = whole.unionByName(lists[3]).persist()
+    first = anchors.anchor_batches(whole)
+    made = first.unionByName(anchors.anchor_batches(listed, first)).persist()
+    assert [(r.number, r.batch) for r in made.orderBy("number").collect()] == [*zip(range(1, 5), batches)]
+    assert [r.anchor for r in made.orderBy("number").collect()] == [r.anchor for r in anchors.anchor_batches(listed).orderBy("number").collect()]
+    top = made.where("number = 4").first().anchor
+    judge = lambda rows, anchored, head=(4, top): {(r.number, r.batch): r.reason for r in anchors.verify_anchors(rows, anchored, head).collect()}
+    assert judge(listed, made) == {}
+    gone = F.col("batch") != batches[1]
+    assert judge(listed.where(gone), made.where(gone)) == {(3, batches[2]): anchors.GAP_REASON}
+    assert judge(listed.where(gone), made) == {(2, batches[1]): anchors.GONE_REASON}
+    assert judge(listed, made.where(gone)) == {(None, batches[1]): anchors.LOOSE_REASON, (3, batches[2]): anchors.GAP_REASON}
+    end = F.col("batch") != batches[3]
+    assert judge(listed.where(end), made.where(end)) == {(4, None): anchors.HEAD_REASON} and judge(listed.where(end), made.where(end), None) == {}
+    one = listed.where(F.col("batch") == batches[2]).orderBy("chain").first().chain
+    for edited in (listed.where(F.col("chain") != one), listed.withColumn("entries", F.col("entries") + F.when(F.col("chain") == one, 1).otherwise(0)),
+                   listed.unionByName(listed.where(F.col("chain") == one))):
+        assert judge(edited, made) == {(3, batches[2]): anchors.ROOT_REASON}
+    assert judge(listed, made.withColumn("entries", F.col("entries") + F.when(F.col("number") == 2, 1).otherwise(0))) == {(2, batches[1]): anchors.ANCHOR_REASON}
+    assert judge(listed, made.withColumn("prev_anchor", F.when(F.col("number") == 2, "x").otherwise(F.col("prev_anchor")))) == {(2, batches[1]): anchors.LINK_REASON}
+    assert anchors.verify_anchors(listed.limit(0), made.limit(0)).count() == 0 == anchors.anchor_batches(listed.limit(0)).count()
+
+
+def test_chains_are_proved_against_an_anchor(spark):
+    listed = ledger.manifest(ledger.chain_append(entries(spark, 60)[0], "b", 4), "b").persist()
+    made = anchors.anchor_batches(listed).persist()
+    proofs = anchors.inclusion_proofs(listed, listed.where("chain like '%1'")).persist()
+    held = anchors.verify_proofs(proofs, made).collect()
+    assert held and all(r.ok for r in held) and len(held) == listed.where("chain like '%1'").count()
+    for forged in (proofs.withColumn("entries", F.col("entries") + 1), proofs.withColumn("head", F.lit("x")), proofs.withColumn("steps", F.slice("steps", 1, 3)),
+                   proofs.withColumn("steps", F.transform("steps", lambda s: F.array_append(s, F.lit("x"))))):
+        assert not any(r.ok for r in anchors.verify_proofs(forged, made).collect())
+    assert not any(r.ok for r in anchors.verify_proofs(proofs, made.limit(0)).collect())
+
+
 def test_both_ways_of_chaining_agree(spark):
     rows, _ = entries(spark, 60)
     a = ledger.chain_append(rows, "b", 9)
