@@ -19,6 +19,14 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+def unreadable(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, key, text) of files that are not whole documents of `schema`, with its first field as far as that could be read."""
+    first = schema.split()[0]
+    rows = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", "true").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return rows.where("_corrupt is not null").select(
+        F.col("_metadata.file_name").alias("file"), F.col(first).cast("string").alias("key"), F.col("_corrupt").alias("text"))
+
+
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, TRACE).withColumn("written_at", F.col("_metadata.file_modification_time"))
 

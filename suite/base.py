@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import itertools
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
@@ -18,6 +19,7 @@ from auditlens.operators import classify
 from auditlens.operators.documents import REQUIREMENTS
 from auditlens.operators.facts import with_facts
 from auditlens.plans import audit as audit_plan
+from auditlens.session import shared_dir
 from auditlens.sources import rules as rule_files
 from auditlens.sources import store as st
 from auditlens.sources import testdata as td
@@ -97,6 +99,14 @@ class Context:
 _NUMBERS = itertools.count()
 
 
+def json_files(x: Context, rows: DataFrame, name: str) -> str:
+    """Path of a folder in the shared folder with the texts `json` of `rows`, an array of those with one `part` a file."""
+    path = f"{shared_dir(x.spark)}/{name}-{uuid.uuid4().hex}"
+    arrays = rows.groupBy("part").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("json"), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 def next_number() -> int:
     return next(_NUMBERS)
 

@@ -185,9 +185,27 @@ def j10(x):
 @case("SRC8", """SELECT doc_id AS set_id, n AS line_no, 'Item ' || doc_id || '-' || n AS description, CASE n WHEN 1 THEN 'OTHER' ELSE 'ROOM' END AS head,
  CASE WHEN n = 1 AND toxic = 1 THEN 'LIST_I_OPTIONAL' WHEN n = 1 AND quality = 0 THEN 'UNMAPPED' ELSE 'PAYABLE' END AS expected FROM labels, (VALUES (1), (2)) AS t(n)""")
 def src8(x):
+    files = labelled_texts(x).select("set_id", F.from_json("json", records.LABELLED_ITEMS).alias("j")).select("set_id", "j.*")
+    return records.labelled_items(files)
+
+
+def labelled_texts(x) -> DataFrame:
     name = lambda n: F.concat(F.lit("Item "), F.col("doc_id").cast("string"), F.lit(f"-{n}"))
     first = F.when(F.col("toxic") == 1, "LIST_I_OPTIONAL").when(F.col("quality") == 0, "UNMAPPED").otherwise("PAYABLE")
     item = lambda n, head, cls: F.struct(name(n).alias("description"), F.lit(head).alias("head"), cls.alias("expected"))
-    json = F.to_json(F.struct(F.lit("made from labels").alias("_note"), F.array(item(1, "OTHER", first), item(2, "ROOM", F.lit("PAYABLE"))).alias("items")))
-    files = x.table("labels").select(F.col("doc_id").alias("set_id"), F.from_json(json, records.LABELLED_ITEMS).alias("j")).select("set_id", "j.*")
-    return records.labelled_items(files)
+    query = F.struct(name(1).alias("query"), F.array(first, F.lit("PAYABLE")).alias("expected"))
+    json = F.to_json(F.struct(F.lit("made from labels").alias("_note"), F.array(item(1, "OTHER", first), item(2, "ROOM", F.lit("PAYABLE"))).alias("items"),
+                              F.array(query).alias("queries")))
+    return x.table("labels").select(F.col("doc_id").alias("set_id"), json.alias("json"), F.expr("doc_id div 500").alias("part"))
+
+
+@case("SRC8F", """SELECT n AS line_no, 'Item ' || doc_id || '-' || n AS description, CASE n WHEN 1 THEN 'OTHER' ELSE 'ROOM' END AS head,
+ CASE WHEN n = 1 AND toxic = 1 THEN 'LIST_I_OPTIONAL' WHEN n = 1 AND quality = 0 THEN 'UNMAPPED' ELSE 'PAYABLE' END AS expected FROM labels, (VALUES (1), (2)) AS t(n)""")
+def src8f(x):
+    """The same items, written to files and read by the reader of files."""
+    return records.read_labelled_items(x.spark, b.json_files(x, labelled_texts(x), "items"))
+
+
+@case("SRC8Q", """SELECT 0 AS pos, 'Item ' || doc_id || '-1' AS query, CASE WHEN toxic = 1 THEN 'LIST_I_OPTIONAL' WHEN quality = 0 THEN 'UNMAPPED' ELSE 'PAYABLE' END || ',PAYABLE' AS expected FROM labels""")
+def src8q(x):
+    return records.read_labelled_queries(x.spark, b.json_files(x, labelled_texts(x), "queries")).withColumn("expected", F.array_join("expected", ","))

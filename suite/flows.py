@@ -142,14 +142,18 @@ def bat5(x):
 # --- traces ----------------------------------------------------------------------------------
 
 
-def traces(x) -> DataFrame:
+def trace_texts(x) -> DataFrame:
     e, n = F.col("event_id"), F.col("user_id")
     node = lambda name, ms, pt, ct: F.struct(
         F.lit(name).alias("node"), F.col("ts").cast("string").alias("started_at"), ms.alias("latency_ms"), pt.alias("prompt_tokens"), ct.alias("completion_tokens"))
     json = F.to_json(F.struct(
         F.concat(F.lit("RUN-"), e.cast("string")).alias("claim_id"), F.when(e % 3 != 0, F.concat(F.lit("T"), (n % 4).cast("string"))).alias("tenant"),
         F.array(node("classify", e % 500, n * 10, n % 7), node("explain", e % 90, F.when(e % 2 == 0, n), F.lit(3)), node("verify", F.lit(1), F.lit(0), F.lit(0))).alias("nodes")))
-    return records.trace_nodes(records.parse_traces(x.table("events").select(json.alias("json"))))
+    return x.table("events").select(json.alias("json"), F.expr("event_id div 500").alias("part"))
+
+
+def traces(x) -> DataFrame:
+    return records.trace_nodes(records.parse_traces(trace_texts(x).select("json")))
 
 
 CTES["trace_nodes"] = """
@@ -163,6 +167,13 @@ def src7(x):
     return traces(x).select("tenant", "claim_id", "node_no", "node", "latency_ms", "prompt_tokens", "completion_tokens", "attempts")
 
 
+@case("SRC7F", "SELECT *, 1 AS attempts FROM trace_nodes")
+def src7f(x):
+    """The same traces, written to files and read by the reader of files."""
+    made = records.trace_nodes(records.read_traces(x.spark, b.json_files(x, trace_texts(x), "traces")))
+    return made.select("tenant", "claim_id", "node_no", "node", "latency_ms", "prompt_tokens", "completion_tokens", "attempts")
+
+
 @case("P13", """SELECT 'run' AS part, tenant || '/' || claim_id AS name, CAST(sum(latency_ms) AS BIGINT) AS total_ms, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens FROM trace_nodes GROUP BY ALL
  UNION ALL SELECT 'node', node, CAST(sum(latency_ms) AS BIGINT), CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) FROM trace_nodes GROUP BY ALL""")
 def p13(x):

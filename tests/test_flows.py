@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlens.operators import extraction, intake, ledger, retrieval
 from auditlens.plans import batch
+from auditlens.sources import records
 from auditlens.sources import packets as pk
 from auditlens.sources import store
 from auditlens.streaming import audits, metrics, requests
@@ -180,3 +181,13 @@ def test_model_is_asked_in_batches(spark):
     assert len(got) == 20 and got[9].error == "TimeoutError" and 1 <= sum(r.error is not None for r in got.values()) <= 8
     assert got[1].error is not None or (got[1].classification, got[1].cited_chunk_id) == ("LIST_II_ROOM", "A")
     assert dt.timedelta(hours=24) == intake.IDEMPOTENCY_TTL
+
+
+def test_files_that_are_no_documents_are_listed(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"claim_id": "C1", "nodes": [{"node": "classify", "latency_ms": 5}]}')
+    (tmp_path / "broken.json").write_text('{"claim_id": "C2", "nodes": [')
+    (tmp_path / "document.txt").write_text("line one\nline two")
+    made = records.trace_nodes(records.read_traces(spark, f"{tmp_path}/*.json")).collect()
+    assert [(r.claim_id, r.tenant, r.latency_ms, r.attempts) for r in made] == [("C1", "local", 5, 1)]
+    assert [(r.file, r.key, r.text[:6]) for r in records.unreadable(spark, f"{tmp_path}/*.json", records.TRACE).collect()] == [("broken.json", None, '{"clai')]
+    assert [tuple(r) for r in records.read_document_text(spark, f"{tmp_path}/document.txt").collect()] == [("document.txt", "line one\nline two")]
