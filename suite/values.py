@@ -114,10 +114,10 @@ def fn13(x):
 
 
 @case("FN14", """SELECT tenant, claim_id, line_no, CAST(CASE WHEN unit_rate_paise > 0 THEN unit_rate_paise
- ELSE round(CAST(amount_paise AS DOUBLE) / quantity) END AS BIGINT) AS rate FROM lines WHERE head = 'ROOM'""")
+ ELSE round(CAST(amount_paise AS DOUBLE) / quantity) END AS BIGINT) AS rate FROM lines""")
 def fn14(x):
     rate = m.rate_per_day(F.col("unit_rate_paise"), F.col("quantity"), F.col("amount_paise"))
-    return x.lines.where("head = 'ROOM'").select(*K, "line_no", F.round(rate, 0).cast("bigint").alias("rate"))
+    return x.lines.select(*K, "line_no", F.round(rate, 0).cast("bigint").alias("rate"))
 
 
 _LANES = ", ".join(f"sum(CAST('0x' || substr(h, {i * 15 + 1}, 15) AS BIGINT)) AS s{i}" for i in range(4))
