@@ -14,7 +14,7 @@ import numpy as np
 from auditlens.llm.html_blocks import blocks_of, features
 from auditlens.llm.labeller import fit, scores
 
-PAGES = 2500
+PAGES = 4000
 WEIGHTS = Path(__file__).with_name("labeller.npz")
 #: Names that pages use for their parts (fixed values).
 BOILER = {
@@ -29,6 +29,7 @@ BOILER = {
     "share": "share social sharing follow tags meta byline pagination pager",
 }
 CONTENT = "content post entry article body text story maincontent main single page document prose read"
+BYLINES = "byline meta author dateline info entry-meta post-meta articleheader heading"
 NOISE = "row col wrap container inner clearfix box grid flex block wrapper outer group module site layout x1 css u-full"
 SCRIPTS = ("abcdefghijklmnopqrstuvwxyz", "aeinorstléèàçü", "абвгдежиклмнопрст", "的一是不了人我在有他")
 
@@ -73,15 +74,33 @@ class Maker:
             body = "".join(r.choice(("<p>{}</p>", "{}", "<span>{}</span>", "<h3>{}</h3>", '<a href="/x">{}</a>')).format(self.text(1, 25)) for _ in range(r.randint(1, 3)))
         return f"{head}{body}</{own}>"
 
+    def byline(self) -> str:
+        """The head of an article, of which its title alone is main text."""
+        r = self.r
+        title = f"\x01<h{r.randint(1, 2)}>{self.text(2, 14)}</h1>\x02" if r.random() < 0.8 else ""
+        by = "".join(r.choice(("<p{}>{}</p>", "<div{}>{}</div>", "<ul><li{}>{}</li></ul>", "<time{}>{}</time>")).format(
+            self.attr(BYLINES) if r.random() < 0.6 else "", self.text(1, 8)) for _ in range(r.randint(0 if title else 1, 2)))
+        own = r.choice(("<header>", "<header>", f"<header{self.attr(BYLINES)}>", f"<div{self.attr(BYLINES)}>"))
+        return f"{own}{title}{by}</{own[1:].split(' ')[0].strip('>')}>"
+
+    def paragraph(self, style: str) -> str:
+        """A paragraph as the page's style writes it: bare text ended by breaks, a box of its own, or a `p`."""
+        if style == "bare":
+            return self.text(5, 90) + self.r.choice(("<br>", "<br><br>", "<br/><br/>", "<br />\n"))
+        if style == "box":
+            return f"<div{self.attr(NOISE) if self.r.random() < 0.3 else ''}>{self.text(3, 90)}</div>"
+        lead = self.r.choice(("<p>", "<p>", "<p>", "<p><b>", "<p class=lead>"))
+        return lead + self.text(1, 90) + self.r.choice(("</p>", "</p>", "</p>", "<br>", ""))
+
     def main(self) -> list[str]:
         r, out = self.r, []
+        style = r.choice(("p", "p", "p", "bare", "box"))
         if r.random() < 0.85:
             out.append(f"<h1>{self.text(2, 14)}</h1>")
         for _ in range(r.choice((1, 2, 4, 8, 16, 30))):
             kind = r.random()
             if kind < 0.75:
-                lead = r.choice(("<p>", "<p>", "<p>", "<p><b>", "<p class=lead>"))
-                out.append(lead + self.text(1, 90) + r.choice(("</p>", "</p>", "</p>", "<br>", "")))
+                out.append(self.paragraph(style))
             elif kind < 0.83:
                 out.append(f"<h{r.randint(2, 4)}>{self.text(1, 9, False)}</h2>")
             elif kind < 0.9:
@@ -94,6 +113,17 @@ class Maker:
                 out.append(f"<pre>{self.text(3, 30)}</pre>")
         return out
 
+    def cells(self, middle: str) -> str:
+        """The page's middle as a cell of a layout table, with a menu or a column of remarks in those beside it."""
+        r = self.r
+        cell = lambda: r.choice(("<td>", "<td valign=top>", f"<td width={r.randint(100, 600)}>"))
+        side = lambda: cell() + r.choice(("<br>", "", " | ")).join(
+            f'<a href="/{k}">{self.text(1, 3, False)}</a>' for k in range(r.randint(2, 9))) + "</td>" if r.random() < 0.7 else (
+            f"<td{self.attr(BOILER[r.choice(('nav', 'aside', 'ad'))])}>{self.text(2, 20)}</td>")
+        left, right = r.choice(((side(), ""), ("", side()), (side(), side())))
+        top = f"<tr>{side()}</tr>" if r.random() < 0.3 else ""
+        return f"<table>{top}<tr>{left}{cell()}{middle}</td>{right}</tr></table>"
+
     def page(self) -> str:
         """A page; main text stands between marks that no word contains."""
         r = self.r
@@ -102,9 +132,17 @@ class Maker:
         inner = [f"\x01{x}\x02" for x in self.main()]
         for _ in range(r.choice((0, 0, 0, 1, 2))):
             inner.insert(r.randint(0, len(inner)), self.boiler(r.choice(("ad", "share", "aside", "notice", "form"))))
+        if box and r.random() < 0.2:
+            if "<h1>" in inner[0]:
+                inner.pop(0)
+            inner.insert(0, self.byline())
+        if box and r.random() < 0.15:
+            inner.append(self.boiler("comments"))
         name = box[1:].split(" ")[0].strip(">")
         around = f"<div{self.attr(NOISE)}>" if r.random() < 0.4 else ""
         middle = box + "".join(inner) + (f"</{name}>" if name else "")
+        if r.random() < 0.15:
+            middle = self.cells(middle)
         front, back = ["nav", "header", "notice", "ad", "aside", "form", "share"], ["footer", "comments", "aside", "nav", "ad", "share", "notice", "form"]
         return (f"<!DOCTYPE html><html><head><title>{self.text(2, 8)}</title><style>p{{}}</style><script>var a='<p>'</script></head><body>{around}"
                 f"{put(front, 4)}<!-- x -->{middle}{put(back, 5)}{'</div>' if around else ''}</body></html>")
