@@ -1,7 +1,7 @@
 """Order-dependent admission of requests, metrics, and the hook for a caller's model.
 
-Whether a request is let in depends on which requests before it were. That is a fold per key by definition;
-it streams through sorted partitions with a small state, so a busy key costs time but never memory.
+Whether a request is let in depends on which requests before it were: a fold per key, which streams through sorted partitions
+with a small state. Requests of keys too busy for one task are judged by pointers instead (`busy_keys`).
 """
 
 from __future__ import annotations
@@ -14,12 +14,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlens.functions.rows import sized
+from auditlens.operators import busy_keys
+
 # --- fixed values: windows, limits and histogram edges ---
 IDEMPOTENCY_TTL = dt.timedelta(hours=24)
 RATE_LIMIT, RATE_WINDOW_S = 120, 60.0
 LATENCY_EDGES = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
 SCORER_BATCH = 8
 # --- end of fixed values ---
+#: Requests of a key that one task still folds; the result is the same either way.
+BUSY_KEY = 1_000_000
 
 INTAKE_SCHEMA = "tenant string, key string, event_id bigint, ts timestamp, outcome string, accepted_event bigint"
 RATE_SCHEMA = "identity string, event_id bigint, ts timestamp, allowed boolean, remaining int, retry_after_us bigint"
@@ -83,16 +88,28 @@ def quiet_runs(rows: DataFrame, keys: list[str], gap: dt.timedelta) -> DataFrame
     return marked.withColumn("run", F.sum("_new").over(upto)).drop("_new")
 
 
-def idempotent_intake(requests: DataFrame) -> DataFrame:
-    """requests: tenant, key, event_id, ts, fingerprint -> accepted, replay or conflict for each."""
-    runs = quiet_runs(requests.select("tenant", "key", "event_id", "ts", "fingerprint"), ["tenant", "key"], IDEMPOTENCY_TTL)
-    ready = runs.repartition("tenant", "key", "run").sortWithinPartitions("tenant", "key", "run", "ts", "event_id")
+def idempotent_intake(requests: DataFrame, busy: int = BUSY_KEY) -> DataFrame:
+    """requests: tenant, key, event_id, ts, fingerprint -> accepted, replay or conflict for each.
+
+    Keys of up to `busy` requests are folded, a key in a task; a busier one is spread over tasks by `busy_keys`.
+    """
+    asked = requests.select("tenant", "key", "event_id", "ts", "fingerprint")
+    heavy = asked.groupBy(F.struct("tenant", "key").alias("k")).count().where(F.col("count") > busy).select("k")
+    if heavy.isEmpty():
+        return _folded(asked)
+    heavy, keyed = sized(heavy), asked.withColumn("k", F.struct("tenant", "key"))
+    rest = keyed.join(heavy, "k", "left_anti").drop("k")
+    return _folded(rest).unionByName(busy_keys.admit(keyed.join(heavy, "k", "left_semi").drop("k"), IDEMPOTENCY_TTL))
+
+
+def _folded(requests: DataFrame) -> DataFrame:
+    ready = requests.repartition("tenant", "key").sortWithinPartitions("tenant", "key", "ts", "event_id")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, IdempotencyFold()
         for pdf in batches:
             out = []
-            for key, us, event, fp in zip(zip(pdf["tenant"], pdf["key"], pdf["run"]), micros(pdf["ts"]), pdf["event_id"], pdf["fingerprint"]):
+            for key, us, event, fp in zip(zip(pdf["tenant"], pdf["key"]), micros(pdf["ts"]), pdf["event_id"], pdf["fingerprint"]):
                 if key != current:
                     current, state = key, IdempotencyFold()
                 out.append(state.step(us, event, fp))

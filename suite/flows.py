@@ -220,6 +220,19 @@ def st1(x):
     return intake.idempotent_intake(requests(x.table("events"))).select("event_id", "outcome", "accepted_event")
 
 
+# The same with all events under one key, which is judged by many tasks.
+CTES["hot_acceptances"] = """
+SELECT min(ts) AS at FROM requests UNION ALL SELECT (SELECT min(r.ts) FROM requests r WHERE r.ts > a.at + INTERVAL 24 HOUR) FROM hot_acceptances a WHERE a.at IS NOT NULL"""
+CTES["hot_accepted"] = "SELECT a.at, min(r.event_id) AS event_id, arg_min(r.fingerprint, r.event_id) AS fingerprint FROM hot_acceptances a JOIN requests r ON r.ts = a.at GROUP BY a.at"
+
+
+@case("ST1H", """SELECT r.event_id, CASE WHEN r.event_id = a.event_id THEN 'accepted' WHEN r.fingerprint = a.fingerprint THEN 'replay' ELSE 'conflict' END AS outcome, a.event_id AS accepted_event
+ FROM requests r ASOF JOIN hot_accepted a ON r.ts >= a.at""")
+def st1h(x):
+    hot = requests(x.table("events")).withColumn("tenant", F.lit("T")).withColumn("key", F.lit("all"))
+    return intake.idempotent_intake(hot, busy=0).select("event_id", "outcome", "accepted_event")
+
+
 _LIMIT, _WINDOW = 5, 6 * 3600.0
 
 

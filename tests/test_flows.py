@@ -37,6 +37,24 @@ def test_idempotency(spark):
     assert {r.event_id: r.outcome for r in got} == EXPECTED
 
 
+def test_busy_key_in_parallel(spark):
+    """Every event under one key, and beside quiet ones, gives the rows of the fold; no window takes the rows of a whole key."""
+    rng = np.random.default_rng(5)
+    hours = np.concatenate([rng.uniform(0, 24 * 40, 1500), rng.uniform(2000, 2100, 300), [24 * 7, 24 * 8, 24 * 9, 24 * 10]])
+    at = [(T0 + pd.Timedelta(microseconds=int(h * 3_600_000_000))).to_pydatetime() for h in hours]
+    rows = [("t", "k", n, t, "ab"[n % 2]) for n, t in enumerate([*at, *at[:200]])]
+    rows += [(None, "q", 9000 + n, t, None) for n, t in enumerate(at[:50])] + [("t", "few", 9900, at[0], "a"), ("t", "few", 9901, at[0], "a")]
+    table = frame(spark, rows, INTAKE)
+    plain, spread = intake.idempotent_intake(table), intake.idempotent_intake(table, busy=10)
+    assert plain.dtypes == spread.dtypes
+    got = sorted(map(str, spread.collect()))
+    assert got == sorted(map(str, plain.collect())) and sum("outcome='accepted'" in r for r in got) > 40
+    assert intake.idempotent_intake(table.limit(0), busy=0).count() == 0
+    exact = [("t", "k", n, (T0 + pd.Timedelta(hours=24 * n, microseconds=n // 3)).to_pydatetime(), "a") for n in range(20)]
+    ntz = frame(spark, exact, INTAKE).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert sorted(map(str, intake.idempotent_intake(ntz, busy=1).collect())) == sorted(map(str, intake.idempotent_intake(ntz).collect()))
+
+
 def test_rate_limit(spark):
     hits = [("i", n, (T0 + pd.Timedelta(milliseconds=100 * n)).to_pydatetime()) for n in range(121)]
     hits.append(("i", 900, (T0 + pd.Timedelta(seconds=60)).to_pydatetime()))

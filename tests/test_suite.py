@@ -12,7 +12,7 @@ from tests.conftest import SF
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 REG = load()
 # Row-level Python is confined to these.
-PYTHON = {"R2", "R3", "R4", "R6", "J9", "E3", "E4", "U1", "U2", "C4", "C5", "C8", "E1", "E2", "E7", "J11", "ST1", "ST2", "ST5"}
+PYTHON = {"R2", "R3", "R4", "R6", "J9", "E3", "E4", "U1", "U2", "C4", "C5", "C8", "E1", "E2", "E7", "J11", "ST1", "ST1H", "ST2", "ST5"}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def norm(v):
     return str(v) if isinstance(v, decimal.Decimal) else v
 
 
-@pytest.mark.parametrize("key", ["FN4", "SRC3", "SRC5", "SRC7", "SRC7F", "SRC8", "SRC8F", "SRC8Q", "C2", "W10", "W14", "D1", "K10", "V4", "A7", "P1", "P7", "L3", "L2A", "L3A", "R4", "X2", "E5", "BAT4", "ST1"])
+@pytest.mark.parametrize("key", ["FN4", "SRC3", "SRC5", "SRC7", "SRC7F", "SRC8", "SRC8F", "SRC8Q", "C2", "W10", "W14", "D1", "K10", "V4", "A7", "P1", "P7", "L3", "L2A", "L3A", "R4", "X2", "E5", "BAT4", "ST1", "ST1H"])
 def test_oracle(spark, con, key):
     df = REG.QUERIES[key](spark, SF)
     cols = sorted(df.columns)
