@@ -11,6 +11,7 @@ from auditlens.plans import batch
 from auditlens.session import shared_dir
 from auditlens.sources import packets as pk
 from auditlens.sources import records, store
+from auditlens.streaming import requests as stream_requests
 from auditlens.streaming.audits import streaming_audit
 from suite import base as b
 from suite.base import CTES, case
@@ -214,8 +215,11 @@ UNION ALL SELECT a.tenant, a.key, min(r.ts) FROM acceptances a JOIN requests r O
 CTES["accepted"] = "SELECT a.tenant, a.key, a.at, min(r.event_id) AS event_id, arg_min(r.fingerprint, r.event_id) AS fingerprint FROM acceptances a JOIN requests r ON r.tenant = a.tenant AND r.key = a.key AND r.ts = a.at GROUP BY ALL"
 
 
-@case("ST1", """SELECT r.event_id, CASE WHEN r.event_id = a.event_id THEN 'accepted' WHEN r.fingerprint = a.fingerprint THEN 'replay' ELSE 'conflict' END AS outcome, a.event_id AS accepted_event
- FROM requests r ASOF JOIN accepted a ON a.tenant = r.tenant AND a.key = r.key AND r.ts >= a.at""")
+_ST1 = """SELECT r.event_id, CASE WHEN r.event_id = a.event_id THEN 'accepted' WHEN r.fingerprint = a.fingerprint THEN 'replay' ELSE 'conflict' END AS outcome, a.event_id AS accepted_event
+ FROM requests r ASOF JOIN accepted a ON a.tenant = r.tenant AND a.key = r.key AND r.ts >= a.at"""
+
+
+@case("ST1", _ST1)
 def st1(x):
     return intake.idempotent_intake(requests(x.table("events"))).select("event_id", "outcome", "accepted_event")
 
@@ -245,12 +249,41 @@ FROM (SELECT h.identity, h.n, h.event_id, h.us, list_filter(r.times, lambda t: t
  FROM st2_run r JOIN st2_hits h ON h.identity = r.identity AND h.n = r.n + 1)"""
 
 
-@case("ST2", "SELECT identity, event_id, allowed, remaining, retry_after_us FROM st2_run")
+_ST2 = "SELECT identity, event_id, allowed, remaining, retry_after_us FROM st2_run"
+
+
+@case("ST2", _ST2)
 def st2(x):
     hits = x.table("events").select(F.concat(F.lit("u"), (F.col("user_id")).cast("string")).alias("identity"), "event_id", "ts")
     return intake.rate_admission(hits, _LIMIT, _WINDOW).select("identity", "event_id", "allowed", "remaining", "retry_after_us")
 
 
+def streamed(x, frame: DataFrame, judge, parts: int = 3) -> DataFrame:
+    """What a stream over the rows, which come in parts by time, has judged in the end."""
+    work, frame = new_store(x), frame.withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = frame.agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    share = (F.unix_micros("ts") - F.unix_micros(ends.select("a").scalar())) / (F.unix_micros(ends.select("z").scalar()) - F.unix_micros(ends.select("a").scalar()))
+    dated = frame.withColumn("part", F.least(F.floor(share * parts), F.lit(parts - 1)))
+    for k in range(parts):  # the stream stops and starts again from its checkpoint after every part
+        dated.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{work}/in")
+        rows = x.spark.readStream.schema(frame.schema).parquet(f"{work}/in")
+        writer = judge(rows).writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return x.spark.read.schema(judge(rows).schema).parquet(f"{work}/out")
+
+
+@case("ST1S", _ST1)
+def st1s(x):
+    return streamed(x, requests(x.table("events")), stream_requests.idempotent_stream).select("event_id", "outcome", "accepted_event")
+
+
+@case("ST2S", _ST2)
+def st2s(x):
+    hits = x.table("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("identity"), "event_id", "ts")
+    judged = streamed(x, hits, lambda rows: stream_requests.rate_stream(rows, _LIMIT, _WINDOW))
+    return judged.select("identity", "event_id", "allowed", "remaining", "retry_after_us")
+
+
 _EDGES = ", ".join(f"('{e:g}', {e})" for e in intake.LATENCY_EDGES)
 
 

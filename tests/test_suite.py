@@ -27,7 +27,7 @@ def norm(v):
     return str(v) if isinstance(v, decimal.Decimal) else v
 
 
-@pytest.mark.parametrize("key", ["FN4", "SRC3", "SRC5", "SRC7", "SRC7F", "SRC8", "SRC8F", "SRC8Q", "C2", "W10", "W14", "D1", "K10", "V4", "A7", "P1", "P7", "L3", "L2A", "L3A", "R4", "X2", "E5", "BAT4", "ST1", "ST1H"])
+@pytest.mark.parametrize("key", ["FN4", "SRC3", "SRC5", "SRC7", "SRC7F", "SRC8", "SRC8F", "SRC8Q", "C2", "W10", "W14", "D1", "K10", "V4", "A7", "P1", "P7", "L3", "L2A", "L3A", "R4", "X2", "E5", "BAT4", "ST1", "ST1H", "ST1S", "ST2S"])
 def test_oracle(spark, con, key):
     df = REG.QUERIES[key](spark, SF)
     cols = sorted(df.columns)
