@@ -42,8 +42,8 @@ def postings(docs: DataFrame) -> DataFrame:
 def term_weights(docs: DataFrame, index: DataFrame) -> DataFrame:
     """(term, idf, avgdl). A term in more than half of the documents gets a quarter of the mean weight."""
     n = docs.agg(F.count(F.lit(1))).scalar()
-    avgdl = docs.agg(F.sum(F.size(tx.tokenize(F.col("text")))) / F.count(F.lit(1))).scalar()
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("words"))
+    avgdl = df.agg(F.sum("words").cast("double")).scalar() / n  # the lengths add up to the counts: no text is split for them
     raw = df.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg(F.avg("raw") * IDF_FLOOR).scalar()
     return raw.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"), avgdl.alias("avgdl"))
@@ -138,45 +138,63 @@ def rrf_fuse(bm25: DataFrame, dense: DataFrame | None) -> DataFrame:
     )
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int = 5, strategy: str = "rrf", *,
-           query_vectors: DataFrame | None = None, doc_vectors: DataFrame | None = None, pool: int = POOL) -> DataFrame:
-    """Top k per query: (query_id, rank from 1, doc_id, score, bm25_rank, dense_rank, cosine).
+def pools(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame | None = None, doc_vectors: DataFrame | None = None,
+          pool: int = POOL) -> tuple[DataFrame, DataFrame | None]:
+    """The best `pool` documents of every query by words and by vectors. What is made of them in one query shares their shuffles."""
+    words = bm25_rank(queries, docs, pool)
+    if query_vectors is None or doc_vectors is None:
+        return words, None
+    vectors = doc_vectors.join(docs.select("doc_id", "doc_order"), "doc_id").select("doc_id", "doc_order", "vec")
+    return words, dense_rank(query_vectors, vectors, pool)
 
-    Without vectors the dense side is empty and its cosine is 0, so 'rrf' becomes BM25.
-    """
-    has_vectors = query_vectors is not None and doc_vectors is not None
+
+def _hits(words: DataFrame, near: DataFrame | None, k: int, strategy: str) -> DataFrame:
+    """Top k of one strategy from the pools; a hit of the vectors keeps its rank by words."""
     if strategy not in ("bm25", "dense", "rrf"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    ordered_docs = docs.select("doc_id", "doc_order")
-    vectors = doc_vectors.join(ordered_docs, "doc_id").select("doc_id", "doc_order", "vec") if has_vectors else None
-    words = bm25_rank(queries, docs, pool)
-    near = dense_rank(query_vectors, vectors, pool) if has_vectors and strategy != "bm25" else None
+    fused = rrf_fuse(words, near if strategy != "bm25" else None)
     if strategy == "dense":
-        empty = words.where(F.lit(False)) if near is None else None
-        fused = rrf_fuse(words.where(F.lit(False)), near) if empty is None else rrf_fuse(empty, None)
-        positions = rrf_fuse(words, None).select("query_id", "doc_id", F.col("bm25_rank").alias("_b"))
-        fused = fused.drop("bm25_rank").join(positions, ["query_id", "doc_id"], "left").withColumnRenamed("_b", "bm25_rank")
-    else:
-        fused = rrf_fuse(words, near)
+        by_vector = F.lit(1.0) / (F.lit(RRF_DAMPING) + F.col("dense_rank"))
+        fused = fused.where(F.col("dense_rank").isNotNull()).withColumn("score", F.round(by_vector, 12))
     order = [F.desc("score"), F.asc_nulls_last("bm25_rank"), F.asc_nulls_last("dense_rank")]
-    hits = top_per_group(fused, ["query_id"], order, k)
-    if near is None:
-        hits = hits.withColumn("cosine", F.lit(0.0))
-    else:
-        hits = (
-            hits.join(query_vectors.select("query_id", unit(F.col("vec")).alias("_q")), "query_id", "left")
-            .join(doc_vectors.select("doc_id", unit(F.col("vec")).alias("_d")), "doc_id", "left")
-            .withColumn("cosine", F.coalesce(cosine(F.col("_q"), F.col("_d")), F.lit(0.0)))
-        )
-    return hits.select("query_id", "rank", "doc_id", "score", "bm25_rank", "dense_rank", "cosine")
+    return top_per_group(fused, ["query_id"], order, k)
+
+
+def _with_cosine(hits: DataFrame, query_vectors: DataFrame | None, doc_vectors: DataFrame | None) -> DataFrame:
+    if query_vectors is None or doc_vectors is None:
+        return hits.withColumn("cosine", F.lit(0.0))
+    return (
+        hits.join(query_vectors.select("query_id", unit(F.col("vec")).alias("_q")), "query_id", "left")
+        .join(doc_vectors.select("doc_id", unit(F.col("vec")).alias("_d")), "doc_id", "left")
+        .withColumn("cosine", F.coalesce(cosine(F.col("_q"), F.col("_d")), F.lit(0.0)))
+    )
+
+
+_HIT = ["query_id", "rank", "doc_id", "score", "bm25_rank", "dense_rank", "cosine"]
+
+
+def search(queries: DataFrame, docs: DataFrame, k: int = 5, strategy: str = "rrf", *,
+           query_vectors: DataFrame | None = None, doc_vectors: DataFrame | None = None, pool: int = POOL) -> DataFrame:
+    """Top k per query: (query_id, rank from 1, doc_id, score, bm25_rank, dense_rank, cosine).
+
+    Without vectors the dense side is empty and its cosine is 0, so 'rrf' becomes BM25; so it does where only words are asked for.
+    """
+    if strategy == "bm25":
+        query_vectors = doc_vectors = None
+    words, near = pools(queries, docs, query_vectors, doc_vectors, pool)
+    return _with_cosine(_hits(words, near, k, strategy), query_vectors, doc_vectors).select(*_HIT)
 
 
 def compare_strategies(queries: DataFrame, docs: DataFrame, k: int = 5, *, query_vectors: DataFrame | None = None,
                        doc_vectors: DataFrame | None = None) -> DataFrame:
-    """The three strategies side by side."""
-    parts = [search(queries, docs, k, s, query_vectors=query_vectors, doc_vectors=doc_vectors)
-             .withColumn("strategy", F.lit(s)) for s in ("bm25", "dense", "rrf")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """The three strategies side by side, over one pool by words and one by vectors."""
+    words, near = pools(queries, docs, query_vectors, doc_vectors)
+    out = None
+    for s in ("bm25", "dense", "rrf"):
+        hits = _hits(words, near, k, s)
+        part = _with_cosine(hits, *((None, None) if s == "bm25" else (query_vectors, doc_vectors))).select(*_HIT, F.lit(s).alias("strategy"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def candidate_block(hits: DataFrame, rules: DataFrame) -> DataFrame:
