@@ -24,14 +24,16 @@ RRF_DAMPING, POOL = 60, 25
 _ROUND = 9
 _TERM_SALTS = 8
 _BLOCK_ROWS = 4096
+#: Terms of queries, counted first, that are sent to every task; more are joined with a shuffle.
+BROADCAST_TERMS = 500_000
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_order, dl, term, tf). Counted within the partition before the shuffle.
+    """(doc_id, doc_order, dl, term, tf), laid out by document: texts move once, and are smaller than their postings.
 
     The length is taken before the unfolding: next to explode() it would be worked out per word.
     """
-    split = docs.select("doc_id", "doc_order", tx.tokenize(F.col("text")).alias("tokens"))
+    split = docs.select("doc_id", "doc_order", "text").repartition("doc_id").select("doc_id", "doc_order", tx.tokenize(F.col("text")).alias("tokens"))
     measured = split.select("doc_id", "doc_order", F.size("tokens").alias("dl"), "tokens")
     return (
         measured.select("doc_id", "doc_order", "dl", F.explode("tokens").alias("term"))
@@ -55,12 +57,17 @@ def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     asked = queries.select("query_id", F.explode(tx.tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(
         F.count(F.lit(1)).alias("qtf"))
     weights = term_weights(docs, index)
-    # The postings of a common word are spread over salts, should the query side be too big to broadcast.
-    wanted = asked.join(weights, "term").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_TERM_SALTS - 1))))
-    spread = index.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(_TERM_SALTS)).cast("int"))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("qtf") * F.col("idf") * (tf * (K1 + 1)) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / F.col("avgdl")))
-    scores = spread.join(wanted, ["term", "_salt"]).groupBy("query_id", "doc_id", "doc_order").agg(
+    wanted = asked.join(weights, "term")
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        # Every document's terms lie together, so its scores are summed where they are; only the best of a partition move on.
+        met = index.join(F.broadcast(wanted), "term")
+    else:
+        # The postings of a common word are spread over salts.
+        wanted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_TERM_SALTS - 1))))
+        met = index.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(_TERM_SALTS)).cast("int")).join(wanted, ["term", "_salt"])
+    scores = met.groupBy("query_id", "doc_id", "doc_order").agg(
         F.round(F.sum(part), _ROUND).alias("score"))
     return scores.where("score > 0")
 

@@ -136,7 +136,7 @@ def test_a_batch_takes_a_claim_once(spark, catalogue, tmp_path):
     assert sorted(r.claim_id for r in store.read_store(spark, str(tmp_path / "s")).claims.collect()) == ["A", "B", "C"]
 
 
-def test_bm25_by_hand(spark):
+def test_bm25_by_hand(spark, monkeypatch):
     docs = ["blue cap cap", "red gown", "red cap", "", "long " * 9]
     queries = ["cap cap red", "gown", "nothing"]
     d = frame(spark, [(i, i, t) for i, t in enumerate(docs)], "doc_id bigint, doc_order bigint, text string")
@@ -153,6 +153,10 @@ def test_bm25_by_hand(spark):
             if s > 0:
                 want[(qi, di)] = s
     got = {(r.query_id, r.doc_id): r.score for r in retrieval.bm25_scores(q, d).collect()}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" not in plan(retrieval.bm25_scores(q, d)).split("AdaptiveSparkPlan")[1].split("Join")[0], "scores are summed where the document is"
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
+    assert got == {(r.query_id, r.doc_id): r.score for r in retrieval.bm25_scores(q, d).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
 
 
