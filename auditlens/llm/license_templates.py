@@ -69,6 +69,26 @@ OTHERS = (
     "Permission is required to enter the garden.", "A copy of the book was sold at auction.", "The author has waived his fee for the evening.", "The binary star was first seen from there.",
     "Unless required, the form need not be signed.", "Universal agreement was not to be had.", "CC the letter to the office by Friday.", "by nc road the distance is shorter", "the sa region in 4.0 metres of snow",
 )
+#: Notices of licences that are no family here: unknown. The sample holds these (fixed values).
+FOREIGN = (
+    "Licensed under the Eclipse Public License 2.0.", "This program is made available under the terms of the Eclipse Public License v1.0.", "SPDX-License-Identifier: EPL-2.0",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Released under the ISC License.",
+    "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0", "Licensed under the zlib license.",
+    "Licensed under the Common Development and Distribution License, Version 1.0.", "This work is licensed under the Open Font License.", "SPDX-License-Identifier: OFL-1.1",
+    "Licensed under the Microsoft Public License.", "Released under the Do What The Fuck You Want To Public License.",
+)
+#: More such notices, which are not trained on: the least probability is set on them.
+UNSEEN = (
+    "Licensed under the European Union Public Licence 1.2.", "Released under the Artistic License 2.0.", "SPDX-License-Identifier: Artistic-2.0", "SPDX-License-Identifier: EUPL-1.2",
+    "Licensed under the Academic Free License, version 3.0.", "This work is licensed under the Free Art License 1.3.", "Released under the PostgreSQL License.",
+    "This program is licensed under the Q Public License, version 1.0.", "Licensed under the Common Public License 1.0.", "Licensed under the Open Software License, version 3.0.",
+)
+#: What families are called, and short wordings round a name; the sample holds these too, templates do not (fixed values).
+NAMES = {
+    "MIT": ("MIT",), "Apache-2.0": ("Apache", "Apache 2.0"), "GPL": ("GPL", "GPLv3", "GPLv2"), "LGPL": ("LGPL",), "AGPL": ("AGPL",), "BSD": ("BSD", "BSD 2-Clause"),
+    "MPL-2.0": ("MPL 2.0", "Mozilla Public License"), "CC-BY": ("CC BY 4.0",), "CC-BY-SA": ("CC BY-SA 4.0",), "CC-BY-NC": ("CC BY-NC 4.0",), "CC0": ("CC0",),
+}
+SHORT = ("License: {}", "Licence: {}", "licensed under {}", "{}-licensed", "code under the {} license", "(c) the authors, {}")
 #: Everyday words for the prose round a notice.
 FILLER = ("the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him "
           "been has when who will no more if out so said what up its about into than them can only other time new some could these two may first then do any like my now over such "
@@ -77,7 +97,7 @@ SAMPLE = 60
 
 
 def labelled(seed: int = 7, per_template: int = SAMPLE) -> list[tuple[str, str]]:
-    """(text, family) rows, `per_template` for each notice and as many for each other sentence in thirds; the sample's bound."""
+    """(text, family) rows, `per_template` for each notice and a third of that for each foreign one and each other sentence; the sample's bound."""
     r = random.Random(seed)
     prose = lambda n: " ".join(r.choice(FILLER) + r.choice(("", "", "", "", ",", ".")) for _ in range(r.randint(0, n)))
     rows = []
@@ -96,8 +116,20 @@ def labelled(seed: int = 7, per_template: int = SAMPLE) -> list[tuple[str, str]]
     for family, texts in TEMPLATES.items():
         for t in texts:
             rows += [(vary(t), family) for _ in range(per_template)]
+    for t in FOREIGN:
+        rows += [(vary(t), UNKNOWN) for _ in range(per_template // 3)]
     for t in OTHERS:
         rows += [(vary(t), UNKNOWN) for _ in range(per_template // 3)]
     rows += [(prose(60), UNKNOWN) for _ in range(per_template * 10)]
     r.shuffle(rows)
     return rows
+
+
+def short(seed: int = 8, per_name: int = SAMPLE // 4) -> list[tuple[str, str]]:
+    """(text, family) rows of short wordings, `per_name` for each name in each: they belong to the sample, but no template confirms them."""
+    r = random.Random(seed)
+    prose = lambda: " ".join(r.choice(FILLER) for _ in range(r.randint(0, 12)))
+    plain = [(wording.format(name), family) for family, names in NAMES.items() for name in names for wording in SHORT for _ in range(per_name)]
+    rows = [(f"{prose()} {r.choice((t, t, t.lower(), t.upper()))} {prose()}" if r.random() < 0.4 else t, f) for t, f in plain]
+    r.shuffle(rows)
+    return rows

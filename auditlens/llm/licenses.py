@@ -4,8 +4,9 @@ Logistic regression over word n-grams (one and two words), sparse by its L1 pena
 `license_templates`; the sample's size is its documented bound. Its n-grams are those of three rows of the sample or more. The weights
 are a small table. A paragraph without any n-gram of positive weight for a licence family can only be unknown, so a regular
 expression of these, taken from the weights, finds the paragraphs to be scored; all texts are searched in full. Scores are sums
-within the row, over weights that an expression looks up by the n-gram's checksum, so that no paragraph is shuffled. Temperature and the least probability are set on held-out rows. A prediction counts when the paragraph shares
-enough two-word sequences with a template of the predicted family.
+within the row, over weights that an expression looks up by the n-gram's checksum, so that no paragraph is shuffled. Temperature and the least probability are set on held-out rows and on
+notices of licences that the sample does not hold. A prediction counts when the paragraph shares enough two-word sequences with a
+template of the predicted family, one that no other family's templates have among them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlens.llm.common import cut, one_per_id
-from auditlens.llm.license_templates import TEMPLATES, UNKNOWN, labelled
+from auditlens.llm.license_templates import TEMPLATES, UNKNOWN, UNSEEN, labelled, short
 
 PENALTY, ROUNDS = 0.0006, 60
 CONFIRM = 0.6
@@ -57,11 +58,12 @@ def pairs_of(words: Column) -> Column:
 
 def fit(spark: SparkSession) -> Model:
     """Fit on two thirds of the sample, calibrate on the rest."""
-    rows = labelled()
+    rows = labelled() + short()
     families = [UNKNOWN, *TEMPLATES]
     schema = "text string, label double"
     train = spark.createDataFrame([(t, float(families.index(f))) for k, (t, f) in enumerate(rows) if k % 3], schema)
-    held = spark.createDataFrame([(k, t, float(families.index(f))) for k, (t, f) in enumerate(rows) if k % 3 == 0], "id long, text string, label double")
+    tried = [(t, float(families.index(f))) for k, (t, f) in enumerate(rows) if k % 3 == 0] + [(t, 0.0) for t in UNSEEN]
+    held = spark.createDataFrame([(k, *row) for k, row in enumerate(tried)], "id long, text string, label double")
     grams = cut(train.select("label", ngrams(terms(F.col("text"))).alias("grams")))
     known = grams.select(F.explode("grams").alias("gram")).groupBy("gram").count().where(F.col("count") >= LEAST_ROWS).orderBy("gram")
     vocabulary = [r.gram for r in known.select("gram").collect()]  # of the sample, not of the corpus
@@ -132,13 +134,16 @@ def license_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame
         "doc_id", "line", "terms", F.get(F.array(*map(F.lit, model.families)), F.col("best")).alias("family"),
         (F.get("e", F.col("best")) / F.aggregate("e", F.lit(0.0), lambda a, x: a + x)).alias("probability"))
     said = said.where(F.col("probability") >= model.least).where(F.size("terms") > 1)
-    rows = [(f, t) for f, texts in TEMPLATES.items() for t in texts]
-    known_by = docs.sparkSession.createDataFrame(rows, "family string, template string").select(
-        "family", pairs_of(terms(F.col("template"))).alias("theirs")).groupBy("family").agg(F.collect_list("theirs").alias("templates"))
+    rows = [(f, list(texts), [t for g, other in TEMPLATES.items() if g != f for t in other]) for f, texts in TEMPLATES.items()]
+    pairs = lambda name: F.transform(name, lambda t: pairs_of(terms(t)))
+    known_by = docs.sparkSession.createDataFrame(rows, "family string, templates array<string>, others array<string>").select(
+        "family", pairs("templates").alias("templates"), F.flatten(pairs("others")).alias("elsewhere"))
     own = pairs_of(F.col("terms"))
+    # What stands in the templates of this family alone; "licensed under the" fits any of them.
+    shared = F.array_except(F.array_intersect(F.col("own"), F.flatten("templates")), F.col("elsewhere"))
     like = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(F.col("own"), t)) / F.least(F.size("own"), F.size(t))))
-    confirmed = said.withColumn("own", own).join(known_by, "family").withColumn("likeness", like)
-    return confirmed.select("doc_id.doc_id", "line", "family", "probability", "likeness", (F.col("likeness") >= CONFIRM).alias("confirmed"))
+    confirmed = said.withColumn("own", own).join(known_by, "family").withColumn("likeness", like).withColumn("telling", F.size(shared) > 0)
+    return confirmed.select("doc_id.doc_id", "line", "family", "probability", "likeness", ((F.col("likeness") >= CONFIRM) & F.col("telling")).alias("confirmed"))
 
 
 def license_verdicts(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -37,6 +37,20 @@ def test_other_wordings(spark, model):
     assert all(r.n_paragraphs + r.n_unconfirmed == 1 for r in licenses.license_verdicts(df, model).collect())
 
 
+def test_short_notices(spark, model):
+    told = {"License: MIT": "MIT", "licensed under MIT": "MIT", "Apache-licensed": "Apache-2.0", "Licence: LGPL": "LGPL", "released under GPLv3": "GPL", "(c) Jane, CC BY 4.0": "CC-BY"}
+    df = spark.createDataFrame([*enumerate(told)], "doc_id long, text string")
+    assert {r.doc_id: r.family for r in licenses.license_paragraphs(df, model).collect()} == dict(enumerate(told.values()))
+
+
+def test_foreign_notices(spark, model):
+    """Licences that are no family are never confirmed, those the sample has no word of included."""
+    notices = [*license_templates.FOREIGN, *license_templates.UNSEEN, "Licensed under the Eclipse Public License 2.0", "Released under the Sleepycat License.",
+               "Licensed under the Python Software Foundation License, Version 2.", "Licensed under the Solderpad Hardware License, Version 2.1."]
+    found = licenses.license_verdicts(spark.createDataFrame([*enumerate(notices)], "doc_id long, text string"), model).collect()
+    assert {notices[r.doc_id]: r.licenses for r in found if r.licenses} == {}
+
+
 def test_given_documents(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries.QUERIES["op8_licenses"](spark, SF).collect()
