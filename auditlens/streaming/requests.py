@@ -2,44 +2,57 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditlens.operators.intake import (
     IDEMPOTENCY_TTL, INTAKE_SCHEMA, RATE_LIMIT, RATE_SCHEMA, RATE_WINDOW_S, Admitted, IdempotencyFold, micros,
 )
 
+#: Keys share the state of a slot: Spark's call of a fold costs far more than judging the few requests of one key. A checkpoint keeps
+#: its number of slots.
+SLOTS = 1024
 _OUT = ["tenant", "key", "event_id", "ts", "outcome", "accepted_event"]
 
 
 def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in one trigger, in event order."""
+    """The rows of one group in one trigger, in event order."""
     return pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
 
 
-def idempotent_stream(requests: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+def idempotent_stream(requests: DataFrame, lateness: str = "10 minutes", slots: int = SLOTS) -> DataFrame:
     """accepted, replay or conflict per request. A key is forgotten once the watermark is a day past its acceptance."""
+    ttl_us = IDEMPOTENCY_TTL // dt.timedelta(microseconds=1)
 
-    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        one = IdempotencyFold()
+    def fold(slot: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[Any, ...], IdempotencyFold] = {}
         if state.exists:
-            one.accepted = tuple(state.get)
-        rows = _ordered(batches)
-        out = [one.step(us, e, fp) for us, e, fp in zip(micros(rows["ts"]), rows["event_id"], rows["fingerprint"])]
-        state.update(one.accepted)
-        expiry_ms = one.accepted[0] // 1000 + int(IDEMPOTENCY_TTL.total_seconds() * 1000) + 1
-        state.setTimeoutTimestamp(max(expiry_ms, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(outcome=[o for o, _ in out], accepted_event=pd.Series([e for _, e in out], index=rows.index, dtype="int64"))[_OUT]
+            for tenant, key, *accepted in zip(*state.get):
+                held[tenant, key] = one = IdempotencyFold()
+                one.accepted = tuple(accepted)
+        if not state.hasTimedOut:
+            rows = _ordered(batches)
+            out = [held.setdefault(key, IdempotencyFold()).step(us, e, fp)
+                   for key, us, e, fp in zip(zip(rows["tenant"], rows["key"]), micros(rows["ts"]), rows["event_id"], rows["fingerprint"])]
+            yield rows.assign(outcome=[o for o, _ in out], accepted_event=pd.Series([e for _, e in out], index=rows.index, dtype="int64"))[_OUT]
+        now = state.getCurrentWatermarkMs()
+        kept = [(*key, *one.accepted) for key, one in held.items() if (one.accepted[0] + ttl_us) // 1000 + 1 > now]
+        if kept:
+            state.update(tuple(list(column) for column in zip(*kept)))
+            state.setTimeoutTimestamp((min(accepted for _, _, accepted, *_ in kept) + ttl_us) // 1000 + 1)
+        elif state.exists:
+            state.remove()
 
-    return requests.withWatermark("ts", lateness).groupBy("tenant", "key").applyInPandasWithState(
-        fold, INTAKE_SCHEMA, "us bigint, event_id bigint, fingerprint string", "append", GroupStateTimeout.EventTimeTimeout)
+    slotted = requests.withWatermark("ts", lateness).withColumn("slot", F.pmod(F.xxhash64("tenant", "key"), F.lit(slots)))
+    return slotted.groupBy("slot").applyInPandasWithState(
+        fold, INTAKE_SCHEMA, "tenant array<string>, key array<string>, us array<bigint>, event_id array<bigint>, fingerprint array<string>",
+        "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def distinct_requests(requests: DataFrame, window: str = "24 hours") -> DataFrame:
