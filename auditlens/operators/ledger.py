@@ -99,11 +99,11 @@ def chain_append(rows: DataFrame, batch: str, chain_length: int = CHAIN_LENGTH)
     entry = F.struct(F.col("seq"), stem.alias("stem"), F.struct(*[c for c in cols if c != "seq"]).alias("row"))
     grouped = placed.groupBy("chain").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     hashed = grouped.select("chain", "entries", F.aggregate("entries", start, step, lambda s: s["hashes"]).alias("hashes"))
-    out = hashed.select("chain", F.posexplode("entries").alias("i", "e"), "hashes")
-    return out.select(
-        "chain", "e.seq", "e.row.*",
-        F.when(F.col("i") == 0, F.lit(GENESIS)).otherwise(F.get("hashes", F.col("i") - 1)).alias("prev_hash"),
-        F.get("hashes", F.col("i")).alias("entry_hash"))
+    # Zipped, every entry comes out with its own two hashes instead of a copy of all of its chain.
+    before = F.concat(F.array(F.lit(GENESIS)), F.slice("hashes", F.lit(1), F.size("hashes") - 1))
+    zipped = F.arrays_zip(F.col("entries").alias("e"), before.alias("prev_hash"), F.col("hashes").alias("entry_hash"))
+    return hashed.select("chain", F.inline(zipped).alias("e", "prev_hash", "entry_hash")).select(
+        "chain", "e.seq", "e.row.*", "prev_hash", "entry_hash")
 
 
 def chain_append_long(rows: DataFrame, batch: str, chain_length: int = CHAIN_LENGTH) -> DataFrame:

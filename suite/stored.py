@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.functions import vocabulary as voc
+from auditlens.functions.rows import sized
 from auditlens.operators import anchors, assess, ledger, portfolio, retention
 from auditlens.plans import adhoc
 from auditlens.session import shared_dir
@@ -346,7 +347,7 @@ def l2a(x):
  FROM (SELECT *, max(CASE WHEN batch = 'T1' THEN number END) OVER () AS gone, max(number) OVER () AS last FROM m_roots) WHERE batch <> 'T1' AND (number = gone + 1 OR number = last)""")
 def l3a(x):
     """All of batch T1 is gone, its manifest and its anchor too; the last batch has lost its first chain. Manifest and chains still verify."""
-    whole = listed(x)
+    whole = sized(listed(x))  # a manifest is a table that is kept; computed, it takes the whole audit every time it is read
     made = anchors.anchor_batches(whole)
     last = whole.groupBy().agg(F.max("batch").alias("last"))
     left = whole.where("batch <> 'T1'").join(last, (F.col("batch") == F.col("last")) & F.col("chain").endswith("/0"), "left_anti")

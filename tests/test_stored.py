@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from auditlens.operators import anchors, ledger, portfolio, retention
 from auditlens.plans import adhoc
 from auditlens.sources import store as st
-from tests.conftest import line, packet
+from suite import load
+from tests.conftest import SF, line, packet
 
 ROOM = line(1, "Room rent", 12000, "ROOM", quantity="3", unit_rate="4000")
 
@@ -305,3 +306,8 @@ def test_compaction_by_size_and_by_tenant(spark, run, tmp_path, monkeypatch):
     assert kept() == [("t", "A"), ("t", "B"), ("u/1", "B")] and st.read_store(spark, path).findings.count() == 3
     st.delete_claims(path, key("t", "NONE"))
     assert len(st.read_log(spark, path).live) == 1
+
+
+def test_anchor_case_reads_a_kept_manifest(spark):
+    """L3A looks at the manifest five times; the tables are read for it once."""
+    assert load().QUERIES["L3A"](spark, SF).inputFiles() == []
