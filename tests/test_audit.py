@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from auditlens.operators import assess, classify, waterfall
 from auditlens.plans.batch import batch_totals, check_batch
 from auditlens.sources import packets as pk
+from auditlens.plans import audit as audit_plan
 from tests.conftest import by_claim, line, packet
 
 ROOM = line(1, "Room rent", 12000, "ROOM", quantity="3", unit_rate="4000")
@@ -213,3 +214,17 @@ def test_packets_from_files(spark, tmp_path):
     assert [s.name for s in claims[0].sublimits] == ["z", "a"] and claims[0].copay_pct == 0
     row = pk.explode_lines(p.where("claim_id is not null"), F.lit("t")).first()
     assert (row.amount_paise, row.quantity, row.unit_rate_paise, row.head, row.extract_confidence) == (1050, 1, 0, "OTHER", 1.0)
+
+
+def test_profiles_side_by_side(run):
+    """Three profiles cost no grouping beyond that of the measures, and the attached documents are cleaned in one place of the plan."""
+    tables, _ = run(packet("W1", [line(1, "Patient gown", 10), line(2, "Surgeon fee", 90000, head="PROCEDURE"),
+                                   line(3, "MRI knee", 50000, head="INVESTIGATION")], rate="9000"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    folded = audit_plan.folded_profiles(tables.facts)
+    assert plan(folded).count("Aggregate [") == plan(tables.facts).count("Aggregate [")
+    assert plan(tables.gaps).count("regexp_replace") - plan(tables.facts).count("regexp_replace") <= 2
+    row, wide = folded.first(), {r.profile: r for r in tables.waterfall.collect()}
+    assert (row.low_paise, row.high_paise) == (min(r.settlement_paise for r in wide.values()), max(r.settlement_paise for r in wide.values()))
+    assert row.low_paise < row.high_paise and row.balanced
+    assert all(row[c] == wide["typical"][c] for c in ("settlement_paise", "patient_paise", "hospital_paise", "room_rent_paise"))
