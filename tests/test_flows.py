@@ -177,6 +177,19 @@ def test_bm25_by_hand(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
 
 
+def test_postings_are_laid_out_by_what_a_task_holds(spark, monkeypatch):
+    """Four times the text or the scores in four times the parts, though few bytes move; the scores stay the same."""
+    q = frame(spark, [(i, f"cap w{i}") for i in range(5)], "query_id bigint, text string")
+    d = frame(spark, [(i, i, "cap " * (i % 7) + f"w{i % 50}") for i in range(400)], "doc_id bigint, doc_order bigint, text string")
+    want = {(r.query_id, r.doc_id): r.score for r in retrieval.bm25_scores(q, d).collect()}
+    monkeypatch.setattr(retrieval, "TASK_CHARS", 160)
+    assert retrieval.postings(d.where("doc_id < 100")).rdd.getNumPartitions() * 3 < retrieval.postings(d).rdd.getNumPartitions()
+    monkeypatch.setattr(retrieval, "TASK_CHARS", 10**9)
+    monkeypatch.setattr(retrieval, "TASK_SCORES", 50)
+    assert retrieval.doc_parts(d, 5) == 40 and retrieval.doc_parts(d.where("doc_id < 100"), 5) <= 10
+    assert want == {(r.query_id, r.doc_id): r.score for r in retrieval.bm25_scores(q, d).collect()} and len(want) >= 40
+
+
 def test_dense_blocks_do_not_matter(spark):
     rng = np.random.default_rng(1)
     vecs = rng.normal(size=(60, 8)).tolist()
