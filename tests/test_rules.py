@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from auditlens.functions.rows import spread
 from auditlens.operators import assess, portfolio
 from auditlens.plans.audit import corpus_version
 from auditlens.sources import rules as rf
@@ -35,6 +36,20 @@ def test_unsound_catalogues_are_refused(spark, catalogue, text, problem):
         rf.load_rules(files(spark, text), catalogue[1])
 
 
+def test_keys_and_values_are_worked_out_once(spark):
+    """Written into its own lambda, the list of pairs was parsed again for every pair of it."""
+    text = "a: 1\n:none\nno colon|b : x:y \n a:2|\n : 3\nb2:"
+    rows = spark.createDataFrame([(text,), ("",), (None,)], "block string").select(rf.key_values(F.col("block")).alias("m"))
+    assert [r.m for r in rows.collect()] == [{"a": "2", "b": "x:y", "b2": ""}, {}, None]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_work_of_few_bytes_is_spread(spark):
+    few, many = spark.range(10).coalesce(1), spark.range(100).coalesce(1)
+    assert spread(few, 10, "id").rdd.getNumPartitions() == 1 and spread(many, 10, "id").rdd.getNumPartitions() == 10
+    assert sorted(r.id for r in spread(many, 10, "id").collect()) == list(range(100))
+
+
 def test_rule_text(spark):
     r = rf.parse_rules(files(spark, BLOCK + "<!-- chunk_id: A | topic: x -->\n## A title\nAliases: one,  two ,,\nSome\n  body.\n<!-- chunk_id: B -->\njust text")).orderBy("pos").collect()
     assert (r[0].title, r[0].aliases, r[0].body, r[0].topic, r[0].list_name) == ("A title", ["one", "two"], "Some body.", "x", "LIST_II_ROOM")
