@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from auditlens.functions.rows import releasing
 from auditlens.operators import extraction, intake, ledger, retrieval
 from auditlens.plans import batch
 from auditlens.sources import records
@@ -153,6 +154,22 @@ def test_a_batch_takes_a_claim_once(spark, catalogue, tmp_path):
     assert sorted(r.claim_id for r in store.read_store(spark, str(tmp_path / "s")).claims.collect()) == ["A", "B", "C"]
 
 
+def test_a_batch_parses_its_packets_once(spark, catalogue):
+    seen = spark.sparkContext.accumulator(0)
+    texts = spark.createDataFrame([(json.dumps(packet(c, [line(1, "Gauze roll", 5)])),) for c in "ABC"] + [("{",)], "json string")
+
+    def count(rows):
+        for r in rows:
+            seen.add(len(r))
+            yield r
+
+    packets = pk.parse_packets(texts.mapInPandas(count, "json string"))
+    with releasing():
+        run, results = batch.audit_batch(packets, *catalogue, tenant=F.lit("t"), today=TODAY)
+        assert sorted(r.ok for r in results.collect()) == [False, True, True, True] and run.findings.count() == 3
+    assert seen.value == 4
+
+
 def test_bm25_by_hand(spark, monkeypatch):
     docs = ["blue cap cap", "red gown", "red cap", "", "long " * 9]
     queries = ["cap cap red", "gown", "nothing"]
