@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlens.functions.hashing import canonical_json, lane_sums, sha256_text
+from auditlens.functions.hashing import canonical_json, lane_numbers, lane_sum, sha256_text
 from auditlens.functions.money import from_paise
 from auditlens.functions.rows import salted_left_join
 from auditlens.operators.facts import KEYS
@@ -42,8 +42,10 @@ def packet_digest(claims: DataFrame, lines: DataFrame) -> DataFrame:
     """(tenant, claim_id, packet_digest): content hash of a packet, independent of the order of its lines."""
     header = canonical_json(**{c: F.col(c) for c in claims.columns})
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(set(lines.columns) - set(KEYS))])
-    lanes = lane_sums(line)
-    sums = lines.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *[s.alias(f"s{i}") for i, s in enumerate(lanes)])
+    hashed = lines.select(*KEYS, sha256_text(line).alias("_h"))  # a line is hashed once for all lanes
+    lanes = lane_numbers(F.col("_h"))
+    numbered = hashed.select(*KEYS, *[n.alias(f"s{i}") for i, n in enumerate(lanes)])
+    sums = numbered.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *[lane_sum(F.col(f"s{i}")).alias(f"s{i}") for i in range(len(lanes))])
     body = F.concat_ws("|", F.coalesce("n", F.lit(0)).cast("string"), *[F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("string") for i in range(len(lanes))])
     return claims.withColumn("_header", header).select(*KEYS, "_header").join(sums, KEYS, "left").select(
         *KEYS, sha256_text(F.concat_ws("#", "_header", body)).alias("packet_digest"))

@@ -249,7 +249,7 @@ def small_digest(x) -> DataFrame:
 
 def ledger_rows(x) -> DataFrame:
     stamp = F.concat(F.col("discharge_date").cast("string"), F.lit("T00:00:00+00:00"))
-    return ledger.ledger_rows(x.audit.audits.withColumn("corpus_version", F.lit("v1")), small_digest(x), stamp, key_id="k1")
+    return ledger.ledger_rows(x.kept_audit().audits.withColumn("corpus_version", F.lit("v1")), small_digest(x), stamp, key_id="k1")
 
 
 _LANES = ", ".join(f"sum(CAST('0x' || substr(h, {i * 15 + 1}, 15) AS BIGINT)) AS s{i}" for i in range(4))
@@ -274,9 +274,8 @@ UNION ALL SELECT p.chain, p.seq, p.tenant, p.claim_id, c.entry_hash, sha256(p.st
 
 
 def entries(x) -> DataFrame:
-    if not hasattr(x, "_entries"):
-        x._entries = ledger.chain_append(ledger_rows(x), "b1")
-    return x._entries
+    """The chains of a batch. Its rows are read twice, for their number per tenant and for themselves."""
+    return ledger.chain_append(b.staged(x, ledger_rows(x), "ledger-rows"), "b1")
 
 
 @case("L1", f"SELECT {', '.join(_LED)}, packet_digest FROM ledger_rows")
@@ -286,7 +285,7 @@ def l1(x):
 
 @case("SNK6", "SELECT chain, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM placed GROUP BY chain")
 def snk6(x):
-    return ledger.assign_chains(ledger_rows(x), "b1").groupBy("chain").agg(
+    return ledger.assign_chains(b.staged(x, ledger_rows(x), "ledger-rows"), "b1").groupBy("chain").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").cast("bigint").alias("first_seq"), F.max("seq").cast("bigint").alias("last_seq"))
 
 
@@ -315,9 +314,10 @@ def l4(x):
  FROM (SELECT chain, count(*) AS n FROM placed GROUP BY chain) WHERE chain LIKE '%2' OR chain LIKE '%3'""")
 def l3m(x):
     """The last entry of the chains ending in 2 and all of those ending in 3 are gone; the chains alone would still verify."""
-    listed = ledger.manifest(entries(x), "b1")
+    made = b.staged(x, entries(x), "ledger")
+    listed = ledger.manifest(made, "b1")
     last = F.col("seq") == F.col("entries")
-    left = entries(x).join(listed.select("chain", "entries"), "chain").where(~(F.col("chain").endswith("3") | (F.col("chain").endswith("2") & last)))
+    left = made.join(listed.select("chain", "entries"), "chain").where(~(F.col("chain").endswith("3") | (F.col("chain").endswith("2") & last)))
     return ledger.verify_manifest(left.drop("entries"), listed)
 
 
