@@ -240,3 +240,9 @@ def test_texts_of_steps_that_no_one_reads_are_never_made(run):
     first = got["typical", "room_rent_excess"]
     assert first.basis == "Room at Rs 12,000.00 a day, limit Rs 6,000.00 a day, 8 days." and first.formula.startswith("min(Rs 48,000.00, Rs 196,000.00)")
     assert first.inputs["days"] == "8" and "clamped" not in first.inputs and not first.clamped
+
+
+def test_findings_and_measures_can_be_kept(run):
+    names = []
+    tables, _ = run(packet("A", [line(1, "Telephone usage", 500)]), keep=lambda name, rows: names.append(name) or rows)
+    assert names == ["findings", "facts"] and [r.n_lines for r in tables.facts.collect()] == [1]
