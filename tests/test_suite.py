@@ -59,3 +59,11 @@ def test_shares_add_up_and_profiles_are_ordered(spark):
     heads = x.audit.facts.select("tenant", "claim_id", "payable_investigation", "payable_consultation", "n_credit")
     bad = rows.join(heads, ["tenant", "claim_id"]).where("n_credit = 0 and not (conservative <= typical and typical <= lenient)")
     assert bad.count() == 0
+
+
+@pytest.mark.parametrize("key, reads", [("L2", 0), ("J7", 1)])
+def test_measures_and_ledger_rows_are_computed_once(spark, key, reads):
+    """What is left to do reads kept rows; the bill lines come in again only where the lines themselves are asked for."""
+    files = REG.QUERIES[key](spark, SF).inputFiles()
+    assert sum(f.endswith("lineitem.parquet") for f in files) <= reads
+    assert any("/ledger-rows-" in f or "/facts-" in f for f in files)
