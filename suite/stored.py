@@ -47,7 +47,9 @@ def snk1f(x):
     """Saved, a third saved again for another month and without gaps, a fifth erased: what the files then hold."""
     path = f"{shared_dir(x.spark)}/store-{x.spark.sparkContext.applicationId}-{id(x)}-{b.next_number()}"
     third = F.substring("claim_id", 5, 20).cast("bigint") % 3 == 0
-    st.save_store(path, x.store)
+    audit = x.kept_audit("line_no")
+    st.save_store(path, st.store_rows(audit))
+    x.release(audit)
     kept = st.read_store(x.spark, path)
     st.save_store(path, st.Store(kept.claims.where(third).withColumn("month", F.lit("1999-01")), kept.findings.where(third & (F.col("amount_paise") >= 0)), kept.doc_gaps.limit(0)))
     requests = x.claims.where(F.substring("claim_id", 5, 20).cast("bigint") % 5 == 0).select(*K)
